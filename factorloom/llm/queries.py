@@ -1,7 +1,10 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import mixing
+from . import decontamination, mixing
 
-QUERIES = {"op9_mixing": mixing.op9_mixing}
+QUERIES = {
+    "op5_decontamination": decontamination.op5_decontamination,
+    "op9_mixing": mixing.op9_mixing,
+}
 
-ORACLE_SQL = {"op9_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op5_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE}
