@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import decontamination, mixing
+from . import decontamination, linededup, mixing
 
 QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
+    "op7_linededup": linededup.op7_linededup,
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLE_SQL = {"op5_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op7_linededup": linededup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE}
