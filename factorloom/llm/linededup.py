@@ -48,7 +48,8 @@ def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", broa
     """
     own = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     run = F.expr("array_join(slice(lines, r.start + 1, r.stop - r.start), '\n')")
-    runs = with_runs(own.withColumn("text_hash", F.xxhash64("text")), "text").drop("text").withColumn("r", F.explode("runs")).withColumn("run", run).withColumn("key", F.xxhash64("run"))
+    # explode() would have the optimizer filter by the runs' number first, which computes them twice.
+    runs = with_runs(own.withColumn("text_hash", F.xxhash64("text")), "text").drop("text").withColumn("r", F.explode_outer("runs")).where("r IS NOT NULL").withColumn("run", run).withColumn("key", F.xxhash64("run"))
     repeated = materialize(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     # A key takes about 100 bytes in a broadcast table; beyond the limit, both sides are shuffled.
     few = repeated.count() * 100 <= broadcast_bytes
@@ -60,7 +61,7 @@ def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", broa
     whole = docs.join(cuts, docs[ident].eqNullSafe(cuts["_id"]) & (F.xxhash64(docs[text]) == cuts["_hash"]), "left").drop("_id", "_hash")
     gone = "array_distinct(flatten(transform(_cuts, c -> sequence(c.start, c.stop - 1))))"
     at = whole.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_gone", F.expr(gone))
-    kept = F.when(F.size("_cuts") > 0, F.expr("array_join(filter(_lines, (l, i) -> NOT array_contains(_gone, i)), '\n')")).otherwise(F.col(text))
+    kept = F.when(F.size("_cuts") > 0, F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')")).otherwise(F.col(text))
     return at.withColumns({
         text: kept,
         "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
