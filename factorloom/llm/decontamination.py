@@ -50,7 +50,8 @@ def tokens_of(windows: DataFrame, shingle: int) -> DataFrame:
 
 def positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """Every position of every document with its token, and one row more with the document's length."""
-    at = docs.select("*", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "_")).drop("_")
+    # posexplode() would have the optimizer filter by the array's size first, which splits each text twice.
+    at = docs.select("*", F.posexplode_outer(F.concat("words", F.array(F.lit("")))).alias("pos", "_")).drop("_")
     n = F.size("words")
     tokens = [F.when(F.col("pos") <= n - k, token_at(F.col("words"), F.col("pos"), k)) for k in sizes]
     length = F.when(F.col("pos") == n, F.lit(LENGTH_TOKEN).cast("long"))
