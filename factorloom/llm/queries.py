@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import decontamination, linededup, mixing
+from . import decontamination, linededup, mixing, quality
 
 QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
+    "op6_quality": quality.op6_quality,
     "op7_linededup": linededup.op7_linededup,
     "op9_mixing": mixing.op9_mixing,
 }
