@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import decontamination, linededup, mixing, quality
+from . import decontamination, linededup, mixing, quality, simhash
 
 QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op7_linededup": linededup.op7_linededup,
