@@ -1,8 +1,64 @@
-"""A corpus pipeline of operators from factorloom.llm; STAGES is filled in below."""
+"""From raw documents to a training mix: five operators of factorloom.llm, one after another.
 
-STAGES = []
+Each stage reads what the one before it kept, stored as Parquet, and returns the columns of documents; the last one
+adds how much of each document the mix takes.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factorloom.llm import decontamination, linededup, mixing, quality, simhash
+from factorloom.llm.common import scratch_dir, table
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier expects to be rated well and not toxic."""
+    return quality.rate(docs, table(spark, sf_dir, "labels")).where("selected").select(docs.columns)
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier document has; n_chars is counted anew where something went."""
+    cut = linededup.dedup_lines(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold benchmark passages."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes words of, and how many: `epochs` times all of them, and of `taken` what is left once more."""
+    return mixing.mix(docs, docs.columns).where("taken > 0")
+
+
+STAGES = [
+    ("quality", select_quality),
+    ("linededup", cut_repeated_lines),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: The first stage's model and the third stage's components can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, base = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out
+        out.write.parquet(f"{base}/{i}-{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{base}/{i}-{name}")
+    return docs

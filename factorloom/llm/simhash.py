@@ -193,18 +193,30 @@ def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int =
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """Return per row of docs: its id, fp and component_id, the smallest id that links of at most `radius` bits reach.
+    """Return per row of docs: its id, text_hash, fp, root (a fingerprint that names its component) and component_id, the smallest id that links of at most `radius` bits reach.
 
     Null and empty texts have fingerprint 0 and are linked as any other. Null ids are never a component's id unless it
     has no other; rows that repeat an id each give a row. An empty table gives none.
     """
-    rows = materialize(fingerprints(docs.select(F.col(ident).alias("id"), F.col(text).alias("text")), shingle))
+    rows = materialize(fingerprints(docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), shingle))
     firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")))
     roots = components(links(firsts.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = materialize(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    by_print = materialize(rooted.join(named, "root").select("fp", "component_id"))
-    return rows.join(by_print, "fp").select(F.col("id").alias(ident), "fp", "component_id")
+    by_print = materialize(rooted.join(named, "root").select("fp", "root", "component_id"))
+    return rows.join(by_print, "fp").select(F.col("id").alias(ident), "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """Of the documents of each component, the row with the smallest doc_id (null last; then by its text's hash), with the columns of docs."""
+    found = materialize(near_duplicates(docs, shingle=shingle, radius=radius))
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    kept = found.groupBy("root").agg(F.min(own).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_text"))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_text"]), "left_semi")
+    if found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return out
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))  # the same row given more than once
+    return out.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
 def hex_of(fp: Column) -> Column:
