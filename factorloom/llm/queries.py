@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import decontamination, linededup, mixing, quality, simhash
+from . import decontamination, linededup, mixing, ogg, quality, simhash
 
 QUERIES = {
+    "op1_ogg": ogg.op1_ogg,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
@@ -10,4 +11,8 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLE_SQL = {"op7_linededup": linededup.ORACLE, "op5_decontamination": decontamination.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL = {
+    "op5_decontamination": decontamination.ORACLE,
+    "op7_linededup": linededup.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}
