@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import decontamination, linededup, mixing, ogg, quality, simhash
+from . import decontamination, linededup, mixing, ogg, quality, simhash, warc
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
+    "op3_warc": warc.op3_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": warc.ORACLE,
     "op5_decontamination": decontamination.ORACLE,
     "op7_linededup": linededup.ORACLE,
     "op9_mixing": mixing.ORACLE,
