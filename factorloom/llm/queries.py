@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import decontamination, langid, linededup, mixing, ogg, quality, simhash, warc
+from . import decontamination, hmm, langid, linededup, mixing, ogg, quality, simhash, warc
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_quality": quality.op6_quality,
     "op7_linededup": linededup.op7_linededup,
+    "op8_hmm": hmm.op8_hmm,
     "op9_mixing": mixing.op9_mixing,
     "op10_langid": langid.op10_langid,
 }

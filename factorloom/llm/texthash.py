@@ -27,6 +27,14 @@ def classes() -> np.ndarray:
     return kind
 
 
+@functools.cache
+def spaced() -> np.ndarray:
+    """By byte: ASCII white space, or part of a word that ends there."""
+    kind = np.full(256, WORD, np.uint8)
+    kind[[9, 10, 11, 12, 13, 32]] = SPACE
+    return kind
+
+
 @functools.cache
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
@@ -49,8 +57,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), offsets
 
 
-def pieces(column: pa.Array):
+def pieces(column: pa.Array, table: np.ndarray | None = None):
     """Yield (rows, starts, bytes): texts or parts of texts, where each begins, and their row numbers."""
+    table = classes() if table is None else table
     data, offsets = buffers(column)
     row = 0
     while row < len(offsets) - 1:
@@ -63,16 +72,20 @@ def pieces(column: pa.Array):
             while lo < hi:
                 cut = min(hi, lo + PIECE)
                 if cut < hi:
-                    spaces = np.flatnonzero(classes()[data[lo:cut]] == SPACE)
-                    cut = lo + int(spaces[-1]) + 1 if len(spaces) else cut
+                    spaces = np.flatnonzero(table[data[lo:cut]] == SPACE)
+                    if len(spaces):
+                        cut = lo + int(spaces[-1]) + 1
+                    else:
+                        spaces = np.flatnonzero(table[data[cut:hi]] == SPACE)
+                        cut = cut + int(spaces[0]) + 1 if len(spaces) else hi
                 yield np.array([row]), np.zeros(1, np.int64), data[lo:cut]
                 lo = cut
         row = last
 
 
-def tokens(rows: np.ndarray, starts: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
-    """Of each run of word bytes or of marks: row, kind, start, end, hash; A-Z count as a-z. begin: hashes of beginnings, by length."""
-    kind = classes()[data]
+def tokens(rows: np.ndarray, starts: np.ndarray, data: np.ndarray, table: np.ndarray | None = None, beginnings: tuple[int, ...] = BEGINNINGS) -> dict:
+    """Of each run of word bytes or of marks: row, kind, start, end, hash; A-Z count as a-z (`lower` has the bytes). begin: hashes of beginnings, by length."""
+    kind = (classes() if table is None else table)[data]
     new = np.empty(len(data), bool)
     new[0] = True
     np.not_equal(kind[1:], kind[:-1], out=new[1:])
@@ -86,8 +99,8 @@ def tokens(rows: np.ndarray, starts: np.ndarray, data: np.ndarray) -> dict[str,
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     back = down[s]
-    out = {"row": rows[np.searchsorted(starts, s, "right") - 1], "kind": kind[s], "start": s, "end": e, "hash": mixed((total[e] - total[s]) * back), "begin": {}}
-    for n in BEGINNINGS:
+    out = {"row": rows[np.searchsorted(starts, s, "right") - 1], "kind": kind[s], "start": s, "end": e, "hash": mixed((total[e] - total[s]) * back), "begin": {}, "lower": lower}
+    for n in beginnings:
         long = np.flatnonzero(e - s > n)
         out["begin"][n] = long, mixed((total[s[long] + n] - total[s[long]]) * back[long] + np.uint64(n))
     return out
