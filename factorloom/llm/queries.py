@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import decontamination, hmm, langid, linededup, mixing, ogg, quality, simhash, warc
+from . import decontamination, hmm, langid, linededup, mixing, ogg, pii, quality, simhash, warc
 
 QUERIES = {
     "op1_ogg": ogg.op1_ogg,
+    "op2_pii": pii.op2_pii,
     "op3_warc": warc.op3_warc,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontamination.op5_decontamination,
