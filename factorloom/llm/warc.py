@@ -80,7 +80,8 @@ def archive(pages: DataFrame, ident: str = "page_id", url: str = "url", html: st
     """Write a record for every page; returns the stored segments: archive, bytes, and entries (key, offset, length) of the records."""
     named = pages.select(F.col(ident).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), F.sha1(F.coalesce(html, F.lit("")).cast("binary")).alias("digest"))
     long = F.octet_length("html") >= least
-    latest = materialize(named.where(long).groupBy("digest").agg(F.max("id").alias("latest")))
+    # Only payloads that occur more than once: mostly few, so that the join seldom has to move the pages.
+    latest = materialize(named.where(long).groupBy("digest").agg(F.max("id").alias("latest"), F.count("*").alias("n")).where("n > 1").drop("n"))
     linked = named.join(latest, "digest", "left").select("id", "url", "html", "digest", F.when(long & (F.col("id").isNull() | (F.col("id") < F.col("latest"))), F.col("latest")).alias("refers"))
 
     def segments(batches):
@@ -152,9 +153,12 @@ def lookup(index: Index, url: str) -> list[tuple[dict[str, str], bytes]]:
     """All captures of a URL, headers and payloads, by binary search in the directory and in its blocks."""
     key = url_key(url)
     if index.blocks.count() <= DIRECTORY:
-        directory = sorted(tuple(r) for r in index.directory().collect())
-        at = bisect_left([d[1] for d in sorted(directory, key=lambda d: d[1])], key)
-        near = [d[2] for d in sorted(directory, key=lambda d: (d[1], d[0]))[at:] if d[0] <= key <= d[1]]
+        directory = sorted((r.last, r.first, r.block) for r in index.directory().collect())
+        at = bisect_left(directory, (key,))
+        near = []
+        while at < len(directory) and directory[at][1] <= key:
+            near.append(directory[at][2])
+            at += 1
     else:
         near = [r.block for r in index.directory().where((F.col("first") <= key) & (F.col("last") >= key)).collect()]
     places = []
@@ -195,7 +199,7 @@ def captures(index: Index, ident: str, kind) -> DataFrame:
     # A segment holds a bounded number of records.
     places = listed.groupBy("archive").agg(F.collect_list(F.struct("url_key", "offset", "length", "block")).alias("places"))
     schema = f"`{ident}` {kind.simpleString()}, payload_bytes long, payload_digest string, record_type string, refers_to {kind.simpleString()}, url_key string, block string"
-    return index.segments.select("archive", "bytes").join(places, "archive").select("bytes", "places").mapInArrow(read, schema)
+    return index.segments.select("archive", "bytes").join(places.hint("merge"), "archive").select("bytes", "places").mapInArrow(read, schema)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
