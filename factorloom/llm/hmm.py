@@ -25,7 +25,7 @@ from .common import materialize, table
 
 STATES, CLASSES = 8, 1024
 #: Bytes of text in a chunk; tokens in a training segment; segments that are trained on at a time.
-CHUNK, SEGMENT, TOGETHER = 1 << 24, 128, 4096
+CHUNK, SEGMENT, TOGETHER = 1 << 23, 128, 4096
 #: The first rounds are on so many training documents, those with the smallest hashes of their ids; then come rounds over all.
 SAMPLE, SAMPLE_ROUNDS, ROUNDS = 2000, 15, 2
 END = 0
