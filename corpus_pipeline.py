@@ -17,7 +17,7 @@ from factorloom.llm.common import scratch_dir, table
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier expects to be rated well and not toxic."""
-    return quality.rate(docs, table(spark, sf_dir, "labels")).where("selected").select(docs.columns)
+    return quality.select(docs, table(spark, sf_dir, "labels"))
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,30 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, docs.columns).where("taken > 0")
 
 
+def guarded(stage):
+    """A stage that sees only the columns of documents; others go along in one struct, so that their names meet no other."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        more = [c for c in docs.columns if c not in COLUMNS]
+        if not more:
+            return stage(spark, docs, sf_dir)
+        packed = F.struct(*[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(more)]).alias("more")
+        out = stage(spark, docs.select(*[c for c in docs.columns if c in COLUMNS], packed), sf_dir)
+        added = [c for c in out.columns if c not in COLUMNS and c != "more"]
+        back = [F.col(f"more.c{more.index(c)}").alias(c) if c in more else F.col(c) for c in docs.columns if c not in added]
+        return out.select(*back, *added)
+
+    return run_stage
+
+
+#: What a documents table has; the last stage's columns take the place of others with their names.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 STAGES = [
-    ("quality", select_quality),
-    ("linededup", cut_repeated_lines),
-    ("simhash", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
+    ("quality", guarded(select_quality)),
+    ("linededup", guarded(cut_repeated_lines)),
+    ("simhash", guarded(drop_near_duplicates)),
+    ("decontamination", guarded(drop_contaminated)),
+    ("mixing", guarded(mix_sources)),
 ]
 
 #: The first stage's model and the third stage's components can't be said in SQL.

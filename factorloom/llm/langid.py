@@ -15,7 +15,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import schema_with, table
 
 #: Training documents a language, at most about so many; characters taken of each; bytes of a dictionary.
 SAMPLE, EXCERPT, DICTIONARY = 600, 1500, 1 << 17
@@ -105,10 +105,8 @@ def identify(docs: DataFrame, contents: dict[str, bytes], keep: list[str]) -> Da
             new = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *new], [*keep, "lang_pred", "score", "rejected"])
 
-    if clash := {"lang_pred", "score", "rejected"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} would be there twice; rename them first")
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(found, f"{schema}, lang_pred string, score double, rejected boolean")
+    keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]  # these give way
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(found, schema_with(docs, keep, "lang_pred string, score double, rejected boolean"))
 
 
 def op10_langid(spark, sf_dir):

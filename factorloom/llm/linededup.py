@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import materialize, table
 
 #: One chunk in so many ends after a line of ordinary length.
 ONE_IN = 4
@@ -39,7 +39,7 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """Return docs with repeated passages cut out of `text`, and n_lines and n_removed added.
+    """Return docs with repeated passages cut out of `text`, and n_lines and n_removed added (columns of these names give way).
 
     Of all equal runs in the whole table, the one in the document with the smallest (id, text hash), and there the first, stays; all
     others are removed. Candidates are found by a 64-bit hash; they are grouped by their bytes before anything is removed.
@@ -57,16 +57,15 @@ def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", broa
     classes = found.groupBy("key", "class", "run").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "start")).alias("first")).where("n > 1")
     later = found.drop("run").join(classes.drop("run", "n"), ["key", "class"]).where(~F.struct("id", "text_hash", "start").eqNullSafe(F.col("first")))
     cuts = later.select("id", "text_hash", "start", "stop").distinct().groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"))
     cuts = cuts.withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
-    whole = docs.join(cuts, docs[ident].eqNullSafe(cuts["_id"]) & (F.xxhash64(docs[text]) == cuts["_hash"]), "left").drop("_id", "_hash")
+    whole = rows.join(cuts, rows["id"].eqNullSafe(cuts["_id"]) & (rows["text_hash"] == cuts["_hash"]), "left")
     gone = "array_distinct(flatten(transform(_cuts, c -> sequence(c.start, c.stop - 1))))"
-    at = whole.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_gone", F.expr(gone))
-    kept = F.when(F.size("_cuts") > 0, F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')")).otherwise(F.col(text))
-    return at.withColumns({
-        text: kept,
-        "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"),
-        "n_removed": F.when(F.size("_cuts") > 0, F.size("_gone")).otherwise(0).cast("long"),
-    }).drop("_lines", "_gone", "_cuts")
+    at = whole.select("row", "_cuts", F.split(F.col("row").getField(text), "\n", -1).alias("lines"), F.expr(gone).alias("gone"))
+    cut = F.size("_cuts") > 0
+    kept = F.when(cut, F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")).otherwise(F.col("row").getField(text))
+    same = [(kept if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return at.select(*same, F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.when(cut, F.size("gone")).otherwise(0).cast("long").alias("n_removed"))
 
 
 def op7_linededup(spark, sf_dir):

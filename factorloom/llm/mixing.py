@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, materialize
+from .common import WORD, materialize
 
 #: Bits of the key that a level of the tree looks at, from the root down.
 LEVELS = (8, 16, 24)
 KEY_BITS = 48
+ADDED = ("size", "source_size", "target", "epochs", "taken")
 
 
 def random_key(ident: Column, seed: int) -> Column:
@@ -67,13 +68,11 @@ def mix(docs: DataFrame, keep: list[str], ident: str = "doc_id", text: str = "te
     documents in key order once more until the budget is met; the document at the cut is taken in part.
     No row is taken more than `most` times its size. A null text is empty, a null source is a source of its own (ranked last),
     rows with equal ids are told apart by their sizes, and an empty table gives an empty mix.
+    A column of `keep` with the name of an added one gives way to it.
     """
-    clash = {"no_source", "src", "size", "key", "bucket", "source_size", "target", "budget", "offset", "epochs", "taken"} & set(keep)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten; rename them first")
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(
-        *keep, F.col(ident).alias("_id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"),
+        F.struct(*keep).alias("kept"), F.col(ident).alias("_id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"),
         words.alias("size"), random_key(F.col(ident), seed).alias("key"),
     ).withColumn("bucket", F.shiftright("key", KEY_BITS - LEVELS[-1]))
 
@@ -99,7 +98,8 @@ def mix(docs: DataFrame, keep: list[str], ident: str = "doc_id", text: str = "te
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return placed.withColumn("start", start).withColumn("epochs", whole).select(*keep, "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    kept = [F.col("kept").getField(c).alias(c) for c in keep if c not in ADDED]
+    return placed.withColumn("start", start).withColumn("epochs", whole).select(*kept, "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 ORACLE = r"""

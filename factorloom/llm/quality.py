@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash as th
-from .common import table
+from .common import schema_with, table
 
 #: Labelled rows to fit on: those with the smallest hashes of their ids.
 SAMPLE = 6000
+ADDED = ("expected_grade", "p_middle", "p_top", "selected")
 STEPS = np.array([0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8])
 
 
@@ -168,28 +169,47 @@ def scores(model: Ordinal, column: pa.Array) -> np.ndarray:
     return np.bincount(rows, model.weights[at], len(column))
 
 
+def rater(docs: DataFrame, labels: DataFrame, least: float | None, limit: int):
+    """A function from a batch of texts to their tail probabilities and whether they are selected."""
+    sample = sampled(docs, labels, limit)
+    model = fit(*sample)
+    least = cut(*sample) if least is None else least
+
+    def rated(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        tails = model.tails(scores(model, column))
+        return tails, tails[:, -1] >= least
+
+    return rated
+
+
 def rate(docs: DataFrame, labels: DataFrame, least: float | None = None, limit: int = SAMPLE) -> DataFrame:
-    """Add expected_grade, p_middle (P(grade >= 1)), p_top (P(grade >= 2)) and selected (p_top >= least) to docs.
+    """docs with expected_grade, p_middle (P(grade >= 1)), p_top (P(grade >= 2)) and selected (p_top >= least), in place of columns of these names.
 
-    The grade is the number of good ratings a document has: quality not 0, and not toxic; `least` is as `cut` finds it if not given. A null text is an empty one, and as any text
-    without telling features it gets the sample's shares; rows with equal texts get equal results.
+    The grade is the number of good ratings a document has: quality not 0, and not toxic; `least` is as `cut` finds it if not given. A null
+    text is an empty one, and as any text without telling features it gets the sample's shares; rows with equal texts get equal results.
     Labels with null ids or null quality are left out, of several for an id the lowest grade counts, a null toxic is 0. Without labels all are selected.
     """
-    sample = sampled(docs, labels, limit)
-    model = fit(*sample)
-    least = cut(*sample) if least is None else least
-    added = ("expected_grade", "p_middle", "p_top", "selected")
-    if clash := set(added) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} would be there twice; rename them first")
+    rated = rater(docs, labels, least, limit)
+    kept = [c for c in docs.columns if c not in ADDED]
+
+    def added(batches):
+        for batch in batches:
+            tails, good = rated(batch.column("text"))
+            new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(good)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *ADDED])
+
+    return docs.select(kept).mapInArrow(added, schema_with(docs, kept, "expected_grade double, p_middle double, p_top double, selected boolean"))
+
+
+def select(docs: DataFrame, labels: DataFrame, least: float | None = None, limit: int = SAMPLE) -> DataFrame:
+    """The rows of docs that `rate` selects, with the columns of docs."""
+    rated = rater(docs, labels, least, limit)
 
-    def rated(batches):
+    def chosen(batches):
         for batch in batches:
-            tails = model.tails(scores(model, batch.column("text")))
-            new = [pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= least)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
+            yield batch.filter(pa.array(rated(batch.column("text"))[1]))
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(rated, f"{kept}, expected_grade double, p_middle double, p_top double, selected boolean")
+    return docs.mapInArrow(chosen, docs.schema)
 
 
 def op6_quality(spark, sf_dir):
