@@ -1,0 +1,252 @@
+"""Parts of the operators against brute force."""
+
+import itertools
+import os
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from odd_tables import prose
+
+from factorloom.llm import hmm, langid, linededup, mixing, ogg, pii, quality, simhash, texthash, warc
+from factorloom.llm.components import components
+
+
+# --- Ogg
+
+
+def slow_checksum(page):
+    c = 0
+    for b in page:
+        c ^= b << 24
+        for _ in range(8):
+            c = ((c << 1) ^ 0x04C11DB7 if c & 0x80000000 else c << 1) & 0xFFFFFFFF
+    return c
+
+
+def test_checksum():
+    for n in (0, 1, 27, 300):
+        data = os.urandom(n)
+        assert ogg.checksum(data) == slow_checksum(data)
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 8191, 8192, 8193, 16384, 70000, 300000])
+def test_container_roundtrip(n):
+    payload = ogg.padded(os.urandom(n))
+    assert ogg.decode(ogg.encode(payload))[0] == payload
+
+
+@pytest.mark.parametrize("n", [0, 254, 255, 256, 255 * 255 - 1, 255 * 255, 255 * 255 + 1, 200000])
+def test_packets_over_pages(n):
+    first, second = os.urandom(n), b"next"
+    w = ogg.Writer(7)
+    pages = [*w.packet(first, n), *w.packet(second, n + 4), w.page(ogg.LAST)]
+    found = ogg.demultiplex(b"junk" + b"".join(pages) + b"OggS and more")
+    assert [p.data for p in found.packets] == [first, second]
+    assert found.packets[-1].granule == n + 4 and found.gaps == 0
+
+
+def test_damage_loses_only_what_it_hits():
+    media = bytearray(ogg.encode(ogg.padded(os.urandom(500000))))
+    whole = len(ogg.demultiplex(bytes(media)).packets)
+    media[300000] ^= 1
+    found = ogg.demultiplex(bytes(media))
+    assert found.bad_pages == 1 and found.gaps == 1 and whole - 20 < len(found.packets) < whole
+    with pytest.raises(ValueError):
+        ogg.decode(bytes(media))
+
+
+def test_packet_table(spark):
+    media = [(1, ogg.encode(ogg.padded(b"x" * 20000))), (2, None), (3, b""), (4, b"no ogg at all")]
+    found = ogg.packets(spark.createDataFrame(media, "k int, m binary"), "k", "m").collect()
+    assert {r.k for r in found} == {1} and sum(len(r.data) for r in found if r.packet) == 20032
+    assert max(r.ends_at for r in found) == 11840 / 8000
+
+
+# --- personal data
+
+
+def test_viterbi_is_the_best_path():
+    field = pii.train(pii.labelled(n=60), rounds=20)
+    text = 'plain token = "ab12ab12ab12ab12ab12" +1 (555) 123-4567'
+    x = pii.shapes(*next(iter(texthash.pieces(pa.array([text])))))
+    score, k = field.scores(x), len(pii.LABELS)
+    best = max(itertools.product(range(k), repeat=6), key=lambda y: sum(score[i, a] for i, a in enumerate(y)) + sum(field.move[a, b] for a, b in itertools.pairwise(y)))
+    assert pii.viterbi(field, pii.shapes(*next(iter(texthash.pieces(pa.array([" ".join(text.split()[:6])])))))).shape == (6,)
+    x6 = pii.shapes(*next(iter(texthash.pieces(pa.array([" ".join(text.split()[:6])])))))
+    score = field.scores(x6)
+    best = max(itertools.product(range(k), repeat=6), key=lambda y: sum(score[i, a] for i, a in enumerate(y)) + sum(field.move[a, b] for a, b in itertools.pairwise(y)))
+    assert tuple(pii.viterbi(field, x6)) == best
+
+
+def test_field_on_unseen_lines():
+    field = pii.train(pii.labelled())
+    lines = pii.labelled(seed=99, n=200)
+    x = pii.shapes(*next(iter(texthash.pieces(pa.array([" ".join(w for w, _ in line) for line in lines])))))
+    truth = np.array([pii.LABELS.index(y) for line in lines for _, y in line])
+    found = pii.viterbi(field, x)
+    assert (found == truth)[truth > 0].mean() > 0.97 and (found > 0)[truth == 0].mean() < 0.01
+
+
+def test_spans_of_texts_longer_than_a_piece(monkeypatch):
+    field = pii.train(pii.labelled())
+    monkeypatch.setattr(texthash, "PIECE", 200)
+    secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = ["word " * 100 + f'token = "{secret}" ' + "wörd " * 100, "x " * 30, f'token = "{secret}"']
+    found = pii.added(field, pa.array(texts))
+    for row in (0, 2):
+        assert [texts[row].encode()[s:e].decode() for k, s, e in found[row] if k == "secret"] == [secret]
+
+
+def test_patterns_are_linear():
+    assert pii.patterns("a" * 300000 + "1" * 300000 + "+1" + "." * 300000 + "@" * 3000) == []
+
+
+# --- WARC
+
+
+def test_lookup(spark):
+    pages = [(i, f"http://www{i % 7}.example.com/{i % 50}", f"page {i}") for i in range(400)]
+    index = warc.build_index(warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string")), size=10)
+    assert index.blocks.count() >= 40
+    for url in {u for _, u, _ in pages} | {"http://absent.example.com/"}:
+        assert sorted(p.decode() for _, p in warc.lookup(index, url)) == sorted(h for _, u, h in pages if u == url)
+
+
+def test_url_keys():
+    assert warc.url_key("http://www.Example.com:80/a?b#c") == "com,example,www)/a?b"
+    assert warc.url_key("https://x.org") == "org,x)/" and warc.url_key(None) == "" and warc.url_key("http://[") == "http://["
+
+
+# --- SimHash
+
+
+def union(pairs, nodes):
+    parent = {x: x for x in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    groups = {}
+    for x in nodes:
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("agree,shard", [(1, 40), (1, 20000), (2, 20), (3, 20000)])
+def test_links_in_split_trees(spark, agree, shard):
+    r = random.Random(3)
+    prints = {r.getrandbits(64) for _ in range(300)}
+    for x in list(prints)[:40]:  # chains and clusters about some of them
+        for _ in range(15):
+            x ^= sum(1 << r.randrange(64) for _ in range(r.randint(1, 4)))
+            prints.add(x % (1 << 64))
+    prints = sorted(prints)
+    frame = spark.createDataFrame([(simhash.signed(x),) for x in prints], "fp long")
+    found = [(e.u % (1 << 64), e.v % (1 << 64)) for e in simhash.links(frame, 4, agree=agree, shard=shard).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    wanted = [(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 4]
+    assert union(found, prints) == union(wanted, prints)
+
+
+def test_components_of_chains(spark):
+    r = random.Random(4)
+    ids = r.sample(range(-(10**12), 10**12), 300)
+    edges = list(itertools.pairwise(ids[:100])) + [(ids[100], x) for x in ids[101:200]] + [(ids[5], ids[5])]
+    found = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert union([(x.node, x.root) for x in found], ids) == union(edges, ids)
+    assert all(x.root == min(g) for x in found for g in union(edges, ids) if x.node in g)
+
+
+# --- quality
+
+
+def test_ordinal_tails_are_ordered():
+    r = random.Random(1)
+    texts = [prose(r, 40) + (" bad" * (i % 3 == 0)) + (" worse" * (i % 6 == 0)) for i in range(300)]
+    sets = []
+    for t in texts:
+        parts = list(quality.features(pa.array([t])))
+        sets.append(np.unique(np.concatenate([h for _, h in parts])))
+    grades = np.array([2 - (i % 3 == 0) - (i % 6 == 0) for i in range(300)])
+    model = quality.fit(grades, sets)
+    tails = model.tails(quality.scores(model, pa.array(["fine words", "bad words", "bad and worse", None])))
+    assert (tails[:, 0] >= tails[:, 1]).all() and tails[0, 1] > tails[1, 1] > tails[2, 1] and tails[3, 1] == tails[0, 1]
+
+
+def test_hashes_don_t_depend_on_neighbours(monkeypatch):
+    texts = ["Some Words é here", None, "", "here", "x" * 50]
+    whole = [np.sort(np.concatenate([h[rows == i] for rows, h in quality.features(pa.array(texts))])) for i in range(5)]
+    monkeypatch.setattr(texthash, "PIECE", 12)
+    for i, t in enumerate(texts):
+        assert (np.sort(np.concatenate([h for _, h in quality.features(pa.array([t]))])) == whole[i]).all()
+
+
+# --- language model
+
+
+def test_forward_sums_all_paths():
+    rng = np.random.default_rng(0)
+    model = hmm.Model(*[rng.random(s) for s in ((hmm.STATES,), (hmm.STATES,), (hmm.STATES, hmm.STATES), (hmm.CLASSES + 1, hmm.STATES))]).learned()
+    codes, lengths = rng.integers(0, hmm.CLASSES + 1, 12), np.array([4, 1, 3, 4])
+    found = hmm.likelihoods(model, codes, lengths)
+    at = 0
+    for n, x in zip(lengths, found, strict=True):
+        seq = codes[at : at + n]
+        at += n
+        total = sum(model.first[p[0]] * np.prod([model.emit[c, s] for c, s in zip(seq, p, strict=True)]) * np.prod([model.move[a, b] for a, b in itertools.pairwise(p)]) for p in itertools.product(range(hmm.STATES), repeat=int(n)))
+        assert abs(np.log10(total) - x) < 1e-9
+
+
+def test_long_sequences_don_t_vanish():
+    rng = np.random.default_rng(0)
+    model = hmm.start(np.ones(hmm.CLASSES + 1))
+    x = hmm.likelihoods(model, rng.integers(1, hmm.CLASSES + 1, 30000), np.array([30000]))
+    assert np.isfinite(x).all() and x[0] < -60000
+
+
+def test_baum_welch_climbs():
+    rng = np.random.default_rng(1)
+    codes = np.concatenate([np.append(rng.integers(1 + 100 * (i % 3), 60 + 100 * (i % 3), 300), hmm.END) for i in range(30)])
+    lengths = np.full(30, 301)
+    model, last = hmm.start(np.bincount(codes, minlength=hmm.CLASSES + 1)), -np.inf
+    for _ in range(5):
+        now = hmm.likelihoods(model, codes, lengths).sum()
+        assert now >= last - 1
+        counts = hmm.expected(model, codes, lengths)
+        assert abs(hmm.Model.shaped(counts).emit.sum() - len(codes)) < 1e-6 * len(codes)
+        model, last = hmm.Model.shaped(counts).learned(), now
+    assert now > hmm.likelihoods(hmm.start(np.bincount(codes, minlength=hmm.CLASSES + 1)), codes, lengths).sum() + 100
+
+
+# --- lines, mixing, languages
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    r = random.Random(9)
+    passage = "\n".join(prose(r, 12).replace("\n", " ") for _ in range(8))
+    docs = [(i, "\n".join([*[prose(r, r.randint(3, 12)).replace("\n", " ") for _ in range(r.randint(0, 6))], passage, *[prose(r, 9).replace("\n", " ") for _ in range(r.randint(0, 6))]])) for i in range(20)]
+    out = {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == docs[0][1]
+    for i in range(1, 20):
+        left = sum(line in out[i].split("\n") for line in passage.split("\n"))
+        assert left <= 2, "all but a line at either end goes"
+        own = [x for x in docs[i][1].split("\n") if x not in passage.split("\n")]
+        assert all(x in out[i].split("\n") for x in own)
+
+
+def test_mix_replaces_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 9), (2, "d", "t", 9)], "doc_id long, text string, source string, size long")
+    found = mixing.mix(docs, docs.columns)
+    assert found.columns.count("size") == 1 and {x["size"] for x in found.collect()} == {3, 1}
+
+
+def test_languages_without_labels(spark):
+    docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    found = langid.identify(docs, langid.dictionaries({}), ["doc_id"]).collect()
+    assert [(x.lang_pred, x.score, x.rejected) for x in found] == [("und", 0.0, True)]

@@ -1,0 +1,259 @@
+"""Each query on small tables with every odd case, against a plain version of its contract."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+from odd_tables import documents
+
+import corpus_pipeline
+from factorloom.llm import queries
+
+DOCS = documents()
+WHITE = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def rows(spark, name, path):
+    return queries.QUERIES[name](spark, path).collect()
+
+
+def same(found, wanted):
+    assert sorted(map(repr, found)) == sorted(map(repr, wanted))
+
+
+def text(d):
+    return d[1] or ""
+
+
+def test_op1(spark, mixed):
+    wanted = []
+    for d in DOCS:
+        data = text(d).encode()
+        padded = data + b"\0" * (-len(data) % 64 if data else 64)
+        wanted.append((d[0], len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:])))
+    found = rows(spark, "op1_ogg", mixed)
+    same([tuple(r)[:5] for r in found], wanted)
+    media = defaultdict(set)
+    for r in found:
+        media[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
+        assert r.media_bytes > r.payload_bytes
+    assert all(len(x) == 1 for x in media.values())
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def base_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for kind, pattern, lo, hi in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            if lo <= len(digits) <= hi and (kind == "phone" or luhn(digits)):
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_op2(spark, mixed):
+    found = rows(spark, "op2_pii", mixed)
+    wanted = []
+    for d in DOCS:
+        spans = base_spans(text(d))
+        n = Counter(k for k, _, _ in spans)
+        wanted.append((d[0], n["email"], n["ip"], n["card"], n["phone"], hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()))
+    same([(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in found], wanted)
+    by = {d[0]: text(d) for d in DOCS}
+    secrets = 0
+    for r in found:
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        if r.doc_id is not None:
+            assert set(base_spans(by[r.doc_id])) <= set(spans)
+            secrets += sum(re.fullmatch("[0-9a-f]{40}", by[r.doc_id][s:e]) is not None for k, s, e in spans if k == "secret")
+    assert secrets == sum("token = " in text(d) for d in DOCS)
+
+
+def test_op3(spark, mixed):
+    found = rows(spark, "op3_warc", mixed)
+    pages = [tuple(r) for r in spark.read.parquet(f"{mixed}/pages.parquet").collect()]
+    latest = defaultdict(list)
+    for i, _, html in pages:
+        latest[html or ""].append(i)
+    wanted = []
+    for i, _, html in pages:
+        data = (html or "").encode()
+        top = max((x for x in latest[html or ""] if x is not None), default=None)
+        revisit = len(data) >= 1000 and i != top
+        wanted.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", top if revisit else None))
+    same([tuple(r)[:5] for r in found], wanted)
+
+
+def hamming_components(prints):
+    parent = {i: i for i in range(len(prints))}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(prints))]
+
+
+def simhash(t, k=4):
+    words = [w.lower() for w in WHITE.findall(t.encode())]
+    shingles = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_op4(spark, mixed):
+    prints = [simhash(text(d)) for d in DOCS]
+    group = hamming_components(prints)
+    first = {g: min((DOCS[i][0] for i in range(len(DOCS)) if group[i] == g and DOCS[i][0] is not None), default=None) for g in set(group)}
+    same([tuple(r) for r in rows(spark, "op4_simhash", mixed)], [(d[0], f"{p:016x}", first[g]) for d, p, g in zip(DOCS, prints, group, strict=True)])
+
+
+def test_op5(spark, mixed):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: pattern.findall((t or "").translate(lower))
+    bench = [(r[0], words(r[1])) for r in spark.read.parquet(f"{mixed}/benchmark.parquet").collect()]
+    wanted = []
+    for d in DOCS:
+        w, hit, items = words(d[1]), set(), set()
+        for item, b in bench:
+            n = min(13, len(b))
+            windows = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if b else set()
+            at = [i for i in range(len(w) - n + 1) if windows and tuple(w[i : i + n]) in windows]
+            hit |= {i + j for i in at for j in range(n)}
+            if at and item is not None:
+                items.add(str(item))
+        wanted.append((d[0], len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    same([tuple(r) for r in rows(spark, "op5_decontamination", mixed)], wanted)
+
+
+def test_op6(spark, mixed):
+    found = rows(spark, "op6_quality", mixed)
+    assert len(found) == len(DOCS)
+    assert all(0 <= r.p_top <= r.p_middle <= 1 and abs(r.expected_grade - r.p_top - r.p_middle) < 1e-9 for r in found)
+    junk = {d[0] for d in DOCS if " | " in text(d)}
+    assert {r.doc_id for r in found if r.doc_id is not None and not r.selected} == junk
+
+
+def test_op7(spark, mixed):
+    """What must hold of any result: lines go only, first copies stay, the shared passage stays once, rows with equal texts agree."""
+    found = rows(spark, "op7_linededup", mixed)
+    assert len(found) == len(DOCS)
+    by = {(d[0], d[1]): d for d in DOCS}
+    shared = [d[1].rsplit("\n", 5)[1:] for d in DOCS[:60] if d[0] % 10 == 5][0]
+    assert sum(shared[1] in (r.text or "").split("\n") for r in found) == 1
+    kept = Counter()
+    for r in found:
+        whole = next(d for k, d in by.items() if k[0] == r.doc_id and (k[1] is None) == (r.text is None))
+        if r.text is not None:
+            lines, all_lines = r.text.split("\n") if r.n_lines > r.n_removed else [], whole[1].split("\n")
+            assert r.n_lines == len(all_lines) and len(lines) == r.n_lines - r.n_removed
+            it = iter(all_lines)
+            assert all(line in it for line in lines)
+            kept.update(x for x in lines if len(x) >= 100)
+    copies = Counter((r.doc_id, r.text) for r in found)
+    assert all(n == 1 or copies[c] <= 3 for c, n in copies.items())
+    assert all(n <= 3 for n in kept.values())
+
+
+def tokens(t):
+    return [w.lower() for w in WHITE.findall(t.encode())] + [None]
+
+
+def test_op8(spark, mixed):
+    held = lambda d: d[0] is not None and zlib.crc32(str(d[0]).encode()) % 5 == 1
+    c = Counter(w for d in DOCS if not held(d) for w in tokens(text(d)))
+    n, v = sum(c.values()), len(c)
+    wanted, found = [], rows(spark, "op8_hmm", mixed)
+    for d in DOCS:
+        t = tokens(text(d))
+        wanted.append((d[0], held(d), len(t), sum(c[w] > 0 for w in t), n, f"{sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t):.6f}"))
+    same([(*tuple(r)[:5], f"{r.base_score:.6f}") for r in found], wanted)
+    assert all(r.score < 0 and math.isfinite(r.score) for r in found)
+    assert sum(r.score - r.base_score for r in found) > 0
+
+
+def test_op9(spark, mixed):
+    found = rows(spark, "op9_mixing", mixed)
+    sizes = Counter()
+    for d in DOCS:
+        sizes[d[3]] += len(WHITE.findall(text(d).encode()))
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    target, free, left = {}, set(order), sum(sizes.values())
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 3 * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3 * sizes[s]
+            left -= 3 * sizes[s]
+        free -= over
+    target |= share
+    by = Counter((d[0], d[3], len(WHITE.findall(text(d).encode()))) for d in DOCS)
+    taken, total = Counter(), Counter()
+    source = {(d[0], len(WHITE.findall(text(d).encode()))): d[3] for d in DOCS}
+    for r in found:
+        s = source[r.doc_id, r["size"]]
+        assert by[r.doc_id, s, r["size"]] and r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6 and 0 <= r.taken <= 3 * r["size"]
+        taken[s] += r.taken
+        total[s] += r["size"]
+    assert total == +sizes
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in order)
+    same(found, rows(spark, "op9_mixing", mixed))
+
+
+def test_op10(spark, mixed):
+    found = rows(spark, "op10_langid", mixed)
+    assert len(found) == len(DOCS)
+    by = {d[0]: d for d in DOCS}
+    for r in found:
+        assert 0 <= r.score <= 1
+        if r.doc_id is not None:
+            assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+            assert (r.lang_pred == "und") == (not any(map(str.isalpha, text(by[r.doc_id]))))
+    sure = [r for r in found if r.held_out and r.doc_id < 60]
+    assert sum(r.lang_pred == by[r.doc_id][2] for r in sure) >= 0.9 * len(sure)
+
+
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_empty_tables(spark, empty, name):
+    assert rows(spark, name, empty) == []
+
+
+def test_pipeline(spark, mixed, tmp_path):
+    docs = spark.read.parquet(f"{mixed}/documents.parquet")
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, mixed)
+        assert docs.columns == out.columns if name != "mixing" else set(docs.columns) <= set(out.columns)
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        after = docs.count()
+        assert after == before if name == "linededup" else after <= before
+        before = after
+        if name == "simhash":
+            prints = [simhash(r.text or "", 5) for r in docs.select("text").collect()]
+            assert len(set(hamming_components(prints))) == len(prints)
+        if name == "decontamination":
+            assert 0 not in [r.doc_id for r in docs.select("doc_id").collect()]
+    keys = {r["key"] for r in docs.select("key").collect()}
+    assert all(k is None or k.startswith("key") for k in keys)
+
+
+def test_pipeline_empty(spark, empty):
+    assert corpus_pipeline.run(spark, empty).collect() == []
