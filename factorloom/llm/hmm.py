@@ -25,7 +25,7 @@ from .common import materialize, table
 
 STATES, CLASSES = 8, 1024
 #: Bytes of text in a chunk; tokens in a training segment; segments that are trained on at a time.
-CHUNK, SEGMENT, TOGETHER = 1 << 23, 128, 4096
+CHUNK, SEGMENT, TOGETHER = 1 << 24, 128, 2048
 #: The first rounds are on so many training documents, those with the smallest hashes of their ids; then come rounds over all.
 SAMPLE, SAMPLE_ROUNDS, ROUNDS = 2000, 15, 2
 END = 0
@@ -107,22 +107,21 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
 
 
 def answered(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """For each chunk: known, the hashes of its words that training has, sorted, and counts, how often."""
+    """For each chunk: known, the codes of its words that training has, and known_n, how often it has them."""
 
     def asked(batches):
         for batch in batches:
             for chunk, hashes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = np.frombuffer(hashes.as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(h)], ["chunk", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), chunk)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["chunk", "code", "hash"])
 
     def gathered(group: pa.Table) -> pa.Table:
-        h, n = group.column("hash").to_numpy().view(np.uint64), group.column("n").to_numpy()
-        order = np.argsort(h)
-        return pa.table({"chunk": [group.column("chunk")[0].as_py()], "known": pa.array([h[order].tobytes()], pa.binary()), "known_n": pa.array([n[order].tobytes()], pa.binary())})
+        data = [group.column(c).to_numpy().astype(t).tobytes() for c, t in (("code", "<i4"), ("n", "<i8"))]
+        return pa.table({"chunk": [group.column("chunk")[0].as_py()], "known": pa.array(data[:1], pa.binary()), "known_n": pa.array(data[1:], pa.binary())})
 
-    questions = chunks.select("chunk", "hashes").mapInArrow(asked, "chunk long, hash long")
+    questions = chunks.select("chunk", "hashes").mapInArrow(asked, "chunk long, code int, hash long")
     # A chunk has a bounded number of words.
-    return questions.join(words.select("hash", "n"), "hash").groupBy("chunk").applyInArrow(gathered, "chunk long, known binary, known_n binary")
+    return questions.join(words.select("hash", "n"), "hash").select("chunk", "code", "n").groupBy("chunk").applyInArrow(gathered, "chunk long, known binary, known_n binary")
 
 
 @dataclass
@@ -291,12 +290,9 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", train=None
         for batch in batches:
             for row in each(batch):
                 mask, lengths, codes, kinds = decoded(row)
-                hashes = np.frombuffer(row["hashes"].as_buffer(), np.uint64)
-                n = np.zeros(len(hashes))
+                n = np.zeros(len(kinds))
                 if row["known"].is_valid:
-                    asked, found = np.frombuffer(row["known"].as_buffer(), np.uint64), np.frombuffer(row["known_n"].as_buffer(), "<i8")
-                    at = np.minimum(np.searchsorted(asked, hashes), len(asked) - 1)
-                    n = np.where(asked[at] == hashes, found[at], 0)
+                    n[np.frombuffer(row["known"].as_buffer(), "<i4")] = np.frombuffer(row["known_n"].as_buffer(), "<i8")
                 alone = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
                 within = np.log10((n + 0.5) / (by_class[kinds, 0] + 0.5 * (by_class[kinds, 1] + 1)))
                 doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -307,7 +303,7 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", train=None
                 yield pa.RecordBatch.from_arrays([row["ids"].values, *data], [ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return chunks.drop("counts").join(materialize(answered(chunks, known)), "chunk", "left").mapInArrow(scored, f"`{ident}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.drop("counts", "hashes").join(materialize(answered(chunks, known)), "chunk", "left").mapInArrow(scored, f"`{ident}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_hmm(spark, sf_dir):
