@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import NormalWishart, generator, noise, posterior_draws, symmetric
 from ..operators import evaluate, normal
+from ..sources import matrix
 from ..storage import discard, materialize
+from .timing import Sections
 
 log = logging.getLogger(__name__)
 SIDES = ("item", "user")
@@ -59,6 +61,7 @@ class Fitted:
     state: DataFrame | None
     metrics: list[dict] = field(default_factory=list)
     samples: dict[str, list[tuple[int, DataFrame]]] = field(default_factory=lambda: {s: [] for s in SIDES})
+    times: Sections = field(default_factory=Sections)
 
     def recommend(self, cells: DataFrame) -> DataFrame:
         """Predictions of cells (user, item) from the last sample."""
@@ -164,10 +167,12 @@ def fit(train: DataFrame, test: DataFrame | None = None, params: Params | None =
         for t in range(p.sweeps):
             for at, side in enumerate(SIDES):
                 if t == 0:
-                    m, cov, norms[side] = side_moments(factors[side], n[side], p.k)
+                    with out.times.section("hyper"):
+                        m, cov, norms[side] = side_moments(factors[side], n[side], p.k)
                     hyper[side] = prior.given(n[side], m * (not p.zero_mean), cov).draw(generator(p.seed, at, i))
                 other = "user" if side == "item" else "item"
-                drawn = materialize(half_sweep(train, side, factors[other], n[side], n[other], mean, hyper[side], p, (p.seed, at, i * p.sweeps + t), priors[side]))
+                with out.times.section(side):
+                    drawn = materialize(half_sweep(train, side, factors[other], n[side], n[other], mean, hyper[side], p, (p.seed, at, i * p.sweeps + t), priors[side]))
                 if not (p.keep_samples or p.posterior):
                     discard(factors[side])
                 factors[side] = drawn
@@ -176,8 +181,9 @@ def fit(train: DataFrame, test: DataFrame | None = None, params: Params | None =
                 out.samples[side].append((i, factors[side]))
         row = {"iter": i, "burnin": i < p.burnin, **{f"norm_{s}": float(np.sqrt(norms[s])) for s in SIDES}}
         if test is not None:
-            before, out.state = out.state, materialize(updated(out.state, evaluate.predicted(test, factors["user"], factors["item"], mean, p.k, p.bounds), i, p.burnin))
-            row |= errors(out.state)
+            with out.times.section("predict"):
+                before, out.state = out.state, materialize(updated(out.state, evaluate.predicted(test, factors["user"], factors["item"], mean, p.k, p.bounds), i, p.burnin))
+                row |= errors(out.state)
             if before is not None:
                 discard(before)
         took = time.perf_counter() - began
@@ -229,3 +235,27 @@ def save(model: Fitted, path: str) -> None:
         model.state.withColumn("pred_var", F.when(F.col("n") > 1, F.col("pred_m2") / (F.col("n") - 1))).write.mode("overwrite").parquet(f"{path}/predictions")
     if model.metrics:
         model.metrics_frame(spark).write.mode("overwrite").parquet(f"{path}/metrics")
+
+
+def export(model: Fitted, path: str) -> None:
+    """Matrix files of a model: Pavg.sdm and Pm2.sdm over the test cells, and of each side (U users, V items) the means and
+    precisions of its samples, or its last vectors where none were kept."""
+    if model.state is not None:
+        for name, column in (("Pavg", "pred_avg"), ("Pm2", "pred_m2")):
+            cells = model.state.select(F.col("user").alias("row"), F.col("item").alias("col"), F.col(column).alias("value"))
+            matrix.write_matrix(cells, f"{path}/{name}.sdm", rows=model.n["user"], cols=model.n["item"])
+    for side, letter in (("user", "U"), ("item", "V")):
+        if model.params.posterior:
+            post = materialize(model.posterior(side))
+            for name, column in (("mu", "mu"), ("Lambda", "lambda")):
+                matrix.write_matrix(matrix.as_cells(post.select("id", F.col(column).alias("f"))), f"{path}/{letter}-{name}.ddm", cols=model.n[side])
+        else:
+            matrix.write_matrix(matrix.as_cells(model.factors[side]), f"{path}/{letter}-mu.ddm", cols=model.n[side])
+        for i, f in model.samples[side] if model.params.keep_samples else []:
+            matrix.write_matrix(matrix.as_cells(f), f"{path}/{letter}-{i}.ddm", cols=model.n[side])
+
+
+def prior_from(spark: SparkSession, mu: str, precision: str, k: int) -> DataFrame:
+    """(id, mu, lambda) from a K x N and a K^2 x N matrix file, as `export` writes them."""
+    m, p = (matrix.as_vectors(matrix.read_matrix(spark, f), n) for f, n in ((mu, k), (precision, k * k)))
+    return m.withColumnRenamed("f", "mu").join(p.withColumnRenamed("f", "lambda"), "id")
