@@ -1,7 +1 @@
 """Operators of a training-data pipeline; nothing outside this subpackage imports it."""
-
-import factorloom
-from pyspark import cloudpickle
-
-# Workers get the operators' functions with the task, so a cluster needs no copy of this package.
-cloudpickle.register_pickle_by_value(factorloom)
