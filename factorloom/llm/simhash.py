@@ -12,6 +12,7 @@ Within a shard only links that join what isn't joined yet are passed on, not all
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -20,44 +21,56 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, schema_with, table
 from .components import components
+from .texthash import mixed
 
 SEED = 42
 #: Fingerprints in a shard for a task, in a leaf, and on average in a root's shard.
-SHARD, LEAF, AIM = 20_000, 64, 2048
+SHARD, LEAF, AIM = 20_000, 64, 64
 
 
-def fingerprint(data: bytes, shingle: int) -> int:
-    """Bit i is set if it is in over half of the hashes of the text's word shingles; 0 without words."""
+def shingled(data: bytes, shingle: int) -> np.ndarray:
+    """The hashes of all word shingles of a text, repeats included; of all words together if there are fewer."""
     words = data.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), len(words)
     if n <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     spans = zip((ends - lengths)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.array([digest(view[s:e], SEED) for s, e in spans], np.uint64)
+    return np.array([digest(view[s:e], SEED) for s, e in spans], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bit i is set if it is in over half of the hashes; 0 without any."""
+    if len(hashes) < 2:
+        return int(hashes.sum())
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(((2 * counts > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """Add `fp`, the fingerprint as a signed long, in place of text."""
+def fingerprints(docs: DataFrame, shingle: int, more: int = 0) -> DataFrame:
+    """Add `fp`, the fingerprint of the shingles' hashes as a signed long, in place of text; and fp1, fp2, ... of these hashes scrambled anew."""
+    names = ["fp", *[f"fp{i + 1}" for i in range(more)]]
 
     def added(batches):
         for batch in batches:
-            prints = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column("text")], np.uint64)
+            prints = np.zeros((len(names), batch.num_rows), np.uint64)
+            for at, x in enumerate(batch.column("text")):
+                hashes = shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)
+                for i in range(len(names)):
+                    prints[i, at] = fingerprint(hashes)
+                    hashes = mixed(hashes + np.uint64(i)) if i < more else hashes
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(prints.view(np.int64))], [*kept, "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(p.view(np.int64)) for p in prints]], [*kept, *names])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(added, f"{kept}, fp long")
+    return docs.mapInArrow(added, schema_with(docs, [c for c in docs.columns if c != "text"], ", ".join(f"{c} long" for c in names)))
 
 
 def masks(radius: int, agree: int) -> list[int]:
@@ -89,23 +102,26 @@ def leaves(prints: np.ndarray, members: np.ndarray, visitors: np.ndarray, radius
         yield own, guests
 
 
-def joined(prints: np.ndarray, visits: np.ndarray, radius: int, earlier: list[int]) -> tuple[list[int], list[int]]:
-    """Links of one shard that join its parts: a spanning forest of all links not found by earlier roots."""
+def joined(prints: np.ndarray, visits: np.ndarray, radius: int, earlier: list[int], closest: bool) -> tuple[list[int], list[int]]:
+    """Links of one shard that join its parts: a spanning forest of all links not found by earlier roots; of the closest ones if asked for."""
     label, us, vs = np.arange(len(prints)), [], []
     skip = np.array(earlier, np.uint64)
-    for own, guests in leaves(prints, np.flatnonzero(~visits), np.flatnonzero(visits), radius):
-        every = np.concatenate([own, guests])
-        for i in own:
-            apart = prints[every] ^ prints[i]
-            near = every[np.bitwise_count(apart) <= radius]
-            if len(near) > 1 and len(skip):
-                near = near[((prints[near] ^ prints[i])[:, None] & skip != 0).all(axis=1) | (near == i)]
-            if len(near) > 1:
-                groups, at = np.unique(label[near], return_index=True)
-                if len(groups) > 1:
-                    us += [int(prints[i])] * len(groups)
-                    vs += prints[near[at]].tolist()
-                    label[np.isin(label, groups)] = groups[0]
+    tree = leaves(prints, np.flatnonzero(~visits), np.flatnonzero(visits), radius)
+    tree = list(tree) if closest else tree
+    for reach in range(radius + 1) if closest else (radius,):
+        for own, guests in tree:
+            every = np.concatenate([own, guests])
+            for i in own:
+                apart = prints[every] ^ prints[i]
+                near = every[np.bitwise_count(apart) <= reach]
+                if len(near) > 1 and len(skip):
+                    near = near[((prints[near] ^ prints[i])[:, None] & skip != 0).all(axis=1) | (near == i)]
+                if len(near) > 1:
+                    groups, at = np.unique(label[near], return_index=True)
+                    if len(groups) > 1:
+                        us += [int(prints[i])] * len(groups)
+                        vs += prints[near[at]].tolist()
+                        label[np.isin(label, groups)] = groups[0]
     return us, vs
 
 
@@ -125,8 +141,8 @@ def small(shards: np.ndarray, prints: np.ndarray, radius: int, earlier: list[lis
     return us, vs
 
 
-def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int = SHARD) -> DataFrame:
-    """From distinct fingerprints (fp): links (u, v) of at most `radius` bits that join all that any links join."""
+def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int = SHARD, closest: bool = False) -> DataFrame:
+    """From distinct fingerprints (fp): links (u, v) of at most `radius` bits that join all that any links join; closest: by the closest links of each shard."""
     if agree is None:
         n = prints.count()
         agree = next((m for m in (1, 2, 3) if n / 2 ** (64 * m / (radius + m)) <= AIM), 3)
@@ -163,7 +179,7 @@ def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int =
             sizes = np.diff(np.append(first, len(ids)))
             plain = np.logical_or.reduceat(visits, first) | (sizes > LEAF)
             for f, n in zip(first[plain], sizes[plain], strict=True):
-                more = joined(prints[f : f + n], visits[f : f + n], radius, earlier[roots[f]])
+                more = joined(prints[f : f + n], visits[f : f + n], radius, earlier[roots[f]], closest)
                 us.extend(more[0])
                 vs.extend(more[1])
             rest = np.repeat(~plain, sizes)
@@ -207,15 +223,56 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return rows.join(by_print, "fp").select(F.col("id").alias(ident), "text_hash", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
-    """Of the documents of each component, the row with the smallest doc_id (null last; then by its text's hash), with the columns of docs."""
-    found = materialize(near_duplicates(docs, shingle=shingle, radius=radius))
-    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    kept = found.groupBy("root").agg(F.min(own).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_text"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["_text"]), "left_semi")
-    if found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+def similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The edges (u, v) between texts (node, text) whose sets of shingles have a Jaccard similarity of at least `least`; two empty sets are equal."""
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [np.unique(shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    def compared(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= least * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    nodes = materialize(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct())
+    few = nodes.count() * 100 <= broadcast_bytes
+    asked = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").mapInArrow(hashed, "node long, hashes binary")
+    sets = materialize(asked.dropDuplicates(["node"]))
+    paired = edges.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
+    return paired.select("u", "v", "x", "y").mapInArrow(compared, "u long, v long")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, more: int = 1, least: float = 0.8) -> DataFrame:
+    """Of each group of near copies, the row with the smallest doc_id (null last; then by its text's hash), with the columns of docs.
+
+    Near copies are equal texts, and texts whose sets of word shingles have a Jaccard similarity of at least `least`, found among those of whose
+    1 + `more` fingerprints one differs in at most `radius` bits; groups are what such links join. Texts without words are near copies of each other.
+    Texts are told apart by 64-bit hashes.
+    """
+    rows = materialize(fingerprints(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), "text"), shingle, more))
+    prints = [c for c in rows.columns if c.startswith("fp")]
+    own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")
+    texts = materialize(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in prints], F.min(own).alias("first"), F.count("*").alias("n"), F.countDistinct("id").alias("ids")))
+    found = []
+    for fp in prints:
+        chosen = materialize(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("chosen")))
+        ends = [chosen.select(F.col("fp").alias(c), F.col("chosen").alias(f"node_{c}")) for c in "uv"]
+        found.append(links(chosen.select("fp"), radius, closest=True).join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
+        found.append(texts.join(chosen, texts[fp] == chosen["fp"]).where("node <> chosen").select(F.col("node").alias("u"), F.col("chosen").alias("v")))
+    edges = materialize(reduce(DataFrame.unionByName, found).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    roots = components(similar(edges, docs.select(F.xxhash64("text").alias("node"), "text"), shingle, least)).select("node", "root")
+    kept = materialize(texts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first", "n", "ids").groupBy("root").agg(F.min("first").alias("k"), F.max(F.col("n") > F.col("ids")).alias("again")))
+    keys = kept.select(F.col("k.id").alias("_id"), F.col("k.node").alias("_text"))
+    out = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_text"]), "left_semi")
+    if kept.where("again").isEmpty():
         return out
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))  # the same row given more than once
+    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))  # rows given more than once, or without ids
     return out.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 

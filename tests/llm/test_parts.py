@@ -138,8 +138,8 @@ def union(pairs, nodes):
     return sorted(map(sorted, groups.values()))
 
 
-@pytest.mark.parametrize("agree,shard", [(1, 40), (1, 20000), (2, 20), (3, 20000)])
-def test_links_in_split_trees(spark, agree, shard):
+@pytest.mark.parametrize("agree,shard,closest", [(1, 40, False), (1, 20000, True), (2, 20, True), (3, 20000, False)])
+def test_links_in_split_trees(spark, agree, shard, closest):
     r = random.Random(3)
     prints = {r.getrandbits(64) for _ in range(300)}
     for x in list(prints)[:40]:  # chains and clusters about some of them
@@ -148,12 +148,30 @@ def test_links_in_split_trees(spark, agree, shard):
             prints.add(x % (1 << 64))
     prints = sorted(prints)
     frame = spark.createDataFrame([(simhash.signed(x),) for x in prints], "fp long")
-    found = [(e.u % (1 << 64), e.v % (1 << 64)) for e in simhash.links(frame, 4, agree=agree, shard=shard).collect()]
+    found = [(e.u % (1 << 64), e.v % (1 << 64)) for e in simhash.links(frame, 4, agree=agree, shard=shard, closest=closest).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in found)
     wanted = [(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 4]
     assert union(found, prints) == union(wanted, prints)
 
 
+def test_one_of_each_group_stays(spark):
+    """Near copies of every degree: what stays is a document of each group that similarity 0.8 joins."""
+    r = random.Random(8)
+    docs = []
+    for g in range(40):
+        words = prose(r, 120).split()
+        for c in range(r.randint(1, 4)):
+            for _ in range(r.choice([0, 1, 1, 2, 6, 40]) if c else 0):
+                words[r.randrange(120)] = "changed"
+            docs.append((len(docs), " ".join(words)))
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in docs]
+    close = [(a, b) for a, b in itertools.combinations(range(len(docs)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    groups = union(close, [d[0] for d in docs])
+    found = sum(len(kept & set(g)) == 1 for g in groups)
+    assert all(min(g) in kept for g in groups) and found >= 0.9 * len(groups)
+
+
 def test_components_of_chains(spark):
     r = random.Random(4)
     ids = r.sample(range(-(10**12), 10**12), 300)
