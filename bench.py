@@ -16,7 +16,7 @@ from factorloom import queries as q
 from factorloom.functions import sampling
 from factorloom.operators import normal
 from factorloom.plans import model
-from factorloom.storage import materialize
+from factorloom.storage import discard_all, materialize
 
 try:
     from factorloom.llm import queries as llm
@@ -62,6 +62,7 @@ def main() -> None:
     fitted = q.fitted(spark, DIR, k=10, samples=3)
     times["gibbs_k10_3_iterations"] = round(time.perf_counter() - began, 3)
     print(json.dumps({"metric": "total seconds of the headline queries, warm", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(DIR.rstrip("/")), "ratings_per_sec": round(fitted.metrics[-1]["ratings_per_sec"])}))
+    discard_all()
     spark.stop()
 
 

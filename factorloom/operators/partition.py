@@ -91,3 +91,8 @@ def islands(ids: DataFrame, by: str | None = None) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("id")
     runs = ids.withColumn("_run", F.col("id") - F.row_number().over(order))
     return runs.groupBy(*keys, "_run").agg(F.min("id").alias("first"), F.max("id").alias("last")).drop("_run")
+
+
+def by_connectivity(conn: DataFrame) -> DataFrame:
+    """Items dealt to partitions by part, and there in the order of the parts that need them: neighbours are sent to the same places."""
+    return conn.repartition("part").sortWithinPartitions("part", F.concat_ws(",", F.col("needed_by").cast("array<string>")), "item")

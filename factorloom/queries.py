@@ -17,9 +17,9 @@ from .functions import sampling
 from .functions.columns import normal, normal_sql, outer, squared_norm, uniform, uniform_sql
 from .operators import evaluate, normal as equations, partition, prep, ratings as rt
 from .plans import model
-from .sources import matrix
+from .sources import delimited, matrix
 from .storage import materialize, scratch_dir
-from .streaming.running import running_moments
+from .streaming.running import running_moments, windowed_error
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -354,6 +354,18 @@ def streaming_running_mean(spark, d):
     return last.select("cell", "s.n", F.round("s.pred_avg", 6).alias("pred_avg"), F.round("s.pred_m2", 6).alias("pred_m2"))
 
 
+@query("""SELECT date_trunc('hour', ts) AS start, round(sqrt(avg((value - 0.5) ** 2)), 6) AS rmse, count(*) AS n FROM events GROUP BY 1""")
+def streaming_windowed_error(spark, d):
+    """The events' values against a constant prediction, by hour, as a stream that is read to its end."""
+    source = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value", F.lit(0.5).alias("pred"))
+    stored = materialize(source)
+    stream = spark.readStream.schema(stored.schema).parquet(stored.scratch_path)
+    at = f"{scratch_dir(spark)}/stream-{stored.scratch_path.rpartition('/')[2]}"
+    writer = windowed_error(stream).writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{at}/rows")).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows").select(F.col("window.start").alias("start"), F.round("rmse", 6).alias("rmse"), "n")
+
+
 # --- linear algebra and draws, K = 2
 
 
@@ -497,6 +509,11 @@ def message_matrix(spark, d):
     return partition.messages(connectivity(spark, d))
 
 
+@query(f"""WITH {R}, {OWN} SELECT item, part, list_sort(list(dst)) AS needed_by FROM co WHERE part <> dst GROUP BY 1, 2""")
+def connectivity_sorted(spark, d):
+    return partition.by_connectivity(connectivity(spark, d))
+
+
 @query(f"""WITH {R}, {OWN}, n AS (SELECT r.item, up.part, count(*) AS c FROM r JOIN up ON r."user" = up.id GROUP BY 1, 2), t AS (SELECT item, sum(c) AS t FROM n GROUP BY 1)
     SELECT t.item, p::INTEGER AS part, (t - coalesce(c, 0))::BIGINT AS cost FROM t CROSS JOIN (SELECT unnest(generate_series(0, {PARTS - 1})) AS p) LEFT JOIN n ON n.item = t.item AND n.part = p""")
 def comm_cost(spark, d):
@@ -556,6 +573,13 @@ QUERIES["matrix_roundtrip_sbm"] = roundtrip("sbm")
 ORACLE_SQL["matrix_roundtrip_sbm"] = f"""WITH {R} SELECT "user" AS "row", item AS col, 1.0::DOUBLE AS value FROM r WHERE value > 0"""
 
 
+@query(f"""WITH {R} SELECT "user", item, value FROM r""")
+def tsv_roundtrip(spark, d):
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    delimited.write_triplets(ratings(spark, d), path)
+    return delimited.read_triplets(spark, path)
+
+
 def dense_roundtrip(ext: str, **options):
     def run(spark, d):
         path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/embeddings.{ext}"

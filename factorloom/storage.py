@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that this process has stored and not deleted, by path.
+STORED: dict[str, DataFrame] = {}
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
@@ -26,6 +29,7 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    STORED[path] = out
     return out
 
 
@@ -34,3 +38,9 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        STORED.pop(df.scratch_path, None)
+
+
+def discard_all() -> None:
+    """Delete whatever this process still has stored; results that read it have to be written by then."""
+    discard(*STORED.values())
