@@ -12,7 +12,7 @@ from .normal import with_factors
 def predicted(cells: DataFrame, users: DataFrame, items: DataFrame, mean: float, k: int, bounds: tuple[float, float] | None = None) -> DataFrame:
     """cells with pred, the product of both sides' vectors plus the mean; cells without a vector on both sides are left out."""
     both = with_factors(cells, users, "user", k).withColumnRenamed("f", "_u")
-    pred = dot(F.col("_u"), F.col("f")) + mean
+    pred = dot(F.col("_u"), F.col("f"), k) + mean
     return with_factors(both, items, "item", k).withColumn("pred", clamp(pred, *bounds) if bounds else pred).drop("_u", "f")
 
 
