@@ -82,10 +82,10 @@ def plausible(kind: str, span: str) -> bool:
 def labelled(seed: int = 2, n: int = 400) -> list[list[tuple[str, str]]]:
     """A small labelled table: lines of (token, label), made up from a rule."""
     r = random.Random(seed)
-    letters = lambda k, of="etaoinshrdlucmfé": "".join(r.choice(of) for _ in range(k))
+    letters = lambda k, of="etaoinshrdlucmféióäüñ": "".join(r.choice(of) for _ in range(k))
     mark = lambda: r.choice(["", "", "", ".", ",", "!!", "###", "$$$"])
     digits = lambda k: letters(k, "0123456789")
-    plain = lambda: r.choice([letters(r.randint(1, 12)), letters(r.randint(1, 9)).title(), letters(r.randint(2, 8)).upper(), digits(r.randint(1, 6)), f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{letters(4)}-{letters(3)}", "|"]) + mark()
+    plain = lambda: r.choice([letters(r.randint(1, 12)), letters(r.randint(10, 30)), letters(r.randint(1, 9)).title(), letters(r.randint(2, 8)).upper(), digits(r.randint(1, 6)), f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{letters(4)}-{letters(3)}", "|"]) + mark()
 
     def entity() -> list[tuple[str, str]]:
         kind = r.choice(LABELS[1:])
