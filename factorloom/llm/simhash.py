@@ -223,8 +223,11 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return rows.join(by_print, "fp").select(F.col("id").alias(ident), "text_hash", "fp", "root", "component_id")
 
 
-def similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """The edges (u, v) between texts (node, text) whose sets of shingles have a Jaccard similarity of at least `least`; two empty sets are equal."""
+def similar(edges: DataFrame, holders: DataFrame, texts: DataFrame, shingle: int, least: float, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The edges (u, v) between texts whose sets of shingles have a Jaccard similarity of at least `least`; two empty sets are equal.
+
+    holders (node, id) says which row of texts (id, node, text) to read for a node: one of all its copies.
+    """
 
     def hashed(batches):
         for batch in batches:
@@ -240,9 +243,11 @@ def similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float, broa
                 good.append(both >= least * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    nodes = materialize(edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct())
-    few = nodes.count() * 100 <= broadcast_bytes
-    asked = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").mapInArrow(hashed, "node long, hashes binary")
+    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    read = materialize(nodes.join(holders, "node").select(F.col("node").alias("_node"), F.col("id").alias("_id")))
+    few = read.count() * 100 <= broadcast_bytes
+    here = texts["id"].eqNullSafe(F.col("_id")) & (texts["node"] == F.col("_node"))
+    asked = texts.join(F.broadcast(read) if few else read, here, "left_semi").mapInArrow(hashed, "node long, hashes binary")
     sets = materialize(asked.dropDuplicates(["node"]))
     paired = edges.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
     return paired.select("u", "v", "x", "y").mapInArrow(compared, "u long, v long")
@@ -255,7 +260,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, more: int = 1,
     1 + `more` fingerprints one differs in at most `radius` bits; groups are what such links join. Texts without words are near copies of each other.
     Texts are told apart by 64-bit hashes.
     """
-    rows = materialize(fingerprints(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), "text"), shingle, more))
+    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), "text")
+    rows = materialize(fingerprints(named, shingle, more))
     prints = [c for c in rows.columns if c.startswith("fp")]
     own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")
     texts = materialize(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in prints], F.min(own).alias("first"), F.count("*").alias("n"), F.countDistinct("id").alias("ids")))
@@ -266,7 +272,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, more: int = 1,
         found.append(links(chosen.select("fp"), radius, closest=True).join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
         found.append(texts.join(chosen, texts[fp] == chosen["fp"]).where("node <> chosen").select(F.col("node").alias("u"), F.col("chosen").alias("v")))
     edges = materialize(reduce(DataFrame.unionByName, found).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    roots = components(similar(edges, docs.select(F.xxhash64("text").alias("node"), "text"), shingle, least)).select("node", "root")
+    roots = components(similar(edges, texts.select("node", "first.id"), named, shingle, least)).select("node", "root")
     kept = materialize(texts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first", "n", "ids").groupBy("root").agg(F.min("first").alias("k"), F.max(F.col("n") > F.col("ids")).alias("again")))
     keys = kept.select(F.col("k.id").alias("_id"), F.col("k.node").alias("_text"))
     out = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_text"]), "left_semi")
