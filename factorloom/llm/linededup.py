@@ -2,7 +2,8 @@
 
 A rolling hash over the hashes of two neighbouring lines decides where a chunk ends, so that a passage is cut at
 the same places wherever it stands; a long line is a chunk of its own. Where a passage meets other text, its first
-and last lines share a chunk with foreign lines; so a chunk's beginnings and ends are looked up as well.
+and last lines share a chunk with foreign lines; so a chunk's beginnings and ends are looked up as well, and those too short to be
+looked up alone together with the chunk that they adjoin.
 """
 
 from __future__ import annotations
@@ -31,10 +32,16 @@ def with_runs(docs: DataFrame, text: str) -> DataFrame:
         OR (31 * coalesce(get(hashes, i - 2), 0) + hashes[i - 1]) % {ONE_IN} = 0)"""
     at = at.withColumn("ends", F.expr(ends))
     chunks = at.withColumn("chunks", F.expr("transform(ends, (e, k) -> named_struct('start', coalesce(get(ends, k - 1), 0), 'stop', e))"))
-    runs = f"""flatten(transform(chunks, c -> IF(c.stop - c.start BETWEEN 2 AND {SPLIT}, concat(array(c),
+    within = f"""flatten(transform(chunks, c -> IF(c.stop - c.start BETWEEN 2 AND {SPLIT}, concat(array(c),
         transform(sequence(c.start + 1, c.stop - 1), j -> named_struct('start', c.start, 'stop', j)),
         transform(sequence(c.start + 1, c.stop - 1), j -> named_struct('start', j, 'stop', c.stop))), array(c))))"""
-    long = f"aggregate(slice(sizes, r.start + 1, r.stop - r.start), r.stop - r.start - 1, (a, s) -> a + s) >= {LEAST}"
+    size = lambda start, stop: f"(aggregate(slice(sizes, {start} + 1, {stop} - {start}), {stop} - {start} - 1, (t, s) -> t + s))"
+    fits = lambda c: f"{c}.stop - {c}.start <= {SPLIT}"
+    across = f"""IF(size(chunks) < 2, array(), flatten(transform(slice(chunks, 2, size(chunks) - 1), (b, k) -> IF({fits("chunks[k]")} AND {fits("b")}, concat(
+        transform(filter(sequence(chunks[k].start, chunks[k].stop - 1), j -> {size("j", "chunks[k].stop")} < {LEAST}), j -> named_struct('start', j, 'stop', b.stop)),
+        transform(filter(sequence(b.start + 1, b.stop), j -> {size("b.start", "j")} < {LEAST}), j -> named_struct('start', chunks[k].start, 'stop', j))), array()))))"""
+    runs = f"array_distinct(concat({within}, {across}))"
+    long = f"{size('r.start', 'r.stop')} >= {LEAST}"
     return chunks.withColumn("runs", F.expr(f"filter({runs}, r -> {long})")).drop("hashes", "sizes", "ends", "chunks")
 
 
@@ -80,10 +87,13 @@ l AS (SELECT doc_id, lines, i, lines[i] AS line, ('0x' || substr(md5(lines[i]),
 e AS (SELECT doc_id, lines, i, i = len(lines) OR length(line) >= {LEAST} OR length(lines[i + 1]) >= {LEAST}
              OR (31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) + h) % {ONE_IN} = 0 AS ends FROM l),
 c AS (SELECT doc_id, lines, i AS stop, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), 0) AS start FROM e WHERE ends),
+n AS (SELECT * FROM (SELECT *, lead(stop) OVER (PARTITION BY doc_id ORDER BY start) AS upto FROM c) WHERE stop - start <= {SPLIT} AND upto - stop <= {SPLIT}),
 r AS (
   SELECT doc_id, lines, start, stop FROM c
   UNION SELECT doc_id, lines, start, unnest(generate_series(start + 1, stop - 1)) FROM c WHERE stop - start BETWEEN 2 AND {SPLIT}
-  UNION SELECT doc_id, lines, unnest(generate_series(start + 1, stop - 1)), stop FROM c WHERE stop - start BETWEEN 2 AND {SPLIT}),
+  UNION SELECT doc_id, lines, unnest(generate_series(start + 1, stop - 1)), stop FROM c WHERE stop - start BETWEEN 2 AND {SPLIT}
+  UNION SELECT doc_id, lines, i, upto FROM (SELECT doc_id, lines, upto, stop, unnest(generate_series(start, stop - 1)) AS i FROM n) WHERE length(array_to_string(lines[i + 1:stop], chr(10))) < {LEAST}
+  UNION SELECT doc_id, lines, start, i FROM (SELECT doc_id, lines, start, stop, unnest(generate_series(stop + 1, upto)) AS i FROM n) WHERE length(array_to_string(lines[stop + 1:i], chr(10))) < {LEAST}),
 t AS (SELECT doc_id, start, stop, array_to_string(lines[start + 1:stop], chr(10)) AS run FROM r),
 g AS (SELECT doc_id, start, stop, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS nth FROM t WHERE length(run) >= {LEAST}),
 x AS (SELECT DISTINCT doc_id, unnest(generate_series(start + 1, stop)) AS i FROM g WHERE nth > 1),
