@@ -65,7 +65,7 @@ class Fitted:
 
     def recommend(self, cells: DataFrame) -> DataFrame:
         """Predictions of cells (user, item) from the last sample."""
-        return evaluate.predicted(cells, self.factors["user"], self.factors["item"], self.mean, self.params.k, self.params.bounds)
+        return evaluate.predicted(cells, self.factors["user"], self.factors["item"], self.mean, self.params.k, self.params.bounds, self.n["user"], self.n["item"])
 
     def metrics_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.metrics)
@@ -156,6 +156,7 @@ def fit(train: DataFrame, test: DataFrame | None = None, params: Params | None =
     n = {"user": n_users or (most["user"] or 0) + 1, "item": n_items or (most["item"] or 0) + 1}
     mean, nnz = train.agg(F.avg("value"), F.count("*")).first()
     train = materialize(train.select("user", "item", "value"))
+    test = None if test is None else materialize(test.select("user", "item", "value"))
     priors = {"user": user_prior, "item": item_prior}
     zeros = lambda s: spark.range(n[s]).select("id", F.array_repeat(F.lit(0.0), p.k).alias("f"))
     factors = {s: materialize((init or {}).get(s) or zeros(s)) for s in SIDES}
@@ -182,7 +183,7 @@ def fit(train: DataFrame, test: DataFrame | None = None, params: Params | None =
         row = {"iter": i, "burnin": i < p.burnin, **{f"norm_{s}": float(np.sqrt(norms[s])) for s in SIDES}}
         if test is not None:
             with out.times.section("predict"):
-                before, out.state = out.state, materialize(updated(out.state, evaluate.predicted(test, factors["user"], factors["item"], mean, p.k, p.bounds), i, p.burnin))
+                before, out.state = out.state, materialize(updated(out.state, evaluate.predicted(test, factors["user"], factors["item"], mean, p.k, p.bounds, n["user"], n["item"]), i, p.burnin))
                 row |= errors(out.state)
             if before is not None:
                 discard(before)
