@@ -25,7 +25,7 @@ from .common import materialize, table
 
 STATES, CLASSES = 8, 1024
 #: Bytes of text in a chunk; tokens in a training segment; segments that are trained on at a time.
-CHUNK, SEGMENT, TOGETHER = 1 << 24, 128, 2048
+CHUNK, SEGMENT, TOGETHER = 3 << 22, 128, 2048
 #: The first rounds are on so many training documents, those with the smallest hashes of their ids; then come rounds over all.
 SAMPLE, SAMPLE_ROUNDS, ROUNDS = 2000, 15, 2
 END = 0
@@ -47,9 +47,9 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found = []
     for rows, starts, data in th.pieces(column, th.spaced()):
         t = th.tokens(rows, starts, data, th.spaced(), ())
-        found.append((t["row"], t["hash"], classed(t)))
+        found.append((t["row"].astype(np.int32), t["hash"], classed(t)))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
 
 
@@ -82,6 +82,7 @@ def encoded(docs: DataFrame) -> DataFrame:
                 rank = np.empty(len(order), np.uint32)
                 rank[order] = np.arange(len(order))
                 codes = rank[codes]
+                del hashes
                 counts = np.bincount(codes[train[row]], minlength=len(order))
                 lengths = np.bincount(row, minlength=len(train)).astype("<i4")
                 data = [train.tobytes(), lengths.tobytes(), packed(codes), distinct[order].tobytes(), kinds[first][order].tobytes(), counts.astype("<i8").tobytes()]

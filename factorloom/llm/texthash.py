@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; longer texts are cut at white space.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Lengths in bytes of the word beginnings that are hashed besides words.
 BEGINNINGS = (5, 6, 7, 8)
 #: An odd multiplier: its powers have inverses modulo 2**64.
