@@ -83,7 +83,7 @@ def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.ndarray,
 
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").mapInArrow(hashed, "grade int, hashes binary").collect()
     rows.sort(key=lambda r: hashlib.md5(bytes(r.hashes)).digest())  # the same order on every run
-    return np.array([r.grade for r in rows]), [np.frombuffer(bytes(r.hashes), np.uint64) for r in rows]
+    return np.array([r.grade for r in rows]), [np.frombuffer(r.hashes, np.uint64) for r in rows]
 
 
 def grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -92,6 +92,18 @@ def grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.n
     return keys[np.concatenate([[0], cuts])] if len(keys) else keys, np.split(values, cuts) if len(keys) else []
 
 
+def counted(sets: list[np.ndarray], values: np.ndarray, parts: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of all sets, sorted, how many sets have each, and the sum of these sets' values; by ranges of hashes, for less memory."""
+    out = []
+    edges = [np.array([np.searchsorted(s, np.uint64(i << 60)) for i in range(1, parts)]) for s in sets]
+    cuts = [np.concatenate([[0], e, [len(s)]]) for e, s in zip(edges, sets, strict=True)]
+    for i in range(parts):
+        pieces = [s[c[i] : c[i + 1]] for s, c in zip(sets, cuts, strict=True)]
+        hashes, at = np.unique(np.concatenate(pieces), return_inverse=True)
+        out.append((hashes, np.bincount(at, minlength=len(hashes)), np.bincount(at, np.repeat(values, [len(p) for p in pieces]), len(hashes))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+
+
 def fit(grades: np.ndarray, sets: list[np.ndarray], top: int = 2, least_z: float = 3.5, rounds: int = 800, shrink: float = 0.01) -> Ordinal:
     """Fit by adaptive gradient steps on the features whose documents' mean grade is low by `least_z` standard errors.
 
@@ -101,16 +113,12 @@ def fit(grades: np.ndarray, sets: list[np.ndarray], top: int = 2, least_z: float
     if not len(grades) or grades.min() == grades.max():
         seen = int(grades[0]) if len(grades) else top
         return Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.where(np.arange(1, top + 1) <= seen, -20.0, 20.0))
-    every = np.concatenate(sets)
-    hashes, at = np.unique(every, return_inverse=True)
-    n = np.bincount(at)
-    apart = np.bincount(at, np.repeat(grades - grades.mean(), [len(s) for s in sets]))
+    hashes, n, apart = counted(sets, grades - grades.mean())
     kept = np.flatnonzero((-apart / (np.sqrt(n) * grades.std()) >= least_z) & (n >= 3))
-    place = np.full(len(hashes), -1)
-    place[kept] = np.arange(len(kept))
-    col = place[at]
-    doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[col >= 0]
-    col = col[col >= 0]
+    hashes = hashes[kept]
+    found = [np.searchsorted(hashes, s[np.isin(s, hashes, assume_unique=True)]) for s in sets]
+    col = np.concatenate(found)
+    doc = np.repeat(np.arange(len(sets)), [len(f) for f in found])
     w = np.zeros(len(kept))
     share = np.clip([(grades >= k).mean() for k in range(1, top + 1)], 1e-3, 1 - 1e-3)
     b = -np.log(share / (1 - share))
@@ -131,7 +139,7 @@ def fit(grades: np.ndarray, sets: list[np.ndarray], top: int = 2, least_z: float
         sb += gb**2
         w = np.minimum(w - 0.1 * gw / np.sqrt(sw), 0)
         b = np.maximum.accumulate(b - 0.1 * gb / np.sqrt(sb))
-    return Ordinal(hashes[kept], w, b)
+    return Ordinal(hashes, w, b)
 
 
 def cut(grades: np.ndarray, sets: list[np.ndarray], top: int = 2, harm: float = 4) -> float:
