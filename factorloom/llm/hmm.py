@@ -25,7 +25,7 @@ from .common import materialize, table
 
 STATES, CLASSES = 8, 1024
 #: Bytes of text in a chunk; tokens in a training segment; segments that are trained on at a time.
-CHUNK, SEGMENT, TOGETHER = 3 << 22, 128, 2048
+CHUNK, SEGMENT, TOGETHER = 3 << 22, 128, 1024
 #: The first rounds are on so many training documents, those with the smallest hashes of their ids; then come rounds over all.
 SAMPLE, SAMPLE_ROUNDS, ROUNDS = 2000, 15, 2
 END = 0
@@ -278,7 +278,7 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", train=None
                 for row in each(batch):
                     mask, lengths, codes, kinds = decoded(row)
                     if mask.any():
-                        sums += expected(now, *closed(kinds[codes[chosen(mask, lengths)]].astype(np.int64), lengths[mask]))
+                        sums += expected(now, *closed(kinds[codes[chosen(mask, lengths)]], lengths[mask]))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["i", "x"])
 
         summed = chunks.select("train", "lengths", "codes", "classes").mapInArrow(counts, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
@@ -298,7 +298,7 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", train=None
                 within = np.log10((n + 0.5) / (by_class[kinds, 0] + 0.5 * (by_class[kinds, 1] + 1)))
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 base = np.bincount(doc, alone[codes], len(lengths)) + math.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
-                whole = np.bincount(doc, within[codes], len(lengths)) + likelihoods(model, *closed(kinds[codes].astype(np.int64), lengths))
+                whole = np.bincount(doc, within[codes], len(lengths)) + likelihoods(model, *closed(kinds[codes], lengths))
                 seen = np.bincount(doc, n[codes] > 0, len(lengths)).astype(np.int64) + (ends > 0)
                 data = [pa.array(~mask), pa.array(lengths + 1), pa.array(seen), pa.array(np.full(len(lengths), int(total))), pa.array(base), pa.array(whole)]
                 yield pa.RecordBatch.from_arrays([row["ids"].values, *data], [ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
