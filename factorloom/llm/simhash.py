@@ -28,6 +28,8 @@ from .texthash import mixed
 SEED = 42
 #: Fingerprints in a shard for a task, in a leaf, and on average in a root's shard.
 SHARD, LEAF, AIM = 20_000, 64, 64
+#: Groups that share a hash before it goes to the end of the order, told from one of so many texts; pairs a row from which on one text of each hash goes first; bytes of text in a bucket of hashes.
+CROWD, ONE_OF, MANY, BUCKET = 64, 16, 20, 1 << 26
 
 
 def shingled(data: bytes, shingle: int) -> np.ndarray:
@@ -253,12 +255,105 @@ def similar(edges: DataFrame, holders: DataFrame, texts: DataFrame, shingle: int
     return paired.select("u", "v", "x", "y").mapInArrow(compared, "u long, v long")
 
 
+def prefixes(docs: DataFrame, shingle: int, least: float, late: np.ndarray, buckets: int) -> DataFrame:
+    """Of docs (node, text): (token, node, at, size) for every shingle hash that the prefixes of several texts hold, with its place and the number of shingles.
+
+    A text's prefix is so long that sets with a Jaccard similarity of at least `least` share a hash of their prefixes, whatever the order that
+    all sets are sorted in. Here it is that of the hashes, `late` (sorted) after all others. Texts without words share the hash 0.
+    """
+    fields = np.dtype([("token", np.uint64), ("node", np.int64), ("at", np.int32), ("size", np.int32)])
+
+    def dealt(batches):
+        for batch in batches:
+            parts, seen = [], set()
+            for node, x in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                tokens = np.unique(shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle))
+                n = len(tokens)
+                if n and len(late):
+                    last = late[np.minimum(np.searchsorted(late, tokens), len(late) - 1)] == tokens
+                    tokens = np.concatenate([tokens[~last], tokens[last]])
+                tokens = tokens[: n - int(np.ceil(least * n - 1e-9)) + 1] if n else np.zeros(1, np.uint64)
+                part = np.empty(len(tokens), fields)
+                part["token"], part["node"], part["at"], part["size"] = tokens, node, np.arange(len(tokens)), n
+                parts.append(part)
+            every = np.concatenate(parts) if parts else np.empty(0, fields)
+            bucket = (mixed(every["token"]) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((every["token"], bucket))
+            held, first = np.unique(bucket[order], return_index=True)
+            blobs = [x.view(np.uint8).reshape(-1, fields.itemsize).T.tobytes() for x in np.split(every[order], first[1:])] if len(held) else []  # by byte: smaller on disk
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "data"])
+
+    def shared(batches):
+        parts = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(fields.itemsize, -1).T).view(fields)[:, 0] for batch in batches for x in batch.column("data")]
+        if not parts:
+            return
+        every = np.concatenate(parts)
+        every = every[np.lexsort((every["node"], every["token"]))]
+        token, node = every["token"], every["node"]
+        every = every[np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])]  # equal texts once
+        _, at, n = np.unique(every["token"], return_inverse=True, return_counts=True)
+        every = every[n[at] > 1]
+        for i in range(0, len(every), 100_000):
+            some = every[i : i + 100_000]
+            columns = [some["token"].view(np.int64) if c == "token" else some[c] for c in fields.names]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], list(fields.names))
+
+    blobs = docs.select("node", "text").mapInArrow(dealt, "bucket long, data binary")
+    return blobs.repartition(buckets, "bucket").mapInArrow(shared, "token long, node long, at int, size int")
+
+
+def could(least: float) -> Column:
+    """Whether texts `a` and `b` with a common hash, the first one that they share, can be similar: by their sizes and what follows it."""
+    common = 1 + F.least(F.col("a.size") - F.col("a.at") - 1, F.col("b.size") - F.col("b.at") - 1)
+    sizes = F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-9
+    return sizes & (common * (1 + least) >= least * (F.col("a.size") + F.col("b.size")) - 1e-9)
+
+
+def all_similar(first: DataFrame, named: DataFrame, holders: DataFrame, shingle: int, least: float, buckets: int) -> DataFrame:
+    """Links (u, v) that join whatever a Jaccard similarity of at least `least` joins; `first` are some of them.
+
+    Every pair of texts that a common prefix hash allows, and that verified links don't join yet, is compared; no pair is left out for
+    another that isn't verified. Hashes that over CROWD groups share come last in the order, so that few prefixes reach them; they are told from one
+    of ONE_OF texts, for the result doesn't depend on the order.
+    """
+    good = [first]
+
+    def labelled(tokens):
+        roots = components(reduce(DataFrame.unionByName, good))
+        return tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    some = prefixes(named.where(F.pmod(F.col("node"), F.lit(ONE_OF)) == 0), shingle, 0.0, np.zeros(0, np.uint64), buckets)
+    crowded = labelled(some).groupBy("token").agg(F.countDistinct("root").alias("n")).where(F.col("n") * ONE_OF > CROWD).select("token")
+    late = np.sort(crowded.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
+    tokens = materialize(prefixes(named, shingle, least, late, buckets))
+    stuck = False
+    while True:
+        known = materialize(labelled(tokens))
+        groups = materialize(known.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("root").alias("roots"), F.min(F.struct("root", "node", "at", "size")).alias("a")).where("roots > 1"))
+        rows, pairs = groups.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        if not rows:
+            break
+        one = not stuck and pairs > MANY * rows  # one text of each hash against all others first: what that joins needs no more pairs
+        members = known.join(groups.select("token", "a"), "token").select("token", "a", F.struct("root", "node", "at", "size").alias("b"))
+        both = members if one else members.select("token", F.col("b").alias("a")).join(members.select("token", "b"), "token").where("a.node < b.node")
+        asked = both.where((F.col("a.root") != F.col("b.root")) & could(least))
+        edges = materialize(asked.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
+        good.append(materialize(similar(edges, holders, named, shingle, least)))
+        if not one:
+            break
+        stuck = good[-1].isEmpty()
+    return reduce(DataFrame.unionByName, good)
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, more: int = 1, least: float = 0.8) -> DataFrame:
     """Of each group of near copies, the row with the smallest doc_id (null last; then by its text's hash), with the columns of docs.
 
-    Near copies are equal texts, and texts whose sets of word shingles have a Jaccard similarity of at least `least`, found among those of whose
-    1 + `more` fingerprints one differs in at most `radius` bits; groups are what such links join. Texts without words are near copies of each other.
-    Texts are told apart by 64-bit hashes.
+    Near copies are equal texts, and texts whose sets of word shingles have a Jaccard similarity of at least `least`; groups are what such links join.
+    Those of whose 1 + `more` fingerprints one differs in at most `radius` bits are joined first, cheaply; the rest by the shingles themselves, exactly.
+    Texts without words are near copies of each other. Texts and shingles are told apart by 64-bit hashes.
     """
     named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), "text")
     rows = materialize(fingerprints(named, shingle, more))
@@ -272,7 +367,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, more: int = 1,
         found.append(links(chosen.select("fp"), radius, closest=True).join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
         found.append(texts.join(chosen, texts[fp] == chosen["fp"]).where("node <> chosen").select(F.col("node").alias("u"), F.col("chosen").alias("v")))
     edges = materialize(reduce(DataFrame.unionByName, found).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    roots = components(similar(edges, texts.select("node", "first.id"), named, shingle, least)).select("node", "root")
+    holders = texts.select("node", "first.id")
+    near = materialize(similar(edges, holders, named, shingle, least))
+    buckets = max(256, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)
+    roots = components(all_similar(near, named, holders, shingle, least, buckets)).select("node", "root")
     kept = materialize(texts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first", "n", "ids").groupBy("root").agg(F.min("first").alias("k"), F.max(F.col("n") > F.col("ids")).alias("again")))
     keys = kept.select(F.col("k.id").alias("_id"), F.col("k.node").alias("_text"))
     out = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_text"]), "left_semi")

@@ -172,6 +172,33 @@ def test_one_of_each_group_stays(spark):
     assert all(min(g) in kept for g in groups) and found >= 0.9 * len(groups)
 
 
+def close_pairs(texts, least=0.8):
+    """Pairs of texts by the exact similarity of their five-word shingles."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    return [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+
+
+def kept_of(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {x.doc_id for x in simhash.keep_one(frame).collect()}
+
+
+def test_rejected_links_hide_no_others(spark, monkeypatch):
+    """A crowd of texts about as close as the limit: links that the exact check rejects must not stand for those that it would not."""
+    monkeypatch.setattr(simhash, "LEAF", 4)
+    r = random.Random(11)
+    base, texts = prose(r, 300).split(), []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(r.randint(3, 8)):
+            words[r.randrange(300)] = f"changed{r.random()}"
+        texts.append(" ".join(words))
+    prints = [simhash.fingerprint(simhash.shingled(t.encode(), 5)) for t in texts]
+    near = [(a, b) for a, b in close_pairs(texts) if (prints[a] ^ prints[b]).bit_count() <= 8]
+    kept = kept_of(spark, texts)
+    assert near and all(len(kept & set(g)) <= 1 for g in union(near, range(len(texts))))
+
+
 def test_components_of_chains(spark):
     r = random.Random(4)
     ids = r.sample(range(-(10**12), 10**12), 300)
