@@ -48,10 +48,8 @@ def sampled(docs: DataFrame, learn) -> dict[str, list[str]]:
 
 
 def dictionaries(samples: dict[str, list[str]]) -> dict[str, bytes]:
-    """Raw contents of the same length: excerpts, one after another."""
-    whole = {lang: "".join(map(letters, texts)).encode() for lang, texts in samples.items()}
-    size = min([DICTIONARY, *map(len, whole.values())])
-    return {lang: text[:size] for lang, text in whole.items()}
+    """Raw contents: excerpts, one after another, of each language as many as it has up to DICTIONARY. A shorter one shortens texts less, so a rare language can only miss texts of its own."""
+    return {lang: "".join(map(letters, texts)).encode()[:DICTIONARY] for lang, texts in samples.items()}
 
 
 class Sizer:

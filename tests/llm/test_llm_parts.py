@@ -295,3 +295,14 @@ def test_languages_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     found = langid.identify(docs, langid.dictionaries({}), ["doc_id"]).collect()
     assert [(x.lang_pred, x.score, x.rejected) for x in found] == [("und", 0.0, True)]
+
+
+def test_a_rare_language_leaves_the_others_alone():
+    r = random.Random(12)
+    samples = {lang: [prose(r, 200, i) for _ in range(60)] for i, lang in enumerate(("en", "es"))}
+    texts = [(lang, prose(r, 30, i)) for i, lang in enumerate(("en", "es")) for _ in range(50)]
+    for stray in ("x", "wrong label", prose(r, 60, 0)):
+        contents = langid.dictionaries(samples | {"rare": [stray]})
+        assert len(contents["en"]) == len(langid.dictionaries(samples)["en"])
+        sizer = langid.Sizer(contents)
+        assert sum(langid.predicted(sizer, t)[0] == lang for lang, t in texts) >= 0.98 * len(texts)
