@@ -199,6 +199,19 @@ def test_rejected_links_hide_no_others(spark, monkeypatch):
     assert near and all(len(kept & set(g)) <= 1 for g in union(near, range(len(texts))))
 
 
+def test_copies_near_the_limit_are_all_found(spark):
+    """Pairs barely similar enough, whose fingerprints are often far apart."""
+    r, texts = random.Random(13), []
+    for _ in range(100):
+        words = prose(r, 200).split()
+        texts.append(" ".join(words))
+        for at in r.sample(range(10, 190, 10), 4):
+            words[at] = "changed"
+        texts.append(" ".join(words))
+    close = close_pairs(texts)
+    assert len(close) == 100 and kept_of(spark, texts) == set(range(0, 200, 2))
+
+
 def test_components_of_chains(spark):
     r = random.Random(4)
     ids = r.sample(range(-(10**12), 10**12), 300)
