@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -298,6 +299,70 @@ def test_passages_are_found_wherever_they_stand(spark):
         assert all(x in out[i].split("\n") for x in own)
 
 
+def cut_by_hand(docs, least=linededup.LEAST):
+    """Texts without later copies of runs, by all runs of all lines."""
+    found = []
+    for ident, text in sorted(docs):
+        lines, own = text.split("\n"), set()
+        total = lambda i, j: sum(len(x) + 1 for x in lines[i:j])  # noqa: B023, E731
+        for i in range(len(lines)):
+            own |= {(i, j) for j in range(i + 1, len(lines) + 1) if total(i, j) > least and total(i, j - 1) <= least}
+            own |= {(j, i + 1) for j in range(i + 1) if total(j, i + 1) > least and total(j + 1, i + 1) <= least}
+        found += [("\n".join(lines[a:b]), ident, a, b) for a, b in sorted(own)]
+    first, gone = {}, {ident: set() for ident, _ in docs}
+    for run, ident, a, b in found:
+        ident1, a1 = first.setdefault(run, (ident, a))
+        if (ident, a) != (ident1, a1):
+            gone[ident] |= set(range(max(a, a1 + b - a) if ident == ident1 else a, b))
+    return {ident: "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[ident]) for ident, text in docs}
+
+
+@pytest.mark.parametrize("broadcast_bytes", [64 << 20, 0])
+def test_lines_by_brute_force(spark, broadcast_bytes):
+    """Passages of short, long, equal and alternating lines, whole and in part, between lines of all lengths; copies of whole texts."""
+    r = random.Random(1)
+    pool = [[f"p{k} {i} " + "w" * r.choice([0, 3, 10, 40, 90, 130]) for i in range(r.randint(2, 25))] for k in range(8)] + [["same"] * 60, ["a" * 60, "b" * 60] * 8]
+
+    def text():
+        out = []
+        for _ in range(r.randint(0, 30)):
+            if r.random() < 0.3:
+                p = r.choice(pool)
+                at = r.randrange(len(p))
+                out += p[at : at + r.randint(1, 12)]
+            else:
+                out.append("x" * r.choice([0, 1, 5, 20, 60, 120]) + str(r.randrange(10**6) if r.random() < 0.8 else 3))
+        return "\n".join(out)
+
+    docs = [(i, text()) for i in range(120)]
+    docs += [(1000 + i, docs[i % 7][1]) for i in range(30)]
+    found = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_bytes=broadcast_bytes).collect()
+    assert {x.doc_id: x.text for x in found} == cut_by_hand(docs)
+
+
+def test_texts_of_very_many_lines(spark):
+    text = "\n".join(f"line {i % 100000} " + "y" * (i * 7 % 50) for i in range(200000))
+    began = time.monotonic()
+    (found,) = linededup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert found.n_lines == 200000 and found.n_removed == 100000 and time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("lines,words", [(3, 17), (4, 13), (5, 11), (9, 6), (20, 5), (1, 60)])
+def test_short_passages_between_short_lines(spark, lines, words):
+    """Passages of some 50 words, of lines of every length, between short foreign lines: gone from all documents but the first."""
+    r = random.Random(10)
+    line = lambda n: prose(r, n).replace("\n", " ")
+    docs, passages = [], []
+    for p in range(20):
+        passage = [line(words) for _ in range(lines)]
+        passages.append(passage)
+        for c in range(2):
+            docs.append((2 * p + c, "\n".join([*[line(r.randint(2, 8)) for _ in range(r.randint(1, 6))], *passage, *[line(r.randint(2, 8)) for _ in range(r.randint(1, 6))]])))
+    out = {x.doc_id: x for x in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, _ in docs:
+        assert out[i].n_removed == (lines if i % 2 else 0) and (not i % 2 or not set(passages[i // 2]) & set(out[i].text.split("\n")))
+
+
 def test_mix_replaces_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c", "s", 9), (2, "d", "t", 9)], "doc_id long, text string, source string, size long")
     found = mixing.mix(docs, docs.columns)
