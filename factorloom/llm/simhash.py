@@ -1,12 +1,13 @@
 """SimHash near-duplicates, found exactly with vantage-point trees.
 
 Fingerprints that differ in at most r bits agree on at least m of r + m blocks of bits, so all links lie within
-shards of fingerprints that agree on some m blocks. A shard is a vantage-point tree: a vantage fingerprint splits
-it at the median Hamming distance; by the triangle inequality a link from the outer to the inner part can only start
-within r of the border, so the outer fingerprints there go to the inner shard too, as visitors. Shards too large for a task are split this
-way by Spark, level by level; the rest in numpy within a task, down to leaves that are compared pair by pair.
-A tree over whole fingerprints alone can't prune enough: the distances of unlike fingerprints crowd around 32, and
-a border of 4 on either side takes in most of them; therefore the roots are chosen by blocks.
+shards of fingerprints that agree on some m blocks, or on the first bits of them: as many as leave AIM fingerprints in a shard. A shard is a
+vantage-point tree: a vantage fingerprint splits it at the median Hamming distance; by the triangle inequality a link from the outer to the
+inner part can only start within r of the border, so the outer fingerprints there go to the inner shard too, as visitors. Shards too
+large for a task are split this way by Spark, level by level; the rest in numpy within a task, down to leaves whose members are
+compared with each other and with the visitors, but for pairs that the distances to an earlier vantage rule out.
+One tree over all fingerprints can't prune enough: the distances of unlike fingerprints crowd around 32, and
+a border of 4 on either side takes in most of them; therefore there is a tree for each shard of AIM.
 Within a shard only links that join what isn't joined yet are passed on, not all pairs of a group of near copies.
 """
 
@@ -21,15 +22,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, schema_with, table
+from .common import discard, materialize, schema_with, table
 from .components import components
 from .texthash import mixed
 
 SEED = 42
 #: Fingerprints in a shard for a task, in a leaf, and on average in a root's shard.
-SHARD, LEAF, AIM = 20_000, 64, 64
-#: Groups that share a hash before it goes to the end of the order, told from one of so many texts; pairs a row from which on one text of each hash goes first; bytes of text in a bucket of hashes.
-CROWD, ONE_OF, MANY, BUCKET = 64, 16, 20, 1 << 26
+SHARD, LEAF, AIM = 20_000, 64, 1024
+#: Min-hashes in a band, and bands: of pairs of similarity 0.8, one in 14,000 shares no band.
+ROWS, BANDS = 5, 24
+#: Pairs a text from which on all texts of a band are compared with one of them before they are compared with each other.
+MANY = 20
+#: Shingles that are min-hashed at a time.
+PART = 1 << 12
 
 
 def shingled(data: bytes, shingle: int) -> np.ndarray:
@@ -57,29 +62,27 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(((2 * counts > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
-def fingerprints(docs: DataFrame, shingle: int, more: int = 0) -> DataFrame:
-    """Add `fp`, the fingerprint of the shingles' hashes as a signed long, in place of text; and fp1, fp2, ... of these hashes scrambled anew."""
-    names = ["fp", *[f"fp{i + 1}" for i in range(more)]]
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """Add `fp`, the fingerprint of the shingles' hashes as a signed long, in place of text."""
 
     def added(batches):
         for batch in batches:
-            prints = np.zeros((len(names), batch.num_rows), np.uint64)
-            for at, x in enumerate(batch.column("text")):
-                hashes = shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)
-                for i in range(len(names)):
-                    prints[i, at] = fingerprint(hashes)
-                    hashes = mixed(hashes + np.uint64(i)) if i < more else hashes
+            prints = np.array([fingerprint(shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)) for x in batch.column("text")], np.uint64)
             kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(p.view(np.int64)) for p in prints]], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(prints.view(np.int64))], [*kept, "fp"])
 
-    return docs.mapInArrow(added, schema_with(docs, [c for c in docs.columns if c != "text"], ", ".join(f"{c} long" for c in names)))
+    return docs.mapInArrow(added, schema_with(docs, [c for c in docs.columns if c != "text"], "fp long"))
 
 
-def masks(radius: int, agree: int) -> list[int]:
-    """The bits of every choice of `agree` of radius + agree blocks."""
+def masks(radius: int, agree: int, bits: int) -> list[int]:
+    """Of every choice of `agree` of radius + agree blocks, the first `bits` bits, dealt evenly to its blocks."""
     n = radius + agree
-    blocks = [((1 << (64 * (i + 1) // n)) - 1) ^ ((1 << (64 * i // n)) - 1) for i in range(n)]
-    return [sum(c) for c in combinations(blocks, agree)]
+    edges = [64 * i // n for i in range(n + 1)]
+    out = []
+    for blocks in combinations(range(n), agree):
+        shares = [(bits + i) // agree for i in range(agree)]
+        out.append(sum(((1 << min(share, edges[b + 1] - edges[b])) - 1) << edges[b] for b, share in zip(blocks, shares, strict=True)))
+    return out
 
 
 def signed(x: int) -> int:
@@ -87,68 +90,58 @@ def signed(x: int) -> int:
 
 
 def leaves(prints: np.ndarray, members: np.ndarray, visitors: np.ndarray, radius: int):
-    """Yield (members, visitors) of the leaves of a vantage-point tree; every link with a member is within some leaf."""
-    stack = [(members, visitors)]
+    """Yield (members, visitors, distances of all fingerprints to the vantages above, a row for each) of the leaves of a vantage-point tree; every link with a member is within some leaf."""
+    stack = [(members, visitors, ())]
     while stack:
-        own, guests = stack.pop()
+        own, guests, above = stack.pop()
         if len(own) > LEAF:
-            from_own = np.bitwise_count(prints[own] ^ prints[own[0]])
+            apart = np.bitwise_count(prints ^ prints[own[0]])
+            from_own = apart[own]
             middle = int(np.median(from_own))
             inner = from_own <= middle
-            if not inner.all():
-                from_guests = np.bitwise_count(prints[guests] ^ prints[own[0]]).astype(int)
-                border = ~inner & (from_own <= middle + radius)
-                stack.append((own[inner], np.concatenate([guests[from_guests <= middle + radius], own[border]])))
-                stack.append((own[~inner], guests[from_guests > middle - radius]))
-                continue
-        yield own, guests
-
-
-def joined(prints: np.ndarray, visits: np.ndarray, radius: int, earlier: list[int], closest: bool) -> tuple[list[int], list[int]]:
-    """Links of one shard that join its parts: a spanning forest of all links not found by earlier roots; of the closest ones if asked for."""
-    label, us, vs = np.arange(len(prints)), [], []
+            if inner.all():
+                middle = int(from_own[from_own < middle].max())  # the vantage's own is 0
+                inner = from_own <= middle
+            from_guests = apart[guests].astype(int)
+            border = ~inner & (from_own <= middle + radius)
+            stack.append((own[inner], np.concatenate([guests[from_guests <= middle + radius], own[border]]), (*above, apart)))
+            stack.append((own[~inner], guests[from_guests > middle - radius], (*above, apart)))
+        else:
+            yield own, guests, above
+
+
+def joined(prints: np.ndarray, visits: np.ndarray, radius: int, earlier: list[int]) -> tuple[list[int], list[int], int]:
+    """Links of one shard that join its parts, a spanning forest of all links not found by earlier roots; and how many pairs were compared."""
+    label, us, vs, compared = np.arange(len(prints)), [], [], 0
     skip = np.array(earlier, np.uint64)
-    tree = leaves(prints, np.flatnonzero(~visits), np.flatnonzero(visits), radius)
-    tree = list(tree) if closest else tree
-    for reach in range(radius + 1) if closest else (radius,):
-        for own, guests in tree:
-            every = np.concatenate([own, guests])
-            for i in own:
-                apart = prints[every] ^ prints[i]
-                near = every[np.bitwise_count(apart) <= reach]
-                if len(near) > 1 and len(skip):
-                    near = near[((prints[near] ^ prints[i])[:, None] & skip != 0).all(axis=1) | (near == i)]
-                if len(near) > 1:
-                    groups, at = np.unique(label[near], return_index=True)
-                    if len(groups) > 1:
-                        us += [int(prints[i])] * len(groups)
-                        vs += prints[near[at]].tolist()
-                        label[np.isin(label, groups)] = groups[0]
-    return us, vs
-
-
-def small(shards: np.ndarray, prints: np.ndarray, radius: int, earlier: list[list[int]], roots: np.ndarray) -> tuple[list[int], list[int]]:
-    """Links of many small shards at once: the fingerprints of sorted shards against the k-th after them, for each k."""
-    us, vs, at, k = [], [], np.arange(len(prints)), 0
-    while len(at):
-        k += 1
-        at = at[at + k < len(prints)]
-        at = at[shards[at] == shards[at + k]]
-        apart = prints[at] ^ prints[at + k]
-        near = np.flatnonzero(np.bitwise_count(apart) <= radius)
-        for i in near:
-            if all(int(apart[i]) & m for m in earlier[roots[at[i]]]):
-                us.append(int(prints[at[i]]))
-                vs.append(int(prints[at[i] + k]))
-    return us, vs
-
-
-def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int = SHARD, closest: bool = False) -> DataFrame:
-    """From distinct fingerprints (fp): links (u, v) of at most `radius` bits that join all that any links join; closest: by the closest links of each shard."""
+    for own, guests, above in leaves(prints, np.flatnonzero(~visits), np.flatnonzero(visits), radius):
+        every = np.concatenate([own, guests])
+        i, j = np.nonzero(np.arange(len(own))[:, None] < np.arange(len(every))[None, :])
+        i, j = own[i], every[j]
+        for apart in above[-2:]:  # by the triangle inequality
+            maybe = np.abs(apart[i].astype(np.int8) - apart[j].astype(np.int8)) <= radius
+            i, j = i[maybe], j[maybe]
+        compared += len(i)
+        near = np.bitwise_count(prints[i] ^ prints[j]) <= radius
+        i, j = i[near], j[near]
+        if len(skip) and len(i):
+            new = ((prints[i] ^ prints[j])[:, None] & skip != 0).all(axis=1)
+            i, j = i[new], j[new]
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if label[a] != label[b]:
+                us.append(int(prints[a]))
+                vs.append(int(prints[b]))
+                label[label == label[b]] = label[a]
+    return us, vs, compared
+
+
+def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int = SHARD, aim: int = AIM) -> DataFrame:
+    """From distinct fingerprints (fp): links (u, v) of at most `radius` bits that join all that any links join."""
+    n = prints.count()
     if agree is None:
-        n = prints.count()
-        agree = next((m for m in (1, 2, 3) if n / 2 ** (64 * m / (radius + m)) <= AIM), 3)
-    bits = masks(radius, agree)
+        agree = next((m for m in (1, 2, 3) if n / 2 ** (64 * m // (radius + m)) <= aim), 3)
+    bits = max(0, min(64 * agree // (radius + agree), (max(n, 1) // aim).bit_length() - 1 if n > aim else 0))
+    bits = masks(radius, agree, bits) if bits else [0]
     routes = F.explode(F.array(*[F.struct(F.lit(i).alias("root"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(bits)]))
     placed = prints.select("fp", routes.alias("at")).select("fp", F.col("at.root").alias("root"), F.xxhash64("at.root", "at.key").alias("shard"), F.lit(False).alias("visits"))
     done = []
@@ -158,12 +151,13 @@ def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int =
             break
         sides = materialize(placed.join(large, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))))
         done.append(placed.join(large, "shard", "left_anti"))
-        below = Window.partitionBy("shard").orderBy("d")
+        below = Window.partitionBy("shard").orderBy("d")  # at most 65 rows
         spread = sides.where("NOT visits").groupBy("shard", "d").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-        middle = spread.withColumn("below", F.sum("c").over(below)).where(F.col("below") * 2 >= F.col("n")).groupBy("shard").agg(F.min("d").alias("middle"), F.max("d").alias("most"))
+        median = F.min(F.when(F.col("below") * 2 >= F.col("n"), F.col("d")))
+        middle = spread.withColumn("below", F.sum("c").over(below)).groupBy("shard").agg(median.alias("median"), F.max("d").alias("most"), F.array_sort(F.collect_set("d")).alias("ds"))
+        # Something always lies within and without: the vantage's own distance is 0.
+        middle = middle.select("shard", F.when(F.col("median") < F.col("most"), F.col("median")).otherwise(F.element_at("ds", -2)).alias("middle"))
         cut = sides.join(materialize(middle), "shard")
-        done.append(cut.where("middle = most").select(*placed.columns))  # nothing lies outside: one task compares what there is
-        cut = cut.where("middle < most")
         out = F.col("d") > F.col("middle")
         inner = F.when(F.col("d") <= F.col("middle") + radius, F.struct(F.xxhash64("shard", F.lit(0)).alias("shard"), (F.col("visits") | out).alias("visits")))
         outer = F.when(F.when(F.col("visits"), F.col("d") > F.col("middle") - radius).otherwise(out), F.struct(F.xxhash64("shard", F.lit(1)).alias("shard"), F.col("visits").alias("visits")))
@@ -178,16 +172,10 @@ def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int =
 
         def search(ids, prints, roots, visits):
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            sizes = np.diff(np.append(first, len(ids)))
-            plain = np.logical_or.reduceat(visits, first) | (sizes > LEAF)
-            for f, n in zip(first[plain], sizes[plain], strict=True):
-                more = joined(prints[f : f + n], visits[f : f + n], radius, earlier[roots[f]], closest)
+            for f, n in zip(first, np.diff(np.append(first, len(ids))), strict=True):
+                more = joined(prints[f : f + n], visits[f : f + n], radius, earlier[roots[f]])
                 us.extend(more[0])
                 vs.extend(more[1])
-            rest = np.repeat(~plain, sizes)
-            more = small(ids[rest], prints[rest], radius, earlier, roots[rest])
-            us.extend(more[0])
-            vs.extend(more[1])
 
         def out():
             data = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)]
@@ -225,158 +213,134 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return rows.join(by_print, "fp").select(F.col("id").alias(ident), "text_hash", "fp", "root", "component_id")
 
 
-def similar(edges: DataFrame, holders: DataFrame, texts: DataFrame, shingle: int, least: float, broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """The edges (u, v) between texts whose sets of shingles have a Jaccard similarity of at least `least`; two empty sets are equal.
+def multipliers() -> np.ndarray:
+    """Odd numbers, one for each min-hash."""
+    return mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of hashes; sets of similarity s share one with probability 1 - (1 - s ** ROWS) ** BANDS."""
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    by = multipliers()
+    for i in range(0, len(hashes), PART):
+        np.minimum(least, (hashes[i : i + PART, None] * by).min(axis=0), out=least)
+    return mixed((mixed(least).reshape(BANDS, ROWS) * by[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
-    holders (node, id) says which row of texts (id, node, text) to read for a node: one of all its copies.
-    """
 
-    def hashed(batches):
+def described(docs: DataFrame, shingle: int) -> DataFrame:
+    """Add `fp`, `size` (different shingles) and `bands` in place of text."""
+
+    def added(batches):
         for batch in batches:
-            sets = [np.unique(shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+            prints, sizes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, BANDS), np.uint64)
+            seen: dict[int, int] = {}
+            for at, (node, x) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
+                before = seen.setdefault(node, at)
+                if before < at and x == batch.column("text")[before]:
+                    prints[at], sizes[at], keys[at] = prints[before], sizes[before], keys[before]
+                    continue
+                hashes = shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)
+                prints[at] = fingerprint(hashes)
+                hashes = np.unique(hashes)
+                sizes[at], keys[at] = len(hashes), bands(hashes)
+            kept = [c for c in batch.schema.names if c != "text"]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(prints.view(np.int64)), pa.array(sizes), lists], [*kept, "fp", "size", "bands"])
+
+    return docs.mapInArrow(added, schema_with(docs, [c for c in docs.columns if c != "text"], "fp long, size long, bands array<long>"))
+
+
+def similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The edges (u, v) between texts (node, text) whose sets of shingles have a Jaccard similarity of at least `least`; two empty sets are equal."""
+
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(node: int, text: pa.Scalar) -> np.ndarray:
+        if node not in sets:
+            if len(sets) > 100:  # the last few texts: most have several edges
+                sets.clear()
+            sets[node] = np.unique(shingled(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle))
+        return sets[node]
 
     def compared(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for node, x, other, y in zip(*[batch.column(i) for i in range(4)], strict=True):
+                a, b = shingles(node.as_py(), x), shingles(other.as_py(), y)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(both >= least * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    read = materialize(nodes.join(holders, "node").select(F.col("node").alias("_node"), F.col("id").alias("_id")))
-    few = read.count() * 100 <= broadcast_bytes
-    here = texts["id"].eqNullSafe(F.col("_id")) & (texts["node"] == F.col("_node"))
-    asked = texts.join(F.broadcast(read) if few else read, here, "left_semi").mapInArrow(hashed, "node long, hashes binary")
-    sets = materialize(asked.dropDuplicates(["node"]))
-    paired = edges.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("y")), "v")
-    return paired.select("u", "v", "x", "y").mapInArrow(compared, "u long, v long")
+    paired = edges.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+    return paired.select("u", "x", "v", "y").mapInArrow(compared, "u long, v long")
 
 
-def prefixes(docs: DataFrame, shingle: int, least: float, late: np.ndarray, buckets: int) -> DataFrame:
-    """Of docs (node, text): (token, node, at, size) for every shingle hash that the prefixes of several texts hold, with its place and the number of shingles.
-
-    A text's prefix is so long that sets with a Jaccard similarity of at least `least` share a hash of their prefixes, whatever the order that
-    all sets are sorted in. Here it is that of the hashes, `late` (sorted) after all others. Texts without words share the hash 0.
-    """
-    fields = np.dtype([("token", np.uint64), ("node", np.int64), ("at", np.int32), ("size", np.int32)])
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 6, least: float = 0.8, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Of each group of near copies, the row with the smallest doc_id (null last; then by its text's hash), with the columns of docs.
 
-    def dealt(batches):
-        for batch in batches:
-            parts, seen = [], set()
-            for node, x in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
-                if node in seen:
-                    continue
-                seen.add(node)
-                tokens = np.unique(shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle))
-                n = len(tokens)
-                if n and len(late):
-                    last = late[np.minimum(np.searchsorted(late, tokens), len(late) - 1)] == tokens
-                    tokens = np.concatenate([tokens[~last], tokens[last]])
-                tokens = tokens[: n - int(np.ceil(least * n - 1e-9)) + 1] if n else np.zeros(1, np.uint64)
-                part = np.empty(len(tokens), fields)
-                part["token"], part["node"], part["at"], part["size"] = tokens, node, np.arange(len(tokens)), n
-                parts.append(part)
-            every = np.concatenate(parts) if parts else np.empty(0, fields)
-            bucket = (mixed(every["token"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((every["token"], bucket))
-            held, first = np.unique(bucket[order], return_index=True)
-            blobs = [x.view(np.uint8).reshape(-1, fields.itemsize).T.tobytes() for x in np.split(every[order], first[1:])] if len(held) else []  # by byte: smaller on disk
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "data"])
-
-    def shared(batches):
-        parts = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(fields.itemsize, -1).T).view(fields)[:, 0] for batch in batches for x in batch.column("data")]
-        if not parts:
-            return
-        every = np.concatenate(parts)
-        every = every[np.lexsort((every["node"], every["token"]))]
-        token, node = every["token"], every["node"]
-        every = every[np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])]  # equal texts once
-        _, at, n = np.unique(every["token"], return_inverse=True, return_counts=True)
-        every = every[n[at] > 1]
-        for i in range(0, len(every), 100_000):
-            some = every[i : i + 100_000]
-            columns = [some["token"].view(np.int64) if c == "token" else some[c] for c in fields.names]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], list(fields.names))
-
-    blobs = docs.select("node", "text").mapInArrow(dealt, "bucket long, data binary")
-    return blobs.repartition(buckets, "bucket").mapInArrow(shared, "token long, node long, at int, size int")
-
-
-def could(least: float) -> Column:
-    """Whether texts `a` and `b` with a common hash, the first one that they share, can be similar: by their sizes and what follows it."""
-    common = 1 + F.least(F.col("a.size") - F.col("a.at") - 1, F.col("b.size") - F.col("b.at") - 1)
-    sizes = F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-9
-    return sizes & (common * (1 + least) >= least * (F.col("a.size") + F.col("b.size")) - 1e-9)
-
-
-def all_similar(first: DataFrame, named: DataFrame, holders: DataFrame, shingle: int, least: float, buckets: int) -> DataFrame:
-    """Links (u, v) that join whatever a Jaccard similarity of at least `least` joins; `first` are some of them.
-
-    Every pair of texts that a common prefix hash allows, and that verified links don't join yet, is compared; no pair is left out for
-    another that isn't verified. Hashes that over CROWD groups share come last in the order, so that few prefixes reach them; they are told from one
-    of ONE_OF texts, for the result doesn't depend on the order.
+    Near copies are equal texts, and texts whose sets of word shingles have a Jaccard similarity of at least `least`; groups are what such links join.
+    Candidates have fingerprints within `radius` bits, or share a band of min-hashes; every link that counts is computed exactly from both texts. Two
+    texts that share a band and aren't joined by such links yet are compared as well, however many share it, so nothing is lost to a candidate
+    that the comparison rejects. Texts without words, null or empty, are near copies of each other; a text of any length is read whole; rows that
+    repeat id and text are one. Texts are told apart by 128-bit hashes, shingles by 64 bits. An empty table gives an empty table;
+    other columns, whatever their names, stay as they are.
     """
-    good = [first]
-
-    def labelled(tokens):
-        roots = components(reduce(DataFrame.unionByName, good))
-        return tokens.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    some = prefixes(named.where(F.pmod(F.col("node"), F.lit(ONE_OF)) == 0), shingle, 0.0, np.zeros(0, np.uint64), buckets)
-    crowded = labelled(some).groupBy("token").agg(F.countDistinct("root").alias("n")).where(F.col("n") * ONE_OF > CROWD).select("token")
-    late = np.sort(crowded.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
-    tokens = materialize(prefixes(named, shingle, least, late, buckets))
-    stuck = False
+    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), F.xxhash64(F.lit(1), "text").alias("twin"), "text")
+    rows = materialize(described(named, shingle))
+    own = F.struct(F.col("id").isNull().alias("unnamed"), "id")
+    whole = materialize(rows.groupBy("node", "twin").agg(F.min("fp").alias("fp"), F.min(own).alias("first"), F.count("*").alias("n"), F.countDistinct("id").alias("ids")))
+    # Should two texts have the same node, one of them stands for both in links, and both stay.
+    texts = materialize(whole.groupBy("node").agg(F.min(F.struct("first", "twin", "fp")).alias("x"), F.count("*").alias("twins")).select("node", "x.first", "x.twin", "x.fp", "twins"))
+    chosen = materialize(texts.groupBy("fp").agg(F.min("node").alias("chosen")))
+    ends = [chosen.select(F.col("fp").alias(c), F.col("chosen").alias(f"node_{c}")) for c in "uv"]
+    near = links(chosen.select("fp"), radius).join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+    near = near.unionByName(texts.join(chosen, "fp").where("node <> chosen").select(F.col("node").alias("u"), F.col("chosen").alias("v")))
+    keyed = rows.select("node", "size", F.explode("bands").alias("band"))
+    shared = materialize(keyed.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("last")).where("star <> last").drop("last"))
+    few = shared.count() * 100 <= broadcast_bytes
+    members = materialize(keyed.join(F.broadcast(shared) if few else shared, "band").distinct())
+    stars = members.where("node <> star").select(F.col("node").alias("u"), F.col("star").alias("v"))
+    ordered = lambda pairs: pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = materialize(ordered(near.unionByName(stars)))
+    # Only texts that have a candidate are moved, one row of each.
+    asked = materialize(edges.select(F.col("u").alias("node")).union(edges.select("v")).union(members.select("node")).distinct().join(texts, "node").select(F.col("node").alias("_node"), F.col("twin").alias("_twin"), F.col("first.id").alias("_id")))
+    few = asked.count() * 150 <= broadcast_bytes
+    here = named["id"].eqNullSafe(F.col("_id")) & (named["node"] == F.col("_node")) & (named["twin"] == F.col("_twin"))
+    read = materialize(named.join(F.broadcast(asked) if few else asked, here, "left_semi").select("node", "text").dropDuplicates(["node"]))
+    good = [materialize(similar(edges, read, shingle, least))]
+    tested, stuck = [edges], False
     while True:
-        known = materialize(labelled(tokens))
-        groups = materialize(known.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("root").alias("roots"), F.min(F.struct("root", "node", "at", "size")).alias("a")).where("roots > 1"))
-        rows, pairs = groups.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not rows:
+        roots = components(reduce(DataFrame.unionByName, good))
+        known = materialize(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("star"))
+        open_bands = materialize(known.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("root", "node", "size")).alias("a")).where("lo <> hi"))
+        total, pairs = open_bands.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        if not total:
             break
-        one = not stuck and pairs > MANY * rows  # one text of each hash against all others first: what that joins needs no more pairs
-        members = known.join(groups.select("token", "a"), "token").select("token", "a", F.struct("root", "node", "at", "size").alias("b"))
-        both = members if one else members.select("token", F.col("b").alias("a")).join(members.select("token", "b"), "token").where("a.node < b.node")
-        asked = both.where((F.col("a.root") != F.col("b.root")) & could(least))
-        edges = materialize(asked.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct())
-        good.append(materialize(similar(edges, holders, named, shingle, least)))
+        one = not stuck and pairs > MANY * total
+        here = known.join(open_bands.select("band", "a"), "band").select("band", "a", F.struct("root", "node", "size").alias("b"))
+        both = here if one else here.select("band", F.col("b").alias("a")).join(here.select("band", "b"), "band").where("a.node < b.node")
+        fits = (F.col("a.root") != F.col("b.root")) & (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size"))
+        new = ordered(both.where(fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
+        for t in tested:
+            new = new.join(t, ["u", "v"], "left_anti")
+        tested.append(materialize(new))
+        good.append(materialize(similar(tested[-1], read, shingle, least)))
+        discard(known, open_bands)
         if not one:
-            break
+            roots = components(reduce(DataFrame.unionByName, good))
+            break  # all open pairs are compared
         stuck = good[-1].isEmpty()
-    return reduce(DataFrame.unionByName, good)
-
-
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 8, more: int = 1, least: float = 0.8) -> DataFrame:
-    """Of each group of near copies, the row with the smallest doc_id (null last; then by its text's hash), with the columns of docs.
-
-    Near copies are equal texts, and texts whose sets of word shingles have a Jaccard similarity of at least `least`; groups are what such links join.
-    Those of whose 1 + `more` fingerprints one differs in at most `radius` bits are joined first, cheaply; the rest by the shingles themselves, exactly.
-    Texts without words are near copies of each other. Texts and shingles are told apart by 64-bit hashes.
-    """
-    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), "text")
-    rows = materialize(fingerprints(named, shingle, more))
-    prints = [c for c in rows.columns if c.startswith("fp")]
-    own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "node")
-    texts = materialize(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in prints], F.min(own).alias("first"), F.count("*").alias("n"), F.countDistinct("id").alias("ids")))
-    found = []
-    for fp in prints:
-        chosen = materialize(texts.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("chosen")))
-        ends = [chosen.select(F.col("fp").alias(c), F.col("chosen").alias(f"node_{c}")) for c in "uv"]
-        found.append(links(chosen.select("fp"), radius, closest=True).join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v")))
-        found.append(texts.join(chosen, texts[fp] == chosen["fp"]).where("node <> chosen").select(F.col("node").alias("u"), F.col("chosen").alias("v")))
-    edges = materialize(reduce(DataFrame.unionByName, found).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    holders = texts.select("node", "first.id")
-    near = materialize(similar(edges, holders, named, shingle, least))
-    buckets = max(256, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET)
-    roots = components(all_similar(near, named, holders, shingle, least, buckets)).select("node", "root")
-    kept = materialize(texts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first", "n", "ids").groupBy("root").agg(F.min("first").alias("k"), F.max(F.col("n") > F.col("ids")).alias("again")))
-    keys = kept.select(F.col("k.id").alias("_id"), F.col("k.node").alias("_text"))
-    out = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_text"]), "left_semi")
-    if kept.where("again").isEmpty():
+    group = F.coalesce("root", "node").alias("root")
+    best = texts.join(roots, "node", "left").select(group, F.struct("first", "node", "twin").alias("k")).groupBy("root").agg(F.min("k").alias("k")).select("k.node", "k.twin", F.col("k.first.id").alias("id"))
+    odd = whole.join(texts.where("twins > 1").select("node", F.col("twin").alias("held")), "node").where("twin <> held").select("node", "twin", F.col("first.id").alias("id"))
+    keys = materialize(best.unionByName(odd))
+    again = not whole.where("n > ids").isEmpty()  # rows given more than once, or without ids
+    keys = keys.select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("twin").alias("_twin"))
+    discard(rows, whole, texts, chosen, shared, members, edges, asked, read, *tested[1:], *good)
+    out = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_node"]) & (F.xxhash64(F.lit(1), docs["text"]) == keys["_twin"]), "left_semi")
+    if not again:
         return out
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))  # rows given more than once, or without ids
+    first = Window.partitionBy("doc_id", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).orderBy(F.lit(1))
     return out.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 

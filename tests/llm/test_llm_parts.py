@@ -139,8 +139,9 @@ def union(pairs, nodes):
     return sorted(map(sorted, groups.values()))
 
 
-@pytest.mark.parametrize("agree,shard,closest", [(1, 40, False), (1, 20000, True), (2, 20, True), (3, 20000, False)])
-def test_links_in_split_trees(spark, agree, shard, closest):
+@pytest.mark.parametrize("agree,shard,aim,leaf", [(1, 40, 1, 64), (1, 20000, 100, 8), (2, 20, 1, 64), (3, 20000, 1, 2), (1, 20000, 10000, 64), (1, 100, 10000, 16)])
+def test_links_in_split_trees(spark, monkeypatch, agree, shard, aim, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
     r = random.Random(3)
     prints = {r.getrandbits(64) for _ in range(300)}
     for x in list(prints)[:40]:  # chains and clusters about some of them
@@ -149,7 +150,7 @@ def test_links_in_split_trees(spark, agree, shard, closest):
             prints.add(x % (1 << 64))
     prints = sorted(prints)
     frame = spark.createDataFrame([(simhash.signed(x),) for x in prints], "fp long")
-    found = [(e.u % (1 << 64), e.v % (1 << 64)) for e in simhash.links(frame, 4, agree=agree, shard=shard, closest=closest).collect()]
+    found = [(e.u % (1 << 64), e.v % (1 << 64)) for e in simhash.links(frame, 4, agree=agree, shard=shard, aim=aim).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in found)
     wanted = [(a, b) for a, b in itertools.combinations(prints, 2) if (a ^ b).bit_count() <= 4]
     assert union(found, prints) == union(wanted, prints)
