@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..storage import file_system, qualified
+
 SCHEMA = "row long, col long, value double"
 TYPES = ("mtx", "sdm", "sbm", "ddm", "csv")
 #: Cells for each task of a plain binary file.
@@ -43,12 +45,8 @@ def type_of(path: str) -> tuple[str, bool]:
     return ext, packed
 
 
-def opened(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def content(path: str) -> bytes:
-    fs, name = opened(path)
+    fs, name = file_system(path)
     if fs.get_file_info(name).type == pafs.FileType.NotFound:
         raise MatrixError(f"no such file: {path}")
     with fs.open_input_file(name) as f:
@@ -146,7 +144,7 @@ class MatrixReader(DataSourceReader):
         self.path, self.kind = options["path"], options.get("type")
 
     def files(self) -> list[str]:
-        fs, name = opened(self.path)
+        fs, name = file_system(self.path)
         if fs.get_file_info(name).type != pafs.FileType.Directory:
             return [self.path]
         prefix = self.path.removesuffix(name)
@@ -174,7 +172,7 @@ class MatrixReader(DataSourceReader):
             last = head.cells
             piece = lambda at, n: data[at : at + n]
         else:
-            fs, name = opened(path)
+            fs, name = file_system(path)
             file = fs.open_input_file(name)
             head = head_of(kind, file.read_at(24, 0))
             piece = lambda at, n: file.read_at(n, at)
@@ -219,7 +217,7 @@ class MatrixWriter(DataSourceWriter):
     def write(self, iterator) -> Written:
         rows = [(r[0], r[1], r[2]) for r in iterator if self.kind != "sbm" or r[2] > 0]
         cells = np.array(rows, [("row", "<i8"), ("col", "<i8"), ("value", "<f8")])
-        fs, name = opened(self.dir)
+        fs, name = file_system(self.dir)
         fs.create_dir(name, recursive=True)
         part = f"{name}/{uuid.uuid4().hex}"
         with fs.open_output_stream(part) as f:
@@ -227,7 +225,7 @@ class MatrixWriter(DataSourceWriter):
         return Written(part, len(cells), int(cells["row"].max(initial=-1)) + 1, int(cells["col"].max(initial=-1)) + 1)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, name = opened(self.path)
+        fs, name = file_system(self.path)
         if not self.overwrite and fs.get_file_info(name).type != pafs.FileType.NotFound:
             self.abort(messages)
             raise MatrixError(f"{self.path} is there")
@@ -244,7 +242,7 @@ class MatrixWriter(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages) -> None:
-        fs, name = opened(self.dir)
+        fs, name = file_system(self.dir)
         if fs.get_file_info(name).type != pafs.FileType.NotFound:
             fs.delete_dir(name)
 
@@ -289,7 +287,7 @@ def shape_of(path: str, kind: str | None = None) -> Head:
     kind = kind or type_of(path)[0]
     if path.endswith(".gz"):
         return head_of(kind, content(path))
-    fs, name = opened(path)
+    fs, name = file_system(path)
     if fs.get_file_info(name).type == pafs.FileType.NotFound:
         raise MatrixError(f"no such file: {path}")
     with fs.open_input_file(name) as f:
@@ -304,6 +302,7 @@ def matrix_shape(path: str) -> tuple[int, int]:
 def read_matrix(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
     """Cells of a matrix file. Equal cells of a binary matrix add up; in an sdm file they are an error, unless distinct is False."""
     spark.dataSource.register(MatrixSource)
+    path = qualified(spark, path)
     cells = spark.read.format("matrix").load(path)
     kind = type_of(path)[0]
     if kind == "sbm":
@@ -317,7 +316,7 @@ def read_matrix(spark: SparkSession, path: str, distinct: bool = True) -> DataFr
 def write_matrix(cells: DataFrame, path: str, **options: object) -> None:
     """Write cells (row, col, value) from 0 to one file, by extension."""
     cells.sparkSession.dataSource.register(MatrixSource)
-    cells.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double")).write.format("matrix").options(**{k: str(v) for k, v in options.items()}).mode("overwrite").save(path)
+    cells.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double")).write.format("matrix").options(**{k: str(v) for k, v in options.items()}).mode("overwrite").save(qualified(cells.sparkSession, path))
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
