@@ -108,13 +108,37 @@ def test_patterns_are_linear():
 
 
 def test_lookup(spark):
-    pages = [(i, f"http://www{i % 7}.example.com/{i % 50}", f"page {i}") for i in range(400)]
-    index = warc.build_index(warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string")), size=10)
-    assert index.blocks.count() >= 40
+    pages = [(i, f"http://www{i % 7}.example.com/{i % 50}" if i % 9 else None, f"page {i}") for i in range(400)]
+    places = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string"), size=2000)
+    index = warc.build_index(places, size=10)
+    assert sum(f[3] for f in index.files) >= 40 and sum(f[4] for f in index.files) == 400 and places.select("archive").distinct().count() > 20
     for url in {u for _, u, _ in pages} | {"http://absent.example.com/"}:
         assert sorted(p.decode() for _, p in warc.lookup(index, url)) == sorted(h for _, u, h in pages if u == url)
 
 
+def test_a_lookup_reads_the_directory_and_one_block(spark):
+    pages = [(i, f"http://h{i:04}.example.com/", "x") for i in range(3000)]
+    places = warc.archive(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1))
+    index = warc.build_index(places, size=50)
+    for r in places.sample(0.05, seed=1).collect():
+        file = warc.IndexFile(index.files[index.near(r["key"], r["capture"])][2])
+        assert file.one(r["key"], r["capture"])[2:] == [r["archive"], r["offset"], r["length"]] and file.reads == 1
+    assert file.one("absent", 5) is None
+
+
+def test_captures_of_one_key_and_other_ids(spark, monkeypatch):
+    """All pages with one URL, ids that aren't numbers, and a missing capture."""
+    monkeypatch.setattr(warc, "READ", 5000)
+    pages = spark.range(2000).selectExpr("date_add(date'2020-01-01', cast(id AS INT)) AS page_id", "'http://same.example.com/' AS url", "repeat(cast(id % 90 AS STRING), 600) AS html")
+    places = warc.archive(pages, size=30000)
+    index = warc.build_index(places, size=30)
+    found = warc.captures(index, places, "page_id", pages.schema["page_id"].dataType).collect()
+    assert {r.page_id for r in found} == {r.page_id for r in pages.collect()}
+    assert sum(r.record_type == "response" for r in found) == 90 + sum(1 for i in range(2000) if i % 90 < 10) - 10
+    with pytest.raises(Exception):  # noqa: B017
+        warc.captures(index, spark.createDataFrame([("com,example,same)/", -1)], "key string, capture long"), "page_id", pages.schema["page_id"].dataType).collect()
+
+
 def test_url_keys():
     assert warc.url_key("http://www.Example.com:80/a?b#c") == "com,example,www)/a?b"
     assert warc.url_key("https://x.org") == "org,x)/" and warc.url_key(None) == "" and warc.url_key("http://[") == "http://["
