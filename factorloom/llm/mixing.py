@@ -16,12 +16,14 @@ from .common import WORD, materialize
 #: Bits of the key that a level of the tree looks at, from the root down.
 LEVELS = (8, 16, 24)
 KEY_BITS = 48
+#: Rows of one key prefix from which on equal rows are counted before they are placed.
+CROWD = 100_000
 ADDED = ("size", "source_size", "target", "epochs", "taken")
 
 
-def random_key(ident: Column, seed: int) -> Column:
-    """A 48-bit integer from the document's identity, the same on every run and in every engine with md5."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null")))
+def random_key(ident: Column, words: Column, seed: int) -> Column:
+    """A 48-bit integer from the document's id and text, the same on every run and in every engine with md5."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(words), F.lit("null")))
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
@@ -60,25 +62,26 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     return placed.withColumn("target", F.when(over, cap.cast("double")).otherwise(share)).withColumn("budget", F.floor(F.col("target") + 0.5).cast("long"))
 
 
-def mix(docs: DataFrame, keep: list[str], ident: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 9) -> DataFrame:
+def mix(docs: DataFrame, keep: list[str], ident: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 9, crowd: int = CROWD) -> DataFrame:
     """Return the columns `keep` of each row of docs with size, source_size, target, epochs and taken.
 
     size is the number of words; taken is the number of words the mix takes of the row, repeats counted. For each
     source, taken sums to its target, rounded to a whole word: every document is taken `epochs` times in full, and
     documents in key order once more until the budget is met; the document at the cut is taken in part.
-    No row is taken more than `most` times its size. A null text is empty, a null source is a source of its own (ranked last),
-    rows with equal ids are told apart by their sizes, and an empty table gives an empty mix.
+    No row is taken more than `most` times its size. A null text is empty and of size 0, a null source is a source of its own (ranked last),
+    null ids are as good as others; rows with equal ids are told apart by their texts, and rows equal in id and text are taken one after another, whichever
+    comes first; however many they are, they are spread over tasks. A long text counts with all its words. An empty table gives an empty mix.
     A column of `keep` with the name of an added one gives way to it.
     """
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(
         F.struct(*keep).alias("kept"), F.col(ident).alias("_id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("src"),
-        words.alias("size"), random_key(F.col(ident), seed).alias("key"),
+        words.alias("size"), random_key(F.col(ident), F.col(text), seed).alias("key"), F.xxhash64(text).alias("tie"),
     ).withColumn("bucket", F.shiftright("key", KEY_BITS - LEVELS[-1]))
 
     own = ["no_source", "src"]
-    leaves = materialize(rows.groupBy(*own, "bucket").agg(F.sum("size").alias("words")))
-    tree = [leaves]
+    leaves = materialize(rows.groupBy(*own, "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
+    tree = [leaves.drop("n")]
     for bits, below in zip(LEVELS[-2::-1], LEVELS[:0:-1], strict=True):
         tree.append(tree[-1].withColumn("bucket", F.shiftright("bucket", below - bits)).groupBy(*own, "bucket").agg(F.sum("words").alias("words")))
     sources = with_targets(ranked(tree[-1].groupBy(*own).agg(F.sum("words").alias("source_size"))), weights, most)
@@ -92,20 +95,40 @@ def mix(docs: DataFrame, keep: list[str], ident: str = "doc_id", text: str = "te
         above = nodes.withColumn("parent", parent).join(above, [*own, "parent"]).select(
             *own, *facts, F.col("bucket").alias("parent"), (F.col("offset") + F.coalesce(F.sum("words").over(before), F.lit(0))).alias("offset"),
         )
-    placed = rows.join(above.withColumnRenamed("parent", "bucket"), [*own, "bucket"])
-    before = Window.partitionBy(*own, "bucket").orderBy("key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("offset") + F.coalesce(F.sum("size").over(before), F.lit(0))
+    above = above.withColumnRenamed("parent", "bucket")
+    before = Window.partitionBy(*own, "bucket").orderBy("key", "_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    started = lambda rows: rows.join(above, [*own, "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    full = leaves.where(F.col("n") > crowd).select(*own, "bucket")
+    if full.isEmpty():
+        placed = started(rows)
+    else:
+        # Equal rows stand in their bucket as one of all their words; each finds its place among them by its number. There are few such groups.
+        same = [*own, "bucket", "key", "who"]
+        rows = rows.withColumn("who", F.xxhash64("_id", "size", "tie"))
+        crowds = materialize(rows.join(F.broadcast(full), [*own, "bucket"]).groupBy(*same).agg(F.count("*").alias("n"), F.first("_id").alias("_id"), F.first("size").alias("each"), F.first("tie").alias("tie")).where(F.col("n") > crowd))
+        others = rows.join(F.broadcast(crowds.select(same)), same, "left_anti")
+        stored = materialize(rows.join(F.broadcast(crowds.select(same)), same, "left_semi").withColumn("at", F.monotonically_increasing_id()))
+        numbered = stored.withColumn("part", F.shiftright("at", 33))
+        earlier = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as tasks
+        parts = numbered.groupBy(*same, "part").agg(F.count("*").alias("n")).select(*same, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+        nth = F.row_number().over(Window.partitionBy(*same, "part").orderBy("at"))
+        numbered = numbered.withColumn("nth", nth).join(parts, [*same, "part"])
+        whole = started(others.unionByName(crowds.withColumn("size", F.col("n") * F.col("each")).select(*same, "_id", "size", "tie", F.lit(True).alias("crowd")), allowMissingColumns=True))
+        first = materialize(whole.where("crowd").select(*same, "source_size", "target", "budget", "start"))
+        again = numbered.join(F.broadcast(first), same).withColumn("start", F.col("start") + (F.col("ahead") + F.col("nth") - 1) * F.col("size"))
+        shown = ["kept", "size", "source_size", "target", "budget", "start"]
+        placed = whole.where("crowd IS NULL").select(shown).unionByName(again.select(shown))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = F.col("budget") - F.col("epochs") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     kept = [F.col("kept").getField(c).alias(c) for c in keep if c not in ADDED]
-    return placed.withColumn("start", start).withColumn("epochs", whole).select(*kept, "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.withColumn("epochs", whole).select(*kept, "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS key
+         ('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')), 1, 12))::BIGINT AS key
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight

@@ -394,6 +394,20 @@ def test_mix_replaces_clashing_columns(spark):
     assert found.columns.count("size") == 1 and {x["size"] for x in found.collect()} == {3, 1}
 
 
+def test_a_crowd_of_equal_rows_is_mixed_as_others(spark):
+    """One id, and none, on very many rows, some equal and some not: the budget is met to the word, and no row is taken more often than others."""
+    docs = [(7, "a b c", "s", i) for i in range(900)] + [(None, f"d e {i % 3}", "s", i) for i in range(900)] + [(7, f"a b c {i}", "s", i) for i in range(900)] + [(i, "x " * i, "t", i) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, n int").repartition(7)
+    found = {c: mixing.mix(frame, ["doc_id", "text", "source", "n"], crowd=c).collect() for c in (10, 10**6)}
+    for rows in found.values():
+        assert len(rows) == len(docs) and all(r.epochs * r["size"] <= r.taken <= (r.epochs + 1) * r["size"] for r in rows)
+        for s in "st":
+            assert abs(sum(r.taken for r in rows if r.source == s) - next(r.target for r in rows if r.source == s)) <= 0.5
+            assert sum(0 < r.taken - r.epochs * r["size"] < r["size"] for r in rows if r.source == s) <= 1
+    each = [sorted((r.doc_id or -1, r.text, r.taken) for r in rows) for rows in found.values()]
+    assert each[0] == each[1]
+
+
 def test_languages_without_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     found = langid.identify(docs, langid.dictionaries({}), ["doc_id"]).collect()
