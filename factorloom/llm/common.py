@@ -27,4 +27,4 @@ def ascii_lower(text: Column) -> Column:
 
 def schema_with(df: DataFrame, columns: list[str], added: str) -> StructType:
     """The fields of some columns of df, and others as in a DDL string."""
-    return StructType([df.schema[c] for c in columns] + StructType.fromDDL(added).fields)
+    return StructType([df.schema[c] for c in columns] + (StructType.fromDDL(added).fields if added else []))

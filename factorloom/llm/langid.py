@@ -1,8 +1,8 @@
 """Language identification by compression: zstandard with a raw-content dictionary for each language.
 
 A text belongs to the language whose dictionary shortens it most. Only letters count: both the dictionaries and the
-texts are lower-cased and have one space for any run of other characters. Long texts are compressed in blocks, so that every
-block is as near to the dictionary as the first one, and all of the text counts.
+texts are lower-cased and have one space for any run of other characters. Texts are compressed in blocks, all in one way, so that every
+block of a long text is as near to the dictionary as the first one, and all of the text counts.
 """
 
 from __future__ import annotations
@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import schema_with, table
 
-#: Training documents a language, at most about so many; characters taken of each; bytes of a dictionary.
-SAMPLE, EXCERPT, DICTIONARY = 600, 1500, 1 << 17
-BLOCK = 1 << 13
-#: Texts up to this many bytes are compressed harder: their sizes are close.
-SHORT = 600
+#: Training documents a language, at most about so many; characters taken of each, from a place that its hash chooses; bytes of a dictionary. All documents have room.
+SAMPLE, EXCERPT, DICTIONARY = 200, 650, 1 << 17
+BLOCK, LEVEL = 1 << 13, 6
 #: A margin of less than this share of the second smallest size is narrow.
 NARROW = 0.005
 OTHER = re.compile(r"[\W\d_]+")
@@ -32,15 +30,20 @@ def letters(text: str) -> str:
 
 
 def sampled(docs: DataFrame, learn) -> dict[str, list[str]]:
-    """By language, the one with most documents first, excerpts of about SAMPLE documents, chosen by hashes of ids. Grows with the languages only."""
+    """By language, the one with most documents first, excerpts of about SAMPLE documents, chosen by hashes of their ids and texts. Grows with the languages only.
+
+    Rows with the same language, id and text count once.
+    """
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, SAMPLE / n)) for lang, n in counts.items()], "lang string, share double")
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    draw = F.xxhash64("doc_id", "text")
+    at = F.pmod(draw, F.lit(1 << 30)) / (1 << 30)
+    start = F.pmod(F.shiftright(draw, 30), F.greatest(F.length("text") - EXCERPT + 1, F.lit(1))) + 1
     some = known.join(F.broadcast(shares), "lang").where(at < F.col("share"))
-    rows = some.select("lang", at.alias("at"), F.substring("text", 1, EXCERPT).alias("text")).collect()
+    rows = some.select("lang", at.alias("at"), F.substring("text", start.cast("int"), EXCERPT).alias("text")).distinct().collect()
     out: dict[str, list[str]] = {lang: [] for lang in sorted(counts, key=lambda x: (-counts[x], x))}
     for r in sorted(rows, key=lambda r: (r.lang, r.at, r.text)):
         out[r.lang].append(r.text)
@@ -58,18 +61,17 @@ class Sizer:
     def __init__(self, contents: dict[str, bytes]):
         self.langs = list(contents)
         dicts = [zstd.ZstdCompressionDict(c, dict_type=zstd.DICT_TYPE_RAWCONTENT) for c in contents.values()]
-        plain = {"format": zstd.FORMAT_ZSTD1_MAGICLESS, "write_content_size": 0, "write_dict_id": 0}
-        hard = zstd.ZstdCompressionParameters.from_level(19, source_size=SHORT, dict_size=DICTIONARY, strategy=zstd.STRATEGY_BTULTRA, min_match=3, **plain)
-        fast = zstd.ZstdCompressionParameters.from_level(3, source_size=BLOCK, dict_size=DICTIONARY, **plain)
-        self.hard = [zstd.ZstdCompressor(dict_data=d, compression_params=hard) for d in dicts]
-        dicts = [zstd.ZstdCompressionDict(c, dict_type=zstd.DICT_TYPE_RAWCONTENT) for c in contents.values()]
-        self.fast = [zstd.ZstdCompressor(dict_data=d, compression_params=fast) for d in dicts]
+        how = zstd.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK, dict_size=DICTIONARY, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0)
+        self.by = [zstd.ZstdCompressor(dict_data=d, compression_params=how) for d in dicts]
 
     def sizes(self, data: bytes) -> list[int]:
-        if len(data) <= SHORT:
-            return [len(c.compress(data)) for c in self.hard]
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in self.fast]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.by]
+
+    def alone(self, data: bytes) -> list[int]:
+        """The sizes of all different words, each compressed by itself."""
+        words = set(data.split())
+        return [sum(len(c.compress(b" %b " % w)) for w in words) for c in self.by]
 
 
 def predicted(sizer: Sizer, text: str | None) -> tuple[str, float, bool]:
@@ -79,8 +81,8 @@ def predicted(sizer: Sizer, text: str | None) -> tuple[str, float, bool]:
     data = letters(text).encode()
     sizes = sizer.sizes(data)
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
-    if len(data) <= SHORT and len(order) > 1 and sizes[order[0]] == sizes[order[1]]:
-        alone = [sum(len(c.compress(b" %b " % w)) for w in data.split()) for c in sizer.hard]
+    if len(order) > 1 and sizes[order[0]] == sizes[order[1]]:
+        alone = sizer.alone(data)
         order = sorted(order, key=lambda i: (sizes[i], alone[i], i))
     if len(order) == 1:
         return sizer.langs[0], 1.0, False
@@ -92,8 +94,9 @@ def predicted(sizer: Sizer, text: str | None) -> tuple[str, float, bool]:
 def identify(docs: DataFrame, contents: dict[str, bytes], keep: list[str]) -> DataFrame:
     """Return the columns `keep` of docs with lang_pred, score and rejected (by margin, or undetermined).
 
-    A text that is null or has no letter is `und` with score 0, and so is every text if no language was learned; equal sizes of a short text are
-    decided by the sizes of its single words, then for the language with more documents. Rows with equal texts get equal results; an empty table gives none.
+    A text that is null or has no letter is `und` with score 0, and so is every text if no language was learned; equal sizes are
+    decided by the sizes of the text's single words, then for the language with more documents. Rows with equal texts get equal results; a text of any length is
+    compressed whole; an empty table gives none; columns of `keep` with the names of added ones give way.
     """
 
     def found(batches: Iterator[pa.RecordBatch]):

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash as th
-from .common import schema_with, table
+from .common import discard, materialize, schema_with, table
 
-#: Labelled rows to fit on: those with the smallest hashes of their ids.
-SAMPLE = 6000
+#: Labelled rows to fit on, those with the smallest hashes of their ids; of these, as many as have so many bytes of text together.
+SAMPLE, SAMPLE_BYTES = 6000, 1 << 26
 ADDED = ("expected_grade", "p_middle", "p_top", "selected")
 STEPS = np.array([0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8])
 
@@ -65,11 +65,16 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.arange(n), th.mixed(np.uint64(1000 * (i + 1)) + step.astype(np.uint64))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Grades and features of at most `limit` labelled documents, brought to the driver."""
+def sampled(docs: DataFrame, labels: DataFrame, limit: int, limit_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Grades and features of at most `limit` labelled documents, brought to the driver. Rows that repeat id and text count once."""
     rated = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     grade = (F.col("quality") != 0).cast("int") + (F.coalesce(F.col("toxic"), F.lit(0)) == 0).cast("int")
     some = rated.groupBy("doc_id").agg(F.min(grade).alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").join(F.broadcast(some), "doc_id")
+    held = materialize(texts.groupBy("doc_id", "tie", "grade").agg(F.first("text").alias("text")))
+    order = held.select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "tie").limit(limit)
+    chosen = order.collect()
+    most = int(np.searchsorted(np.cumsum([r.n for r in chosen]), limit_bytes, "right"))
 
     def hashed(batches):
         for batch in batches:
@@ -81,7 +86,9 @@ def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[np.ndarray,
             sets = [np.unique(np.concatenate(x)).tobytes() if x else b"" for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(sets, pa.binary())], ["grade", "hashes"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").mapInArrow(hashed, "grade int, hashes binary").collect()
+    keys = docs.sparkSession.createDataFrame([(r.doc_id, r.tie) for r in chosen[:most]], schema_with(order, ["doc_id", "tie"], ""))
+    rows = held.join(F.broadcast(keys), ["doc_id", "tie"]).select("grade", "text").mapInArrow(hashed, "grade int, hashes binary").collect()
+    discard(held)
     rows.sort(key=lambda r: hashlib.md5(bytes(r.hashes)).digest())  # the same order on every run
     return np.array([r.grade for r in rows]), [np.frombuffer(r.hashes, np.uint64) for r in rows]
 
@@ -195,7 +202,8 @@ def rate(docs: DataFrame, labels: DataFrame, least: float | None = None, limit:
 
     The grade is the number of good ratings a document has: quality not 0, and not toxic; `least` is as `cut` finds it if not given. A null
     text is an empty one, and as any text without telling features it gets the sample's shares; rows with equal texts get equal results.
-    Labels with null ids or null quality are left out, of several for an id the lowest grade counts, a null toxic is 0. Without labels all are selected.
+    Labels with null ids or null quality are left out, of several for an id the lowest grade counts, a null toxic is 0; documents without an id are rated as others.
+    A text of any length is read whole. Without labels all are selected; an empty table gives none; other columns stay as they are.
     """
     rated = rater(docs, labels, least, limit)
     kept = [c for c in docs.columns if c not in ADDED]

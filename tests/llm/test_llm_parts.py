@@ -263,6 +263,17 @@ def test_ordinal_tails_are_ordered():
     assert (tails[:, 0] >= tails[:, 1]).all() and tails[0, 1] > tails[1, 1] > tails[2, 1] and tails[3, 1] == tails[0, 1]
 
 
+def test_one_id_on_very_many_rows(spark):
+    """Rows that repeat a labelled id bring no more to the driver than the sample's bound, by rows and by bytes."""
+    same = [(1, "copy " * 50)] * 3000 + [(1, f"other text {i}") for i in range(3000)] + [(2, "x" * 100000), (3, "fine")]
+    docs = spark.createDataFrame(same, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    grades, sets = quality.sampled(docs, labels, 40)
+    assert len(grades) == len(sets) == 40
+    assert len(quality.sampled(docs, labels, 10000)[0]) == 3003
+    assert len(quality.sampled(docs, labels, 10000, 1000)[0]) < 100
+
+
 def test_hashes_don_t_depend_on_neighbours(monkeypatch):
     texts = ["Some Words é here", None, "", "here", "x" * 50]
     whole = [np.sort(np.concatenate([h[rows == i] for rows, h in quality.features(pa.array(texts))])) for i in range(5)]

@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+import zstandard as zstd
 from odd_tables import documents
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factorloom.llm import queries
+from factorloom.llm import langid, quality, queries
 
 DOCS = documents()
 WHITE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -149,6 +151,76 @@ def test_op6(spark, mixed):
     assert {r.doc_id for r in found if r.doc_id is not None and not r.selected} == junk
 
 
+MASK = (1 << 64) - 1
+
+
+def spread(x):
+    x ^= x >> 31
+    x = x * 0xD6E8FEB86659FD93 & MASK
+    return x ^ x >> 32
+
+
+def hashed(word, n=0):
+    """The hash of a word, or of its first n bytes, letter by letter."""
+    part = word[:n] if n else word
+    return spread((sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(part)) + n) & MASK)
+
+
+def plain_features(t):
+    """The features of a text, token by token: words, their beginnings, runs of marks, and three shares."""
+    data = t.encode()
+    found, words, marks, again, last = set(), 0, 0, 0, None
+    for m in re.finditer(rb"([0-9A-Za-z\x80-\xff]+)|([^0-9A-Za-z\x80-\xff\x00-\x20\x7f]+)", data):
+        w = m[0].lower()
+        found |= {hashed(w)} | {hashed(w, n) for n in (5, 6, 7, 8) if len(w) > n}
+        if m[1]:
+            words, again, last = words + 1, again + (w == last), w
+        else:
+            marks += 1
+    capitals, letters = (len(re.findall(p, data)) for p in (rb"[A-Z]", rb"[A-Za-z]"))
+    steps = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8)
+    for i, (part, whole) in enumerate(((again, words), (capitals, letters), (marks, words))):
+        found.add(spread(1000 * (i + 1) + sum(part / max(whole, 1) > s for s in steps)))
+    return found
+
+
+def test_op6_by_brute_force(spark, mixed):
+    """The sample, the model's fit and every row's grades, computed again token by token and row by row."""
+    docs, labels = (spark.read.parquet(f"{mixed}/{t}.parquet") for t in ("documents", "labels"))
+    grades, sets = quality.sampled(docs, labels, quality.SAMPLE)
+    rated = defaultdict(list)
+    for i, good, toxic in (tuple(r)[:3] for r in labels.collect()):
+        if i is not None and good is not None:
+            rated[i].append((good != 0) + ((toxic or 0) == 0))
+    wanted = sorted((min(rated[d]), sorted(plain_features(t or ""))) for d, t in {d[:2] for d in DOCS} if d in rated)
+    assert sorted((g, s.tolist()) for g, s in zip(grades.tolist(), sets, strict=True)) == wanted
+    model, least = quality.fit(grades, sets), quality.cut(grades, sets)
+    weights = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+
+    def loss(weights, b):
+        total = sum(0.005 * w * w for w in weights.values())
+        for g, s in zip(grades.tolist(), sets, strict=True):
+            x = sum(weights.get(h, 0) for h in s.tolist())
+            edges = [1.0, *[1 / (1 + math.exp(t - x)) for t in b], 0.0]
+            total -= math.log(max(edges[g] - edges[g + 1], 1e-300))
+        return total
+
+    best, b = loss(weights, model.thresholds.tolist()), model.thresholds.tolist()
+    assert b == sorted(b) and max(weights.values(), default=0) <= 0
+    for k in range(2):
+        assert all(loss(weights, [x + d * (i == k) for i, x in enumerate(b)]) > best - 0.02 for d in (-0.3, 0.3))
+    for h in list(weights)[:10]:
+        assert all(loss(weights | {h: min(0, weights[h] + d)}, b) > best - 0.02 for d in (-0.3, 0.3))
+    by = {}
+    for d in DOCS:
+        x = sum(weights.get(h, 0) for h in plain_features(text(d)))
+        by[d[0], d[1]] = [1 / (1 + math.exp(t - x)) for t in b]
+    found = [tuple(r) for r in rows(spark, "op6_quality", mixed)]
+    names = [c for c in queries.QUERIES["op6_quality"](spark, mixed).columns]
+    got = sorted(f"{r[names.index('doc_id')]} {r[names.index('p_middle')]:.9f} {r[names.index('p_top')]:.9f} {r[names.index('selected')]}" for r in found)
+    assert got == sorted(f"{d[0]} {by[d[0], d[1]][0]:.9f} {by[d[0], d[1]][1]:.9f} {by[d[0], d[1]][1] >= least}" for d in DOCS)
+
+
 def test_op7(spark, mixed):
     """What must hold of any result: lines go only, first copies stay, the shared passage stays once, rows with equal texts agree."""
     found = rows(spark, "op7_linededup", mixed)
@@ -236,6 +308,31 @@ def test_op10(spark, mixed):
     assert sum(r.lang_pred == by[r.doc_id][2] for r in sure) >= 0.9 * len(sure)
 
 
+def test_op10_by_brute_force(spark, mixed):
+    """The excerpts are of training rows; every prediction follows from the sizes of the whole text under each dictionary."""
+    docs = spark.read.parquet(f"{mixed}/documents.parquet")
+    held = lambda d: d[0] is not None and zlib.crc32(str(d[0]).encode()) % 5 == 0
+    samples = langid.sampled(docs, F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(True)))
+    for lang, parts in samples.items():
+        texts = [t for _, t in {(d[0], text(d)) for d in DOCS if d[2] == lang and not held(d) and any(map(str.isalpha, text(d)))}]
+        assert len(parts) == len(texts) and all(any(p in t and len(p) == min(len(t), langid.EXCERPT) for t in texts) for p in parts)
+    contents = langid.dictionaries(samples)
+    how = zstd.ZstdCompressionParameters.from_level(langid.LEVEL, source_size=1 << 13, dict_size=1 << 17, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0)
+    size = lambda c, b: len(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(c, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=how).compress(b))
+    wanted = []
+    for d in DOCS:
+        plain = " " + " ".join(re.findall(r"[^\W\d_]+", text(d).lower())) + " "
+        data = plain.encode()
+        whole = {lang: sum(size(c, data[i : i + (1 << 13)]) for i in range(0, len(data), 1 << 13)) for lang, c in contents.items()}
+        first, second = sorted(whole.values())[:2]
+        tied = [lang for lang in contents if whole[lang] == first]
+        alone = {lang: sum(size(contents[lang], f" {w} ".encode()) for w in set(plain.split())) for lang in tied}
+        guess = min(tied, key=lambda lang: alone[lang])
+        sure = any(map(str.isalpha, text(d)))
+        wanted.append((d[0], held(d), guess if sure else "und", f"{1 - 2 ** (-(second - first) / 2) if sure else 0:.6f}"))
+    same([(r.doc_id, r.held_out, r.lang_pred, f"{r.score:.6f}") for r in rows(spark, "op10_langid", mixed)], wanted)
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_empty_tables(spark, empty, name):
     assert rows(spark, name, empty) == []
