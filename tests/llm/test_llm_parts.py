@@ -287,7 +287,7 @@ def test_hashes_don_t_depend_on_neighbours(monkeypatch):
 
 def test_forward_sums_all_paths():
     rng = np.random.default_rng(0)
-    model = hmm.Model(*[rng.random(s) for s in ((hmm.STATES,), (hmm.STATES,), (hmm.STATES, hmm.STATES), (hmm.CLASSES + 1, hmm.STATES))]).learned()
+    model = hmm.Model(*[rng.random(s) for s in ((hmm.STATES,), (hmm.STATES, hmm.STATES), (hmm.CLASSES + 1, hmm.STATES))]).learned()
     codes, lengths = rng.integers(0, hmm.CLASSES + 1, 12), np.array([4, 1, 3, 4])
     found = hmm.likelihoods(model, codes, lengths)
     at = 0
@@ -298,6 +298,46 @@ def test_forward_sums_all_paths():
         assert abs(np.log10(total) - x) < 1e-9
 
 
+def plain_expected(model, codes, lengths):
+    """Expected counts and likelihoods token by token, over whole sequences."""
+    first, move, emit, logs, at = np.zeros_like(model.first), np.zeros_like(model.move), np.zeros_like(model.emit), [], 0
+    for n in lengths.tolist():
+        x = codes[at : at + n]
+        at += n
+        f, c = [], []
+        for t, w in enumerate(x):
+            a = (model.first if t == 0 else f[-1] @ model.move) * model.emit[w]
+            c.append(a.sum())
+            f.append(a / c[-1])
+        b = np.ones(hmm.STATES)
+        for t in range(n - 1, -1, -1):
+            gamma = f[t] * b
+            emit[x[t]] += gamma
+            if t == 0:
+                first += gamma
+            else:
+                said = model.emit[x[t]] * b / c[t]
+                move += np.outer(f[t - 1], said) * model.move
+                b = model.move @ said
+        logs.append(np.log10(c).sum())
+    return hmm.Model(first, move, emit).flat(), np.array(logs)
+
+
+def test_expected_counts_of_whole_sequences(monkeypatch):
+    """Segments of long sequences change nothing: counts and likelihoods are those of whole sequences."""
+    rng = np.random.default_rng(7)
+    model = hmm.Model(*[rng.random(s) ** 4 for s in ((hmm.STATES,), (hmm.STATES, hmm.STATES), (hmm.CLASSES + 1, hmm.STATES))]).learned()
+    lengths = np.array([1, 300, 2, 40, 41, 39, 77, 1000, 5, 200])
+    codes = rng.integers(0, 30, lengths.sum())
+    wanted, logs = plain_expected(model, codes, lengths)
+    for long, segment, together in ((2048, 128, 1 << 18), (40, 13, 100), (4, 7, 64), (0, 16, 10**6)):
+        monkeypatch.setattr(hmm, "LONG", long)
+        monkeypatch.setattr(hmm, "SEGMENT", segment)
+        monkeypatch.setattr(hmm, "TOGETHER", together)
+        assert np.allclose(hmm.expected(model, codes, lengths), wanted, rtol=1e-8, atol=1e-9)
+        assert np.allclose(hmm.likelihoods(model, codes, lengths), logs, rtol=1e-10)
+
+
 def test_long_sequences_don_t_vanish():
     rng = np.random.default_rng(0)
     model = hmm.start(np.ones(hmm.CLASSES + 1))

@@ -7,14 +7,16 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 import zstandard as zstd
 from odd_tables import documents
 from pyspark.sql import functions as F
+from test_llm_parts import plain_expected
 
 import corpus_pipeline
-from factorloom.llm import langid, quality, queries
+from factorloom.llm import hmm, langid, quality, queries
 
 DOCS = documents()
 WHITE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -264,6 +266,34 @@ def test_op8(spark, mixed):
     assert sum(r.score - r.base_score for r in found) > 0
 
 
+def test_op8_by_brute_force(spark, mixed):
+    """Training over chunks, and every score, computed again sequence by sequence and word by word."""
+    held = lambda d: d[0] is not None and zlib.crc32(str(d[0]).encode()) % 5 == 1
+    kind = lambda w: 0 if w is None else 1 + ((sum(b << 8 * i for i, b in enumerate(w[::-1][:3])) * 2654435761 & 0xFFFFFFFF) * hmm.CLASSES >> 32)
+    train = [tokens(text(d)) for d in DOCS if not held(d)]
+    c = Counter(w for t in train for w in t)
+    n, v = np.zeros(hmm.CLASSES + 1), np.zeros(hmm.CLASSES + 1)
+    for w, k in c.items():
+        n[kind(w)] += k
+        v[kind(w)] += 1
+    codes, lengths = np.array([kind(w) for t in train for w in t]), np.array([len(t) for t in train])
+    near, (after, before) = np.zeros((hmm.CLASSES + 1, 2 * hmm.SKETCH)), hmm.signs()
+    for t in train:
+        for a, b in itertools.pairwise(map(kind, t)):
+            near[a, : hmm.SKETCH] += after[b]
+            near[b, hmm.SKETCH :] += before[a]
+    model = hmm.start(n, near)
+    for _ in range(hmm.ROUNDS):
+        model = hmm.Model.shaped(plain_expected(model, codes, lengths)[0]).learned()
+    wanted = []
+    for d in DOCS:
+        t = tokens(text(d))
+        k = np.array([kind(w) for w in t])
+        own = sum(math.log10((c[w] + 0.5) / (n[kind(w)] + 0.5 * (v[kind(w)] + 1))) for w in t[:-1])
+        wanted.append((d[0], len(t), f"{own + plain_expected(model, k, np.array([len(k)]))[1][0]:.4f}"))
+    same([(r.doc_id, r.n_tokens, f"{r.score:.4f}") for r in rows(spark, "op8_hmm", mixed)], wanted)
+
+
 def test_op9(spark, mixed):
     found = rows(spark, "op9_mixing", mixed)
     sizes = Counter()
