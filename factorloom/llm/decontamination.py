@@ -65,10 +65,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text
 
     A window is `size` consecutive words of an item, or a shorter item whole. A document's word is hit if an occurrence
     of a window covers it, and the document is contaminated if at least one word in `one_in` is hit.
-    Windows are broadcast in blocks of at most `broadcast_bytes`, by their measured size; the documents are scanned once for each block.
-    Null and empty texts have no words; rows with equal ids are told apart by their texts, and repeated rows each
+    Windows are broadcast if they have at most `broadcast_bytes`, by their measured size; of more, tokens and then documents are joined by shuffle.
+    Null and empty texts have no words, a text of any length is searched whole; rows with equal ids are told apart by their texts, and repeated rows each
     give a row. Items with null or empty texts have no window, items with null ids are found but not named.
-    Empty tables give no rows, or rows without hits.
+    Empty tables give no rows, or rows without hits. Other columns, whatever their names, aren't looked at.
     """
     rows = docs.select(F.col(ident).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("words"))
     windows = materialize(windows_of(items, item_id, item_text, size))
@@ -77,14 +77,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text
     n_windows, n_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws("", "win")) + F.size("win") * 24 + 100), F.lit(0))).first()
     sizes = [r.k for r in windows.select(F.least("n", F.lit(shingle)).alias("k")).distinct().collect()] or [shingle]
 
-    def blocks(of: DataFrame, by: str, n_bytes: int) -> list[DataFrame]:
-        n = -(-n_bytes // broadcast_bytes) or 1
-        return [of.where(F.pmod(F.xxhash64(by), F.lit(n)) == b) if n > 1 else of for b in range(n)]
-
+    few = n_bytes <= broadcast_bytes and 64 * n_windows * size <= broadcast_bytes
     words_only = positions(rows.select("words"), sizes).select("token")
     vocabulary = tokens.select("token").distinct()
-    counted = [words_only.join(F.broadcast(v), "token").groupBy("token").agg(F.count("*").alias("df")) for v in blocks(vocabulary, "token", 64 * n_windows * size)]
-    rarity = materialize(reduce(DataFrame.unionByName, counted))
+    if few:
+        rarity = materialize(words_only.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df")))
+    else:
+        rarity = materialize(words_only.where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("df")).join(vocabulary, "token"))
     # A window with a token that no document has occurs nowhere.
     rarest = tokens.join(rarity, "token", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "off", "k")).alias("t"))
     prefixes = materialize(
@@ -92,14 +91,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text
             windows.sparkSession.range(1).select(F.lit(LENGTH_TOKEN).cast("long").alias("token")), allowMissingColumns=True
         )
     )
-    start = F.col("pos") - F.col("off")
-    fits = (start >= 0) & (start + F.col("n") <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("win"))
-    found = []
-    for block in blocks(prefixes, "wid", n_bytes):
-        at = positions(rows, sizes).where(F.col("token").isNotNull()).join(F.broadcast(block), "token").where(F.col("wid").isNull() | fits)
-        found.append(at.select("id", "text_hash", F.size("words").alias("n_words"), F.when(F.col("wid").isNotNull(), start).alias("start"), "n", "wid"))
-    own = ["id", "text_hash", "n_words"]
-    hits = reduce(DataFrame.unionByName, found).groupBy(*own, "start", "n", "wid").agg(F.count("*").alias("copies"))
+    start, own = F.col("pos") - F.col("off"), ["id", "text_hash", "n_words"]
+    if few:
+        fits = (start >= 0) & (start + F.col("n") <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n")) == F.col("win"))
+        at = positions(rows, sizes).where(F.col("token").isNotNull()).join(F.broadcast(prefixes), "token").where(F.col("wid").isNull() | fits)
+        found = at.select("id", "text_hash", F.size("words").alias("n_words"), F.when(F.col("wid").isNotNull(), start).alias("start"), "n", "wid")
+        hits = found.groupBy(*own, "start", "n", "wid").agg(F.count("*").alias("copies"))
+    else:
+        every = rows.select("id", "text_hash", F.size("words").alias("n_words")).groupBy(*own).agg(F.count("*").alias("copies"))
+        at = positions(rows, sizes).select("id", "text_hash", F.size("words").alias("n_words"), "pos", "token")
+        maybe = at.join(prefixes.where("wid IS NOT NULL").select("token", "off", "wid", "n"), "token").select(*own, start.alias("start"), "n", "wid").where("start >= 0 AND start + n <= n_words").distinct()
+        named = rows.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "words")
+        read = maybe.join(named, F.col("id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))).withColumn("here", F.slice("words", F.col("start") + 1, F.col("n")))
+        true = read.select(*own, "start", "n", "wid", "here").join(windows.select("wid", "win"), "wid").where("here = win").groupBy(*own, "start", "n", "wid").agg(F.count("*").alias("copies"))
+        hits = every.unionByName(true, allowMissingColumns=True).select(*own, "start", "n", "wid", "copies")
     hits = hits.join(windows.select("wid", "items"), "wid", "left")
     before = Window.partitionBy(*own).orderBy(F.asc_nulls_first("start"), "n").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("n")

@@ -175,7 +175,8 @@ def padded(text: bytes) -> bytes:
 def stored_features(docs: DataFrame) -> DataFrame:
     """Store each row's text as an Ogg container, read it back and describe it; the columns of op1_ogg.
 
-    A null or empty text is 64 zero bytes; equal texts give equal rows but for doc_id; an empty table gives none.
+    A null or empty text is 64 zero bytes; a text of any length is stored whole, in as many pages as it takes; equal texts give equal rows but for doc_id,
+    null and repeated ids are as good as others; an empty table gives none; other columns aren't looked at.
     """
 
     def described(batches):

@@ -8,6 +8,7 @@ thousands of lines at a time. It adds what patterns can't say, such as credentia
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
@@ -31,8 +32,6 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 LABELS = ("other", "email", "ip", "card", "phone", "secret")
-#: Longer lines are cut for decoding.
-LINE = 256
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -155,9 +154,7 @@ def shapes(rows: np.ndarray, starts: np.ndarray, data: np.ndarray) -> Shapes | N
     breaks = np.cumsum(data == 10)
     text = np.searchsorted(starts, s, "right")
     new = np.concatenate([[True], (breaks[s[1:]] != breaks[s[:-1]]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(new)
-    at = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
-    return Shapes(t["row"], s, e, flags.astype(np.int64), form, t["hash"], np.flatnonzero(at % LINE == 0))
+    return Shapes(t["row"], s, e, flags.astype(np.int64), form, t["hash"], np.flatnonzero(new))
 
 
 @dataclass
@@ -294,7 +291,7 @@ def added(field: Field, column: pa.Array) -> dict[int, list[tuple[str, int, int]
     out: dict[int, list[tuple[str, int, int]]] = {}
     _, offsets = th.buffers(column)
     done: dict[int, int] = {}
-    for rows, starts, data in th.pieces(column, th.spaced()):
+    for rows, starts, data in th.pieces(column, th.broken()):  # lines stay whole
         x = shapes(rows, starts, data)
         if x is not None:
             labels = viterbi(field, x)
@@ -324,8 +321,9 @@ def added(field: Field, column: pa.Array) -> dict[int, list[tuple[str, int, int]
 def find(docs: DataFrame, field: Field, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Return per row: its id, n_email, n_ip, n_card, n_phone, n_added, base_sha256 and spans (kind:start:end, code points).
 
-    Base spans are all kept; a span of the field is added if it overlaps none. A null text is empty and has none. Rows with
-    equal texts get equal results; an empty table gives none.
+    Base spans are all kept; a span of the field is added if it overlaps none. A null text is empty and has none. A line of any length is decoded
+    as one sequence, a text of any length whole. Rows with equal texts get equal results, null and repeated ids are as good as others; an empty table gives
+    none; other columns aren't looked at.
     """
 
     def found(batches: Iterator[pa.RecordBatch]):
@@ -358,6 +356,12 @@ def find(docs: DataFrame, field: Field, ident: str = "doc_id", text: str = "text
     return rows.withColumnRenamed("id", ident)
 
 
+@functools.cache
+def default_field() -> Field:
+    """Trained on the made-up table of `labelled`."""
+    return train(labelled())
+
+
 def op2_pii(spark, sf_dir):
-    """All documents, with a field trained on the made-up table of `labelled`."""
-    return find(table(spark, sf_dir, "documents"), train(labelled()))
+    """All documents, with the default field."""
+    return find(table(spark, sf_dir, "documents"), default_field())

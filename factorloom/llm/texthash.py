@@ -7,7 +7,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at a time; longer texts are cut at white space.
+#: Bytes of text that are hashed at a time; longer texts are cut at white space, or where asked for.
 PIECE = 1 << 20
 #: Lengths in bytes of the word beginnings that are hashed besides words.
 BEGINNINGS = (5, 6, 7, 8)
@@ -36,6 +36,14 @@ def spaced() -> np.ndarray:
 
 
 @functools.cache
+def broken() -> np.ndarray:
+    """By byte: a line break, or part of a line."""
+    kind = np.full(256, WORD, np.uint8)
+    kind[10] = SPACE
+    return kind
+
+
+@functools.lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1

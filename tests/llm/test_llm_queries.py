@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from test_llm_parts import plain_expected
 
 import corpus_pipeline
-from factorloom.llm import hmm, langid, quality, queries
+from factorloom.llm import decontamination, hmm, langid, pii, quality, queries
 
 DOCS = documents()
 WHITE = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -82,6 +82,50 @@ def test_op2(spark, mixed):
     assert secrets == sum("token = " in text(d) for d in DOCS)
 
 
+def field_spans(field, t):
+    """The field's spans of a text, line by line and token by token."""
+    out, at, data = [], 0, t.encode()
+    for line in data.split(b"\n"):
+        words = list(WHITE.finditer(line))
+        if words:
+            x = pii.shapes(np.zeros(1, np.int64), np.zeros(1, np.int64), np.frombuffer(line, np.uint8))
+            score = field.scores(x)
+            best, back = score[0], []
+            for s in score[1:]:
+                through = best[:, None] + field.move
+                back.append(through.argmax(axis=0))
+                best = through.max(axis=0) + s
+            labels = [int(best.argmax())]
+            for b in reversed(back):
+                labels.append(int(b[labels[-1]]))
+            last = None
+            for i, (m, label) in enumerate(zip(words, reversed(labels), strict=True)):
+                s, e = m.span()
+                while s < e and line[s] in pii.TRIM:
+                    s += 1
+                while e > s and line[e - 1] in pii.TRIM:
+                    e -= 1
+                if label and s < e:
+                    if last == (i - 1, label):
+                        out[-1] = (out[-1][0], out[-1][1], at + e)
+                    else:
+                        out.append((pii.LABELS[label], at + s, at + e))
+                    last = i, label
+        at += len(line) + 1
+    return [(k, len(data[:s].decode()), len(data[:e].decode())) for k, s, e in out]
+
+
+def test_op2_by_brute_force(spark, mixed):
+    """All spans, with those that the field adds, from the best path of every whole line."""
+    field, kinds = pii.default_field(), [*pii.BASE, "secret"]
+    wanted = []
+    for d in DOCS:
+        base = base_spans(text(d))
+        more = [x for x in field_spans(field, text(d)) if not any(s < x[2] and x[1] < e for _, s, e in base) and pii.plausible(x[0], text(d)[x[1] : x[2]])]
+        wanted.append((d[0], ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(base + more, key=lambda x: (kinds.index(x[0]), x[1], x[2])))))
+    same([(r.doc_id, r.spans) for r in rows(spark, "op2_pii", mixed)], wanted)
+
+
 def test_op3(spark, mixed):
     found = rows(spark, "op3_warc", mixed)
     pages = [tuple(r) for r in spark.read.parquet(f"{mixed}/pages.parquet").collect()]
@@ -143,6 +187,9 @@ def test_op5(spark, mixed):
                 items.add(str(item))
         wanted.append((d[0], len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     same([tuple(r) for r in rows(spark, "op5_decontamination", mixed)], wanted)
+    docs, items = (spark.read.parquet(f"{mixed}/{t}.parquet") for t in ("documents", "benchmark"))
+    shuffled = decontamination.decontaminate(docs, items, broadcast_bytes=0).collect()
+    same([(r.doc_id, r.n_words, r.n_hit, r.n_items, hashlib.sha256(",".join(r.item_ids).encode()).hexdigest(), r.contaminated) for r in shuffled], wanted)
 
 
 def test_op6(spark, mixed):
