@@ -111,7 +111,7 @@ def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", broa
     cuts = materialize(new.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts")).withColumnsRenamed({"id": "_id", "text_hash": "_hash"}))
     discard(repeated, found, chunks, runs, firsts)
     rows = docs.select(F.struct("*").alias("row"), F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"))
-    whole = rows.join(cuts, rows["id"].eqNullSafe(cuts["_id"]) & (rows["text_hash"] == cuts["_hash"]), "left")
+    whole = rows.join(cuts.hint("merge"), rows["id"].eqNullSafe(cuts["_id"]) & (rows["text_hash"] == cuts["_hash"]), "left")
     at = whole.select("row", "_cuts", F.split(F.col("row").getField(text), "\n", -1).alias("lines"), F.expr("flatten(transform(_cuts, c -> sequence(c.start, c.stop - 1)))").alias("gone"))
     cut = F.size("_cuts") > 0
     kept = F.when(cut, F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")).otherwise(F.col("row").getField(text))
