@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +31,67 @@ def noise(ids: np.ndarray, k: int, *key: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(u[:, :k])) * np.cos(2 * np.pi * u[:, k:])
 
 
+class Draws:
+    """Where a fit's randomness comes from; each draw is a function of its key."""
+
+    def generator(self, *key: int):
+        return generator(*key)
+
+    def noise(self, ids: np.ndarray, k: int, *key) -> np.ndarray:
+        return noise(ids, k, *key)
+
+
+class PortableDraws(Draws):
+    """Draws from md5 sums, which any engine can repeat (`columns.normal_sql`): slower, and for tests. Chi-square draws are Wilson and Hilferty's cubes of normals."""
+
+    @staticmethod
+    def uniform(ident, *key) -> float:
+        return (int(hashlib.md5(f"{':'.join(map(str, key))}:{ident}".encode()).hexdigest()[:12], 16) + 0.5) / (1 << 48)
+
+    @classmethod
+    def normal(cls, ident, *key) -> float:
+        return float(np.sqrt(-2 * np.log(cls.uniform(ident, *key, "a"))) * np.cos(2 * np.pi * cls.uniform(ident, *key, "b")))
+
+    def noise(self, ids: np.ndarray, k: int, *key) -> np.ndarray:
+        return np.array([[self.normal(i, *key, j) for j in range(k)] for i in np.asarray(ids).tolist()]).reshape(-1, k)
+
+    def generator(self, *key: int):
+        return PortableGenerator(key)
+
+
+@dataclass
+class PortableGenerator:
+    """Normals numbered in the order in which they are asked for."""
+
+    key: tuple
+    n: int = 0
+
+    def standard_normal(self, size) -> np.ndarray:
+        count = int(np.prod(size))
+        self.n += count
+        return np.array([PortableDraws.normal(i, "g", *self.key) for i in range(self.n - count, self.n)]).reshape(size)
+
+    def chisquare(self, df: np.ndarray) -> np.ndarray:
+        df = np.asarray(df, float)
+        return df * (1 - 2 / (9 * df) + self.standard_normal(df.shape) * np.sqrt(2 / (9 * df))) ** 3
+
+
+def solve_lower(lower: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x with lower x = right, for a batch of lower triangles, row by row."""
+    x = np.array(right, float)
+    for i in range(x.shape[-1]):
+        x[..., i] = (x[..., i] - np.einsum("...j,...j->...", lower[..., i, :i], x[..., :i])) / lower[..., i, i]
+    return x
+
+
+def solve_upper(upper: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """x with upper x = right, for a batch of upper triangles."""
+    return solve_lower(upper[..., ::-1, ::-1], right[..., ::-1])[..., ::-1]
+
+
 def mvn_precision(rng: np.random.Generator, mean: np.ndarray, upper: np.ndarray, kappa: float = 1.0) -> np.ndarray:
     """Normal with precision kappa * upper' upper."""
-    return mean + np.linalg.solve(upper, rng.standard_normal(len(mean))) / np.sqrt(kappa)
+    return mean + solve_upper(upper, rng.standard_normal(len(mean))) / np.sqrt(kappa)
 
 
 def wishart_unit_upper(rng: np.random.Generator, df: float, k: int) -> np.ndarray:
@@ -83,13 +142,16 @@ def symmetric(packed: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def posterior_factors(gram: np.ndarray, precision: np.ndarray, alpha: float) -> np.ndarray:
+    """Lower Cholesky factors of the posterior precisions; LinAlgError where one isn't positive definite."""
+    return np.linalg.cholesky(precision + alpha * gram)
+
+
 def posterior_draws(gram: np.ndarray, rr: np.ndarray, mean: np.ndarray, precision: np.ndarray, alpha: float, z: np.ndarray, diagonal: bool = False) -> np.ndarray:
     """Draw one vector for each row: precision* = precision + alpha gram, its mean solves precision* m = precision mean + alpha rr."""
     right = np.einsum("...ij,...j->...i", precision, mean) + alpha * rr
-    full = precision + alpha * gram
     if diagonal:
-        d = np.einsum("...ii->...i", full)
+        d = np.einsum("...ii->...i", precision + alpha * gram)
         return right / d + z / np.sqrt(d)
-    lower = np.linalg.cholesky(full)
-    half = np.linalg.solve(lower, right[..., None]) + z[..., None]
-    return np.linalg.solve(np.swapaxes(lower, -1, -2), half)[..., 0]
+    lower = posterior_factors(gram, precision, alpha)
+    return solve_upper(np.swapaxes(lower, -1, -2), solve_lower(lower, right) + z)

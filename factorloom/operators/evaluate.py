@@ -9,14 +9,14 @@ from ..functions.columns import clamp, dot
 from .normal import with_factors
 
 
-def predicted(cells: DataFrame, users: DataFrame, items: DataFrame, mean: float, k: int, bounds: tuple[float, float] | None = None, n_users: int | None = None, n_items: int | None = None) -> DataFrame:
+def predicted(cells: DataFrame, users: DataFrame, items: DataFrame, mean: float, k: int, bounds: tuple[float, float] | None = None, n_users: int | None = None, n_items: int | None = None, name: str = "pred") -> DataFrame:
     """cells with pred, the product of both sides' vectors plus the mean; cells without a vector on both sides are left out.
 
     Vectors are counted, to see whether they can be broadcast, unless their numbers are given.
     """
     both = with_factors(cells, users, "user", k, n_users).withColumnRenamed("f", "_u")
     pred = dot(F.col("_u"), F.col("f"), k) + mean
-    return with_factors(both, items, "item", k, n_items).withColumn("pred", clamp(pred, *bounds) if bounds else pred).drop("_u", "f")
+    return with_factors(both, items, "item", k, n_items).withColumn(name, clamp(pred, *bounds) if bounds else pred).drop("_u", "f")
 
 
 def rmse(cells: DataFrame, pred: str = "pred", name: str = "rmse") -> DataFrame:

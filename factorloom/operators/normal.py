@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,27 +17,58 @@ NATIVE = 10
 BROADCAST = 64 << 20
 #: Entities with more ratings than this are dealt to several partitions.
 HOT = 1 << 20
+#: More hot entities than this aren't broadcast.
+MANY_HOT = 100_000
 
 
 def triangle(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
+def small(n: int, k: int) -> bool:
+    """Whether so many vectors can be broadcast."""
+    return n * (8 * k + 48) <= BROADCAST
+
+
 def with_factors(ratings: DataFrame, factors: DataFrame, other: str, k: int, n: int | None = None) -> DataFrame:
     """Ratings with the other side's vector as f; factors (id, f) are broadcast if they are few enough, by their number."""
     n = factors.count() if n is None else n
     named = factors.select(F.col("id").alias(other), "f")
-    return ratings.join(F.broadcast(named) if n * (8 * k + 48) <= BROADCAST else named, other)
+    return ratings.join(F.broadcast(named) if small(n, k) else named, other)
 
 
 def summed_rows(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
+def prepared(ratings: DataFrame, entity: str, k: int, native: int = NATIVE, hot: int = HOT) -> DataFrame:
+    """Ratings dealt out and sorted by entity once, for many calls of `normal_equations` with that entity; kept in memory as far as there is room, else on disk, and computed anew where lost.
+
+    For few factors nothing is moved, as sums are combined before the shuffle.
+    """
+    if k <= native:
+        return ratings
+    out = dealt(ratings, entity, hot).persist(StorageLevel.MEMORY_AND_DISK)
+    out.dealt_by = entity
+    return out
+
+
+def dealt(ratings: DataFrame, entity: str, hot: int) -> DataFrame:
+    """Ratings with salt, by (entity, salt): entities with over `hot` ratings have several salts, all others 0."""
+    crowded = ratings.groupBy(entity).agg(F.count("*").alias("_c")).where(F.col("_c") > hot)
+    # Hot entities are few if ratings are, but their number is checked all the same.
+    few = len(crowded.select(entity).limit(MANY_HOT + 1).collect()) <= MANY_HOT
+    other = "user" if entity == "item" else "item"
+    salted = ratings.join(F.broadcast(crowded) if few else crowded, entity, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce(F.ceil(F.col("_c") / hot), F.lit(1)))).drop("_c")
+    return salted.repartition(entity, "salt").sortWithinPartitions(entity)
+
+
 def normal_equations(ratings: DataFrame, factors: DataFrame, entity: str, other: str, mean: float, k: int, n_other: int | None = None, native: int = NATIVE, hot: int = HOT) -> DataFrame:
     """(id, n, gram, rr) for each rated entity: gram is the upper triangle of the sum of f f', row by row; rr sums f (value - mean)."""
-    joined = with_factors(ratings, factors, other, k, n_other).select(F.col(entity).alias("id"), F.col(other).alias("_other"), (F.col("value") - mean).alias("r"), "f")
+    ready = getattr(ratings, "dealt_by", None) == entity
+    n_other = factors.count() if n_other is None else n_other
     if k <= native:
+        joined = with_factors(ratings, factors, other, k, n_other).select(F.col(entity).alias("id"), (F.col("value") - mean).alias("r"), "f")
         f = [F.col("f")[i] for i in range(k)]
         sums = joined.groupBy("id").agg(
             F.count("*").alias("n"), *[F.sum(f[i] * f[j]).alias(f"g{i}_{j}") for i, j in triangle(k)], *[F.sum(f[i] * F.col("r")).alias(f"r{i}") for i in range(k)]
@@ -45,7 +77,8 @@ def normal_equations(ratings: DataFrame, factors: DataFrame, entity: str, other:
 
     width, schema = k * (k + 1) // 2, "id long, n long, gram array<double>, rr array<double>"
 
-    def out(ids, n, gram, rr):
+    def out(rows):
+        ids, n, gram, rr = (np.concatenate(x) for x in zip(*rows, strict=True))
         lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel())) for x in (gram, rr)]
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), *lists], ["id", "n", "gram", "rr"])
 
@@ -53,31 +86,41 @@ def normal_equations(ratings: DataFrame, factors: DataFrame, entity: str, other:
         return np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
 
     def partial(batches):
+        """A row for each run of an entity; runs go on over batches."""
         i, j = np.triu_indices(k)
+        held = None
         for batch in batches:
             if batch.num_rows:
                 ids, r, f = np.asarray(batch.column("id")), np.asarray(batch.column("r")), summed_rows(batch.column("f"), k)
                 first = runs(ids)
                 last = np.append(first[1:], len(ids))
                 gram = np.stack([(f[a:b].T @ f[a:b])[i, j] for a, b in zip(first, last, strict=True)])
-                yield out(ids[first], last - first, gram, np.add.reduceat(f * r[:, None], first))
-
-    def final(batches):
-        for batch in batches:
-            if batch.num_rows:
-                ids = np.asarray(batch.column("id"))
-                first = runs(ids)
-                yield out(ids[first], np.add.reduceat(np.asarray(batch.column("n")), first), np.add.reduceat(summed_rows(batch.column("gram"), width), first), np.add.reduceat(summed_rows(batch.column("rr"), k), first))
-
-    # At most one in `hot` ratings' entities are hot, so their list is short.
-    crowded = ratings.groupBy(F.col(entity).alias("id")).agg(F.count("*").alias("c")).where(F.col("c") > hot)
-    salted = joined.withColumn("id", F.col("id").cast("long")).join(F.broadcast(crowded), "id", "left").withColumn("salt", F.pmod(F.xxhash64("_other"), F.coalesce(F.ceil(F.col("c") / hot), F.lit(1))))
-    part = salted.repartition("id", "salt").sortWithinPartitions("id").select("id", "r", "f").mapInArrow(partial, schema)
-    whole = part.repartition("id").sortWithinPartitions("id").mapInArrow(final, schema)
-    # An entity may go on in the next batch: what is left are very few rows, of which all but one are rare.
-    again = whole.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("gram", "rr")).alias("x"))
+                now = [ids[first], last - first, gram, np.add.reduceat(f * r[:, None], first)]
+                if held is not None:
+                    if held[0][0] == now[0][0]:
+                        for x, y in zip(now[1:], held[1:], strict=True):
+                            x[0] += y[0]
+                    else:
+                        yield out([held])
+                if len(now[0]) > 1:
+                    yield out([[x[:-1] for x in now]])
+                held = [x[-1:] for x in now]
+        if held is not None:
+            yield out([held])
+
+    if ready and not small(n_other, k):
+        ready, ratings = False, ratings.drop("salt")
+    placed = ratings if ready else dealt(ratings, entity, hot) if small(n_other, k) else None
+    if placed is None:  # the other side's vectors move ratings about, so they are dealt out afterwards
+        placed = dealt(with_factors(ratings, factors, other, k, n_other), entity, hot)
+    else:
+        placed = with_factors(placed, factors, other, k, n_other)
+    rows = placed.select(F.col(entity).cast("long").alias("id"), (F.col("value") - mean).alias("r"), "f").mapInArrow(partial, schema)
+    # All but hot entities have one row.
     add = lambda name, w: F.aggregate("x", F.array_repeat(F.lit(0.0), w), lambda s, x: F.zip_with(s, x[name], lambda a, b: a + b))
-    return again.select("id", "n", F.when(F.size("x") == 1, F.col("x")[0]["gram"]).otherwise(add("gram", width)).alias("gram"), F.when(F.size("x") == 1, F.col("x")[0]["rr"]).otherwise(add("rr", k)).alias("rr"))
+    again = rows.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("gram", "rr")).alias("x"))
+    one = F.size("x") == 1
+    return again.select("id", "n", F.when(one, F.col("x")[0]["gram"]).otherwise(add("gram", width)).alias("gram"), F.when(one, F.col("x")[0]["rr"]).otherwise(add("rr", k)).alias("rr"))
 
 
 def moments(factors: DataFrame, k: int) -> DataFrame:

@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sampling import NormalWishart, generator, noise, posterior_draws, symmetric
+from ..functions.sampling import Draws, NormalWishart, posterior_draws, posterior_factors, symmetric
 from ..operators import evaluate, normal
 from ..sources import matrix
 from ..storage import discard, materialize
@@ -33,7 +33,7 @@ class Params:
 
     bounds clamps predictions; diagonal draws each factor by itself; sweeps is the number of sweeps for each draw of the
     hyper-parameters; zero_mean and global_mean_prior keep two habits of older programs: vectors' mean taken as 0 in the hyper-parameters,
-    and the global mean in place of an entity's own prior mean.
+    and the global mean in place of an entity's own prior mean. final_pass counts the last iteration's predictions once more at the end.
     """
 
     k: int = 32
@@ -48,11 +48,13 @@ class Params:
     global_mean_prior: bool = False
     keep_samples: bool = False
     posterior: bool = False
+    final_pass: bool = True
+    draws: Draws = field(default_factory=Draws)
 
 
 @dataclass
 class Fitted:
-    """users and items (id, f); state of the test cells (user, item, value, n, pred_avg, pred_m2, pred); metrics by iteration."""
+    """users and items (id, f); state of the test cells (user, item, value, n, pred_avg, pred_m2, pred); metrics by iteration; final: the errors after the final pass."""
 
     params: Params
     mean: float
@@ -61,44 +63,63 @@ class Fitted:
     state: DataFrame | None
     metrics: list[dict] = field(default_factory=list)
     samples: dict[str, list[tuple[int, DataFrame]]] = field(default_factory=lambda: {s: [] for s in SIDES})
+    sums: dict[str, DataFrame] = field(default_factory=dict)
     times: Sections = field(default_factory=Sections)
+    final: dict = field(default_factory=dict)
 
     def recommend(self, cells: DataFrame) -> DataFrame:
         """Predictions of cells (user, item) from the last sample."""
-        return evaluate.predicted(cells, self.factors["user"], self.factors["item"], self.mean, self.params.k, self.params.bounds, self.n["user"], self.n["item"])
+        return evaluate.predicted(cells, self.factors["user"].select("id", "f"), self.factors["item"].select("id", "f"), self.mean, self.params.k, self.params.bounds, self.n["user"], self.n["item"])
 
     def metrics_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.metrics)
 
     def posterior(self, side: str, ridge: float = 0.0) -> DataFrame:
         """(id, mu, lambda): mean and precision of each entity's samples after burn-in; a prior for a later fit."""
-        kept = [f for i, f in self.samples[side] if i >= self.params.burnin]
-        if len(kept) < self.params.k + 1 and not ridge:
-            raise ValueError(f"{len(kept)} samples don't determine a {self.params.k} x {self.params.k} covariance; take more, or a ridge")
-        return finalized(accumulated(kept, self.params.k), self.params.k, ridge)
+        p = self.params
+        if side not in self.sums:
+            raise ValueError("no samples were added up: fit with posterior=True, and more iterations than burn-in")
+        if p.samples - p.burnin < p.k + 1 and not ridge:
+            raise ValueError(f"{p.samples - p.burnin} samples don't determine a {p.k} x {p.k} covariance; take more, or a ridge")
+        return finalized(self.sums[side], p.k, ridge)
+
+
+SUMS = "n long, sum array<double>, prod array<double>"
+
+
+def lists(x: np.ndarray) -> pa.Array:
+    """Rows as a column of arrays."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x, float).ravel()))
+
+
+def added(batch: pa.RecordBatch, f: np.ndarray, k: int) -> list[pa.Array]:
+    """The columns n, sum and prod of a batch (null: none yet) after one more sample of each entity; prod is the upper triangle of the sum of f f'."""
+    i, j = np.triu_indices(k)
+    n, total, prod = np.ones(len(f), np.int64), f.copy(), f[:, i] * f[:, j]
+    had = np.asarray(batch.column("n").is_valid())
+    if had.any():
+        n[had] += np.asarray(batch.column("n").drop_null())
+        total[had] += normal.summed_rows(batch.column("sum").drop_null(), k)
+        prod[had] += normal.summed_rows(batch.column("prod").drop_null(), len(i))
+    return [pa.array(n), lists(total), lists(prod)]
 
 
 def accumulated(samples: list[DataFrame], k: int) -> DataFrame:
-    """(id, n, sum, prod) over samples (id, f); prod is the upper triangle of the sum of f f'."""
-    whole = samples[0].select("id", "f")
-    for s in samples[1:]:
-        whole = whole.unionByName(s.select("id", "f"))
-    # An entity has one row in each sample.
-    x = whole.groupBy("id").agg(F.collect_list("f").alias("fs"))
-    total = F.aggregate("fs", F.array_repeat(F.lit(0.0), k), lambda s, f: F.zip_with(s, f, lambda a, b: a + b))
-    pairs = normal.triangle(k)
-    if len(pairs) <= 64:
-        prod = F.array(*[F.expr(f"aggregate(fs, 0D, (s, f) -> s + f[{i}] * f[{j}])") for i, j in pairs])
-        return x.select("id", F.size("fs").cast("long").alias("n"), total.alias("sum"), prod.alias("prod"))
-
-    def products(batches):
-        i, j = np.triu_indices(k)
-        for batch in batches:
-            rows = [np.asarray(fs.values.flatten() if fs.is_valid else []).reshape(-1, k) for fs in batch.column("fs")]
-            lists = lambda xs: pa.array([x.tolist() for x in xs], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(r) for r in rows]), lists([r.sum(axis=0) for r in rows]), lists([(r.T @ r)[i, j] for r in rows])], ["id", "n", "sum", "prod"])
+    """(id, n, sum, prod) over samples (id, f), one after another; `fit` adds each sample up as it is drawn."""
 
-    return x.mapInArrow(products, "id long, n long, sum array<double>, prod array<double>")
+    def more(batches):
+        for batch in batches:
+            f = normal.summed_rows(batch.column("f"), k)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *added(batch, f, k)], ["id", "n", "sum", "prod"])
+
+    none = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in SUMS.split(", ")]
+    out = None
+    for sample in samples:
+        here = sample.select("id", "f", *none) if out is None else sample.join(out, "id").select("id", "f", "n", "sum", "prod")
+        before, out = out, materialize(here.mapInArrow(more, f"id long, {SUMS}"))
+        if before is not None:
+            discard(before)
+    return out
 
 
 def finalized(acc: DataFrame, k: int, ridge: float = 0.0) -> DataFrame:
@@ -109,22 +130,38 @@ def finalized(acc: DataFrame, k: int, ridge: float = 0.0) -> DataFrame:
             n = np.asarray(batch.column("n")).astype(float)
             s, p = normal.summed_rows(batch.column("sum"), k), normal.summed_rows(batch.column("prod"), k * (k + 1) // 2)
             cov = (symmetric(p, k) - s[:, :, None] * s[:, None, :] / n[:, None, None]) / (n - 1)[:, None, None] + ridge * np.eye(k)
-            lists = [pa.array(x.tolist(), pa.list_(pa.float64())) for x in (s / n[:, None], np.linalg.inv(cov).reshape(len(n), -1))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "mu", "lambda"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(s / n[:, None]), lists(np.linalg.inv(cov).reshape(len(n), -1))], ["id", "mu", "lambda"])
 
     return acc.mapInArrow(inverted, "id long, mu array<double>, lambda array<double>")
 
 
-def half_sweep(ratings: DataFrame, side: str, other: DataFrame, n: int, n_other: int, mean: float, hyper: tuple[np.ndarray, np.ndarray], p: Params, key: tuple[int, ...], prior: DataFrame | None = None) -> DataFrame:
-    """Draw the vectors of all n entities of a side; `prior` (id, mu, lambda) replaces the hyper-parameters for the entities that it has."""
+def factored(stats: DataFrame, precision: np.ndarray, k: int, alpha: float) -> DataFrame:
+    """(id, lower): the lower triangle, row by row, of each entity's posterior precision's Cholesky factor, from its normal equations."""
+
+    def lowered(batches):
+        i, j = np.tril_indices(k)
+        for batch in batches:
+            gram = symmetric(normal.summed_rows(batch.column("gram"), k * (k + 1) // 2), k)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(posterior_factors(gram, precision, alpha)[:, i, j])], ["id", "lower"])
+
+    return stats.select(F.col("id").cast("long").alias("id"), "gram").mapInArrow(lowered, "id long, lower array<double>")
+
+
+def half_sweep(ratings: DataFrame, side: str, other: DataFrame, n: int, n_other: int, mean: float, hyper: tuple[np.ndarray, np.ndarray], p: Params, key: tuple, prior: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+    """Draw the vectors of all n entities of a side: (id, f). `prior` (id, mu, lambda) replaces the hyper-parameters for the entities that it has.
+
+    ratings may be as `normal.prepared` gives them. With `base` (id, n, sum, prod) the result has these too, with the draw added.
+    """
     k, (mu, precision) = p.k, hyper
     stats = normal.normal_equations(ratings, other, side, "user" if side == "item" else "item", mean, k, n_other)
-    every = ratings.sparkSession.range(n).join(stats.select(F.col("id").cast("long").alias("id"), "gram", "rr"), "id", "left")
+    every = (other.sparkSession.range(n) if base is None else base.select("id", "n", "sum", "prod").withColumnRenamed("n", "_n")).join(stats.select(F.col("id").cast("long").alias("id"), "gram", "rr"), "id", "left")
     none = lambda w: F.array_repeat(F.lit(0.0), w)
-    every = every.select("id", F.coalesce("gram", none(k * (k + 1) // 2)).alias("gram"), F.coalesce("rr", none(k)).alias("rr"))
+    every = every.select("id", F.coalesce("gram", none(k * (k + 1) // 2)).alias("gram"), F.coalesce("rr", none(k)).alias("rr"), *([] if base is None else [F.col("_n").alias("n"), "sum", "prod"]))
     if prior is not None:
         every = every.join(prior.select("id", "mu", "lambda"), "id", "left")
 
+    adds = base is not None
+
     def drawn(batches):
         for batch in batches:
             ids = np.asarray(batch.column("id"))
@@ -137,11 +174,11 @@ def half_sweep(ratings: DataFrame, side: str, other: DataFrame, n: int, n_other:
                         means[own] = normal.summed_rows(batch.column("mu").drop_null(), k)
                     precisions[own] = normal.summed_rows(batch.column("lambda").drop_null(), k * k).reshape(-1, k, k)
             gram = symmetric(normal.summed_rows(batch.column("gram"), k * (k + 1) // 2), k)
-            f = posterior_draws(gram, normal.summed_rows(batch.column("rr"), k), means, precisions, p.alpha, noise(ids, k, *key), p.diagonal)
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, k), pa.int32()), pa.array(np.ascontiguousarray(f).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), vectors], ["id", "f"])
+            f = posterior_draws(gram, normal.summed_rows(batch.column("rr"), k), means, precisions, p.alpha, p.draws.noise(ids, k, *key), p.diagonal)
+            sums = added(batch, f, k) if adds else []
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists(f), *sums], ["id", "f", "n", "sum", "prod"][: 2 + len(sums)])
 
-    return every.mapInArrow(drawn, "id long, f array<double>")
+    return every.mapInArrow(drawn, "id long, f array<double>" + (f", {SUMS}" if adds else ""))
 
 
 def fit(train: DataFrame, test: DataFrame | None = None, params: Params | None = None, n_users: int | None = None, n_items: int | None = None, user_prior: DataFrame | None = None, item_prior: DataFrame | None = None, init: dict[str, DataFrame] | None = None) -> Fitted:
@@ -156,6 +193,7 @@ def fit(train: DataFrame, test: DataFrame | None = None, params: Params | None =
     n = {"user": n_users or (most["user"] or 0) + 1, "item": n_items or (most["item"] or 0) + 1}
     mean, nnz = train.agg(F.avg("value"), F.count("*")).first()
     train = materialize(train.select("user", "item", "value"))
+    static = {s: normal.prepared(train, s, p.k) for s in SIDES}
     test = None if test is None else materialize(test.select("user", "item", "value"))
     priors = {"user": user_prior, "item": item_prior}
     zeros = lambda s: spark.range(n[s]).select("id", F.array_repeat(F.lit(0.0), p.k).alias("f"))
@@ -170,27 +208,43 @@ def fit(train: DataFrame, test: DataFrame | None = None, params: Params | None =
                 if t == 0:
                     with out.times.section("hyper"):
                         m, cov, norms[side] = side_moments(factors[side], n[side], p.k)
-                    hyper[side] = prior.given(n[side], m * (not p.zero_mean), cov).draw(generator(p.seed, at, i))
+                    hyper[side] = prior.given(n[side], m * (not p.zero_mean), cov).draw(p.draws.generator(p.seed, at, i))
                 other = "user" if side == "item" else "item"
+                add = p.posterior and i >= p.burnin and t == p.sweeps - 1
+                none = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in SUMS.split(", ")]
+                base = (out.sums[side] if side in out.sums else factors[side].select("id", *none)) if add else None
                 with out.times.section(side):
-                    drawn = materialize(half_sweep(train, side, factors[other], n[side], n[other], mean, hyper[side], p, (p.seed, at, i * p.sweeps + t), priors[side]))
-                if not (p.keep_samples or p.posterior):
+                    drawn = materialize(half_sweep(static[side], side, factors[other].select("id", "f"), n[side], n[other], mean, hyper[side], p, (p.seed, at, i * p.sweeps + t), priors[side], base))
+                if not p.keep_samples and factors[side] is not out.sums.get(side):
                     discard(factors[side])
+                if add:
+                    if side in out.sums and not p.keep_samples:
+                        discard(out.sums[side])
+                    out.sums[side] = drawn
                 factors[side] = drawn
         for side in SIDES:
-            if p.keep_samples or p.posterior and i >= p.burnin:
-                out.samples[side].append((i, factors[side]))
+            if p.keep_samples:
+                out.samples[side].append((i, factors[side].select("id", "f")))
         row = {"iter": i, "burnin": i < p.burnin, **{f"norm_{s}": float(np.sqrt(norms[s])) for s in SIDES}}
         if test is not None:
             with out.times.section("predict"):
-                before, out.state = out.state, materialize(updated(out.state, evaluate.predicted(test, factors["user"], factors["item"], mean, p.k, p.bounds, n["user"], n["item"]), i, p.burnin))
-                row |= errors(out.state)
+                seen = Observation()
+                cells = test if out.state is None else out.state
+                now = updated(cells, evaluate.predicted(cells, factors["user"].select("id", "f"), factors["item"].select("id", "f"), mean, p.k, p.bounds, n["user"], n["item"], name="_pred"), i, p.burnin)
+                before, out.state = out.state, materialize(now.observe(seen, *errors("pred", "pred_avg")))
+                row |= seen.get
             if before is not None:
                 discard(before)
         took = time.perf_counter() - began
         row |= {"seconds": took, "items_per_sec": sum(n.values()) / took, "ratings_per_sec": nnz / took}
         out.metrics.append(row)
         log.info("iteration %(iter)d: %(row)s", {"iter": i, "row": row})
+    if p.final_pass and out.state is not None:
+        seen = Observation()
+        out.state = materialize(evaluate.final_pass(out.state).select(out.state.columns).observe(seen, *errors("pred", "pred_avg")))
+        out.final = seen.get
+    for s in SIDES:
+        static[s].unpersist()
     return out
 
 
@@ -206,28 +260,27 @@ def side_moments(factors: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.nda
     return mean, (total - n * np.outer(mean, mean)) / max(n - 1, 1), float(np.trace(total))
 
 
-def updated(state: DataFrame | None, predictions: DataFrame, i: int, burnin: int) -> DataFrame:
-    """The running mean and squared deviations of each test cell, after one more prediction."""
+def updated(state: DataFrame, predictions: DataFrame, i: int, burnin: int) -> DataFrame:
+    """The running mean and squared deviations of each test cell after one more prediction, `_pred` of predictions, which are the state's own rows."""
     count = max(0, i - burnin)
-    now = predictions.select("user", "item", "value", "pred")
-    if state is None or count == 0:
-        return now.select("user", "item", "value", F.lit(0).cast("long").alias("n"), F.col("pred").alias("pred_avg"), F.lit(0.0).alias("pred_m2"), "pred")
-    both = now.join(state.select("user", "item", F.col("pred_avg").alias("_avg"), F.col("pred_m2").alias("_m2")), ["user", "item"])
-    d = F.col("pred") - F.col("_avg")
-    avg = F.col("_avg") + d / count
-    return both.select("user", "item", "value", F.lit(count).cast("long").alias("n"), avg.alias("pred_avg"), (F.col("_m2") + d * (F.col("pred") - avg)).alias("pred_m2"), "pred")
+    pred = F.col("_pred")
+    if "pred_avg" not in state.columns or count == 0:
+        return predictions.select("user", "item", "value", F.lit(0).cast("long").alias("n"), pred.alias("pred_avg"), F.lit(0.0).alias("pred_m2"), pred.alias("pred"))
+    d = pred - F.col("pred_avg")
+    avg = F.col("pred_avg") + d / count
+    return predictions.select("user", "item", "value", F.lit(count).cast("long").alias("n"), avg.alias("pred_avg"), (F.col("pred_m2") + d * (pred - avg)).alias("pred_m2"), pred.alias("pred"))
 
 
-def errors(state: DataFrame) -> dict:
+def errors(pred: str, avg: str) -> list:
     off = lambda c: F.sqrt(F.avg(F.pow(F.col("value") - F.col(c), 2)))
-    return state.agg(off("pred").alias("rmse"), off("pred_avg").alias("rmse_avg"), F.count("*").alias("n_predict")).first().asDict()
+    return [off(pred).alias("rmse"), off(avg).alias("rmse_avg"), F.count("*").alias("n_predict")]
 
 
 def save(model: Fitted, path: str) -> None:
     """A model folder: vectors of both sides, the test state with its variance, metrics, and each kept sample."""
     spark = model.factors["user"].sparkSession
     for side in SIDES:
-        model.factors[side].write.mode("overwrite").parquet(f"{path}/{side}")
+        model.factors[side].select("id", "f").write.mode("overwrite").parquet(f"{path}/{side}")
         for i, f in model.samples[side] if model.params.keep_samples else []:
             f.withColumn("iter", F.lit(i)).write.mode("append").partitionBy("iter").parquet(f"{path}/{side}-samples")
         if model.params.posterior:
@@ -251,7 +304,7 @@ def export(model: Fitted, path: str) -> None:
             for name, column in (("mu", "mu"), ("Lambda", "lambda")):
                 matrix.write_matrix(matrix.as_cells(post.select("id", F.col(column).alias("f"))), f"{path}/{letter}-{name}.ddm", cols=model.n[side])
         else:
-            matrix.write_matrix(matrix.as_cells(model.factors[side]), f"{path}/{letter}-mu.ddm", cols=model.n[side])
+            matrix.write_matrix(matrix.as_cells(model.factors[side].select("id", "f")), f"{path}/{letter}-mu.ddm", cols=model.n[side])
         for i, f in model.samples[side] if model.params.keep_samples else []:
             matrix.write_matrix(matrix.as_cells(f), f"{path}/{letter}-{i}.ddm", cols=model.n[side])
 
