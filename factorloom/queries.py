@@ -495,9 +495,15 @@ def message_matrix(spark, d):
     return partition.messages(connectivity(spark, d))
 
 
-@query(f"""WITH {R}, {OWN} SELECT item, part, list_sort(list(dst)) AS needed_by FROM co WHERE part <> dst GROUP BY 1, 2""")
+@query(f"""WITH {R}, {OWN}, cn AS (SELECT item, part, list_sort(list(dst)) AS needed_by, sum(2 ** dst) AS bits FROM co WHERE part <> dst GROUP BY 1, 2)
+    SELECT item, part, needed_by, (row_number() OVER (PARTITION BY part ORDER BY bits, item))::INTEGER AS place FROM cn""")
 def connectivity_sorted(spark, d):
-    return partition.by_connectivity(connectivity(spark, d))
+    return partition.by_connectivity(connectivity(spark, d), PARTS)
+
+
+@query(f"""WITH {R}, {OWN} SELECT item, part FROM co WHERE part = 1 AND dst = 2 GROUP BY ALL""")
+def connectivity_sent(spark, d):
+    return partition.sent(connectivity(spark, d), 1, 2).select("item", "part")
 
 
 @query(f"""WITH {R}, {OWN}, n AS (SELECT r.item, up.part, count(*) AS c FROM r JOIN up ON r."user" = up.id GROUP BY 1, 2), t AS (SELECT item, sum(c) AS t FROM n GROUP BY 1)
@@ -534,9 +540,49 @@ def adjacent_ids(spark, d):
     return partition.islands(ratings(spark, d).select("item", F.col("user").alias("id")), "item")
 
 
-@query()
+def greedy_sql(counts: str, costs: str, by_work: float = partition.BY_WORK, by_messages: float = 0.0) -> str:
+    """The loop over entities as a recursion over (pass, entity), with loads and parts as lists; `costs` gives each id a list by part."""
+    spread = f"list_transform(generate_series(1, {PARTS}), lambda p: "
+    return f"""it AS MATERIALIZED (SELECT row_number() OVER (ORDER BY c.id) AS pos, c.id, c.nnz::DOUBLE AS nnz, coalesce(k.c, {spread}0.0::DOUBLE)) AS c FROM {counts} c LEFT JOIN {costs} k ON c.id = k.id),
+  sz AS (SELECT count(*) AS n FROM it),
+  go AS (SELECT 0::BIGINT AS step, {spread}0.0::DOUBLE) AS loads, 0.01::DOUBLE AS total, (SELECT list(0) FROM it) AS parts
+    UNION ALL
+    SELECT step + 1, list_transform(less, lambda x, p: CASE WHEN p = best THEN x + ({partition.ENTITY} + nnz) ELSE x END), rest + ({partition.ENTITY} + nnz), parts[:pos - 1] || [best] || parts[pos + 1:]
+    FROM (SELECT *, ({PARTS} + 1 - list_position(list_reverse(cost), list_min(cost)))::INTEGER AS best
+      FROM (SELECT *, {spread}{by_work} * (less[p] / rest) + {by_messages} * c[p]) AS cost
+        FROM (SELECT step, parts, pos, nnz, c, CASE WHEN parts[pos] > 0 THEN total - ({partition.MOVED} + nnz) ELSE total END AS rest,
+            list_transform(loads, lambda x, p: CASE WHEN p = parts[pos] THEN x - ({partition.MOVED} + nnz) ELSE x END) AS less
+          FROM go, sz, it WHERE step < {partition.PASSES} * sz.n AND it.pos = step % sz.n + 1))))
+  SELECT it.id, it.nnz::BIGINT AS nnz, (parts[pos] - 1)::INTEGER AS part FROM it, (SELECT parts FROM go ORDER BY step DESC LIMIT 1)"""
+
+
+NNZ = "n AS (SELECT s_suppkey AS id, count(l_suppkey) AS nnz FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1)"
+
+
+def suppliers(spark, d):
+    """Suppliers with the number of their line items."""
+    n = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("nnz"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")).join(n, "id", "left").fillna(0, ["nnz"])
+
+
+@query(f"""WITH RECURSIVE {NNZ}, no AS (SELECT 0 AS id, NULL::DOUBLE[] AS c WHERE false), {greedy_sql("n", "no")}""")
 def partition_balanced(spark, d):
-    return partition.load(partition.balanced(rt.nnz(ratings(spark, d), "item"), PARTS))
+    return partition.assigned(suppliers(spark, d), PARTS)
+
+
+@query(f"""WITH RECURSIVE {NNZ}, pp AS (SELECT p_partkey AS id, least(p_partkey // greatest((SELECT count(*) FROM part) // {PARTS}, 1), {PARTS - 1}) AS part FROM part),
+  cc AS (SELECT l_suppkey AS id, {", ".join(f"(count(*) - count(*) FILTER (part = {p}))::DOUBLE AS c{p}" for p in range(PARTS))} FROM lineitem JOIN pp ON l_partkey = pp.id GROUP BY 1),
+  cl AS (SELECT id, [{", ".join(f"c{p}" for p in range(PARTS))}] AS c FROM cc), {greedy_sql("n", "cl", by_messages=2.0)}""")
+def partition_by_messages(spark, d):
+    """Suppliers to parts by work and by messages to the parts of their line items' products, which are dealt out in blocks."""
+    cells = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("item"), F.col("l_partkey").alias("user"))
+    costs = partition.comm_cost(cells, suppliers(spark, d), by_block(spark, d, "part", "p_partkey"), PARTS)
+    return partition.assigned(suppliers(spark, d), PARTS, costs, by_messages=2.0)
+
+
+@query(f"""WITH {R}, {OWN} SELECT id, part::INTEGER AS part, row_number() OVER (ORDER BY part, id) - 1 AS position FROM ip""")
+def partition_positions(spark, d):
+    return partition.positions(by_block(spark, d, "part", "p_partkey"))
 
 
 # --- files

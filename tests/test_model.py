@@ -150,6 +150,52 @@ def test_balanced_parts(spark):
     assert partition.load(partition.balanced(counts, 4, exact=5000)).first().unbalance_work < 1
 
 
+def test_assigned_follows_a_loop(spark):
+    """Work and messages, entity by entity; ties go to the last part, and sides take turns."""
+    rng = np.random.default_rng(6)
+    cells = {(int(u), int(i)) for u, i in zip(rng.integers(0, 25, 300), rng.integers(0, 18, 300), strict=True)}
+    pattern = spark.createDataFrame(sorted(cells), "user long, item long")
+    sizes = {"item": 18, "user": 25}
+    counts = {s: spark.range(n).join(pattern.groupBy(F.col(s).alias("id")).agg(F.count("*").alias("nnz")), "id", "left").fillna(0) for s, n in sizes.items()}
+    found = partition.alternating(pattern, counts["item"], counts["user"], 3, 100.0, 0.5)
+    where = {}
+    for _ in range(2):
+        for at, side in enumerate(("item", "user")):
+            other, loads, total, here = ("user", "item")[at], [0.0] * 3, 0.01, {}
+            for _ in range(3):
+                for e in range(sizes[side]):
+                    ends = [c[at] for c in cells if c[1 - at] == e]
+                    if e in here:
+                        loads[here[e]] -= 7.1 + len(ends)
+                        total -= 7.1 + len(ends)
+                    cost = [100 * loads[p] / total + (0.5 * sum(where[other][x] != p for x in ends) if other in where else 0) for p in range(3)]
+                    here[e] = max(p for p in range(3) if cost[p] == min(cost))
+                    loads[here[e]] += 10 + len(ends)
+                    total += 10 + len(ends)
+            where[side] = here
+    for side, rows in zip(("item", "user"), found, strict=True):
+        assert {r.id: r.part for r in rows.collect()} == where[side]
+    conn = partition.connectivity(pattern, found[0], found[1])
+    rows = partition.by_connectivity(conn, 3).collect()
+    for p in range(3):
+        own = sorted((r for r in rows if r.part == p), key=lambda r: r.place)
+        assert own == sorted(own, key=lambda r: (sum(1 << x for x in r.needed_by), r.item))
+        assert {r["item"] for r in partition.sent(conn, p, (p + 1) % 3).collect()} == {r["item"] for r in own if (p + 1) % 3 in r.needed_by}
+
+
+def test_adjacent_ids_over_ranges(spark):
+    ids = [0, 1, 2, 7, 8, 9, 10, 11, 15, 16, 17, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 50]
+    found = sorted(map(tuple, partition.islands(spark.createDataFrame([(i,) for i in ids], "id long"), step=4).collect()))
+    assert found == [(0, 2), (7, 11), (15, 17), (31, 40), (50, 50)]
+
+
+def test_tiny_fit_averages_near_the_expected_error(spark):
+    """Nine iterations, all kept, on the four by two matrix: with few ratings the average prediction stays near the mean."""
+    train, test = spark.createDataFrame(TRAIN, CELLS), spark.createDataFrame(TEST, CELLS)
+    fitted = model.fit(train, test, model.Params(k=32, samples=9, burnin=0, seed=3))
+    assert fitted.final["n_predict"] == 2 and fitted.final["rmse_avg"] < 6
+
+
 def test_exact_split(spark):
     cells = spark.range(1003).select((F.col("id") % 40).alias("user"), F.col("id").alias("item"), F.lit(1.0).alias("value"))
     found = prep.split_exact(cells, "user", "item")
@@ -240,6 +286,7 @@ def test_command_line(spark, tmp_path):
     main(["-n", str(tmp_path / "train.mtx"), "-p", str(tmp_path / "test.mtx"), "-o", out, "-i", "5", "-b", "1", "-d", "2", "-v", "--posterior"])
     assert matrix.matrix_shape(f"{out}/U-mu.ddm") == (2, 4) and matrix.matrix_shape(f"{out}/V-Lambda.ddm") == (4, 2) and matrix.matrix_shape(f"{out}/U-4.ddm") == (2, 4)
     assert [r[:2] for r in cells_of(matrix.read_matrix(spark, f"{out}/Pavg.sdm"))] == [(1, 1), (3, 1)]
-    main(["-n", str(tmp_path / "train.mtx"), "-p", str(tmp_path / "test.mtx"), "-i", "1", "-b", "0", "-d", "2", "--item-prior", f"{out}/V-mu.ddm", f"{out}/V-Lambda.ddm"])
+    main(["-n", str(tmp_path / "train.mtx"), "-p", str(tmp_path / "test.mtx"), "-i", "1", "-b", "0", "-d", "2", "-m", f"{out}/V-mu.ddm,{out}/V-Lambda.ddm", "--parts", "2", "-k", "-f", "1"])
+    main(["-n", str(tmp_path / "train.mtx"), "-p", str(tmp_path / "test.mtx"), "-i", "1", "-b", "0", "-d", "2", "--parts", "2"])
     with pytest.raises(SystemExit):
         main(["-n", "x"])
