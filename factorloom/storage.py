@@ -49,13 +49,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write a table to the scratch folder and return it as read from there: its lineage ends here.
 
-    Unlike a checkpoint of a DataFrame, this computes the plan once, and any executor may be lost afterwards.
+    Unlike a checkpoint of a DataFrame, this computes the plan once, and any executor may be lost afterwards. It is written in `parts` files at
+    most, for tables that are known to be smaller than the shuffle's partitions make them seem: many small files cost more than their rows.
     """
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    (df if parts is None else df.coalesce(max(1, parts))).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
