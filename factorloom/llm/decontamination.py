@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize, table
 
+#: Benchmark items for each task, about.
+ITEMS = 5_000
 #: Words are runs of 0-9, a-z and everything beyond ASCII, after lower-casing A-Z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The token by which every document reports its length.
@@ -71,7 +73,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text
     Empty tables give no rows, or rows without hits. Other columns, whatever their names, aren't looked at.
     """
     rows = docs.select(F.col(ident).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(F.col(text)).alias("words"))
-    windows = materialize(windows_of(items, item_id, item_text, size))
+    windows = materialize(windows_of(items, item_id, item_text, size), items.count() // ITEMS + 1)
     tokens = tokens_of(windows, shingle)
     # A broadcast row holds a token, the window's words and Java's overhead.
     n_windows, n_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws("", "win")) + F.size("win") * 24 + 100), F.lit(0))).first()
@@ -79,9 +81,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text
 
     few = n_bytes <= broadcast_bytes and 64 * n_windows * size <= broadcast_bytes
     words_only = positions(rows.select("words"), sizes).select("token")
+    parts = n_windows // (20 * ITEMS) + 1
     vocabulary = tokens.select("token").distinct()
     if few:
-        rarity = materialize(words_only.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df")))
+        rarity = materialize(words_only.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count("*").alias("df")), parts)
     else:
         rarity = materialize(words_only.where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("df")).join(vocabulary, "token"))
     # A window with a token that no document has occurs nowhere.
@@ -89,7 +92,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text
     prefixes = materialize(
         windows.join(rarest.where("t.df > 0"), "wid").select(F.col("t.token").alias("token"), F.col("t.off").alias("off"), "wid", "win", "n").unionByName(
             windows.sparkSession.range(1).select(F.lit(LENGTH_TOKEN).cast("long").alias("token")), allowMissingColumns=True
-        )
+        ),
+        parts,
     )
     start, own = F.col("pos") - F.col("off"), ["id", "text_hash", "n_words"]
     if few:

@@ -21,6 +21,8 @@ ONE_IN = 8
 LEAST = 100
 #: The rolling hash: multiplier and modulus.
 BASE, PRIME = 1103515245, (1 << 31) - 1
+#: Repeated units for each task, about.
+UNITS = 25_000
 #: Lines that are tried one by one for the end of a run, before the rest that it could need.
 NEAR = 4
 
@@ -99,16 +101,17 @@ def dedup_lines(docs: DataFrame, ident: str = "doc_id", text: str = "text", broa
         return here.where(~(same & (F.col("start") == F.col("first.start")))).select("id", "text_hash", start.alias("start"), "stop").where("start < stop")
 
     grouped = lambda rows: rows.groupBy("key", "class", "run").agg(F.min(F.struct("id", "text_hash", "start")).alias("first"))
-    chunks = materialize(grouped(found.where("whole")))
+    parts = found.count() // UNITS + 1
+    chunks = materialize(grouped(found.where("whole")), parts)
     inner = exploded(chunks.select("first", "run"), "run").where("NOT u.whole").select("first.id", "first.text_hash", *[(F.col("first.start") + F.col(f"u.{c}")).alias(c) for c in ("start", "stop")], "u.key", run.alias("run"))
     inner = inner.join(known, "key", "left_semi").withColumn("class", F.md5("run"))
-    runs = materialize(found.where("NOT whole").drop("whole").unionByName(inner))
-    firsts = materialize(grouped(runs).select("key", "class", "first"))
+    runs = materialize(found.where("NOT whole").drop("whole").unionByName(inner), parts)
+    firsts = materialize(grouped(runs).select("key", "class", "first"), parts)
     gone = later(found.where("whole"), chunks).unionByName(later(runs, firsts)).distinct()
     # Each line of a document once: what lies beyond all earlier cuts.
     before = Window.partitionBy("id", "text_hash").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     new = gone.withColumn("start", F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0)))).where("start < stop")
-    cuts = materialize(new.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts")).withColumnsRenamed({"id": "_id", "text_hash": "_hash"}))
+    cuts = materialize(new.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("_cuts")).withColumnsRenamed({"id": "_id", "text_hash": "_hash"}), parts)
     discard(repeated, found, chunks, runs, firsts)
     rows = docs.select(F.struct("*").alias("row"), F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"))
     whole = rows.join(cuts.hint("merge"), rows["id"].eqNullSafe(cuts["_id"]) & (rows["text_hash"] == cuts["_hash"]), "left")

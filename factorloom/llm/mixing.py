@@ -18,6 +18,8 @@ LEVELS = (8, 16, 24)
 KEY_BITS = 48
 #: Rows of one key prefix from which on equal rows are counted before they are placed.
 CROWD = 100_000
+#: Sources for each task, about.
+SOURCES = 100_000
 ADDED = ("size", "source_size", "target", "epochs", "taken")
 
 
@@ -30,12 +32,10 @@ def random_key(ident: Column, words: Column, seed: int) -> Column:
 def ranked(sources: DataFrame) -> DataFrame:
     """Add `rank` (from 0) by code point, null last, without bringing all sources to one task."""
     by = (F.col("no_source"), F.col("src"))
-    parts = sources.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = materialize(
-        sources.repartitionByRange(int(parts), *by)
-        .sortWithinPartitions(*by)
-        .select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"))
-    )
+    sources = materialize(sources, sources.count() // SOURCES + 1)
+    parts = sources.count() // SOURCES + 1
+    ranges = (sources.repartitionByRange(parts, *by) if parts > 1 else sources.coalesce(1)).sortWithinPartitions(*by)
+    placed = materialize(ranges.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     return placed.join(F.broadcast(starts), "part").select(*sources.columns, (F.col("start") + F.col("at")).alias("rank"))
@@ -49,7 +49,7 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     weight = F.lit(weights[-1])
     for i, w in enumerate(weights[:-1]):
         weight = F.when(F.pmod(F.col("rank"), F.lit(len(weights))) == i, w).otherwise(weight)
-    placed = materialize(sources.withColumn("weight", weight.cast("long")))
+    placed = materialize(sources.withColumn("weight", weight.cast("long")), sources.count() // SOURCES + 1)
     words, parts = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     left, shares, cap = words, parts, F.col("source_size") * most
     while True:

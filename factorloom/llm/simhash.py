@@ -13,7 +13,7 @@ Within a shard only links that join what isn't joined yet are passed on, not all
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -31,10 +31,12 @@ SEED = 42
 SHARD, LEAF, AIM = 20_000, 64, 1024
 #: Min-hashes in a band, and bands: of pairs of similarity 0.8, one in 14,000 shares no band.
 ROWS, BANDS = 5, 24
-#: Pairs a text from which on all texts of a band are compared with one of them before they are compared with each other.
-MANY = 20
+#: Texts for each task that groups or joins them by their hashes, and for each that compares them, about.
+TEXTS, PAIRS = 25_000, 6_000
 #: Shingles that are min-hashed at a time.
 PART = 1 << 12
+#: Bytes of text for each bucket of hashes whose rarity is counted; 64-bit words of a set's parities.
+BUCKET, WORDS = 1 << 24, 8
 
 
 def shingled(data: bytes, shingle: int) -> np.ndarray:
@@ -146,7 +148,7 @@ def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int =
     placed = prints.select("fp", routes.alias("at")).select("fp", F.col("at.root").alias("root"), F.xxhash64("at.root", "at.key").alias("shard"), F.lit(False).alias("visits"))
     done = []
     while True:
-        large = materialize(placed.where("NOT visits").groupBy("shard").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", "shard")).alias("vantage")).where(F.col("n") > shard))
+        large = materialize(placed.where("NOT visits").groupBy("shard").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", "shard")).alias("vantage")).where(F.col("n") > shard), n * len(bits) // 250_000 + 1)
         if large.isEmpty():
             break
         sides = materialize(placed.join(large, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))))
@@ -201,8 +203,8 @@ def links(prints: DataFrame, radius: int, agree: int | None = None, shard: int =
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """Return per row of docs: its id, text_hash, fp, root (a fingerprint that names its component) and component_id, the smallest id that links of at most `radius` bits reach.
 
-    Null and empty texts have fingerprint 0 and are linked as any other. Null ids are never a component's id unless it
-    has no other; rows that repeat an id each give a row. An empty table gives none.
+    Null and empty texts have fingerprint 0 and are linked as any other; a text of any length is hashed whole. Null ids are never a component's id unless it
+    has no other; rows that repeat an id each give a row. An empty table gives none; other columns aren't looked at.
     """
     rows = materialize(fingerprints(docs.select(F.col(ident).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), shingle))
     firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")))
@@ -275,13 +277,98 @@ def similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
     return paired.select("u", "x", "v", "y").mapInArrow(compared, "u long, v long")
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS buckets, whether a set has an odd number of hashes there: two sets' parities differ in no more bits than the sets have elements that the other lacks."""
+    odd = np.bincount((mixed(hashes) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def rare_prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of different texts (node, root, text): (token, node, root, at, size, odd0, odd1, ...), the hashes among each set's rarest that other sets have too, with their places, the set's size and parities.
+
+    Sets are sorted by how many of these texts have a hash. The first n - ceil(least n) + 1 of n are given: sets with a Jaccard similarity of at least `least`
+    have one of them in common. Counts are summed by hash and sent back to the batches that ask, once for each hash of a batch.
+    """
+    pack = lambda x, t: pa.array([np.ascontiguousarray(x).astype(t).tobytes()], pa.binary())
+    read = lambda x, t: np.frombuffer(x.as_buffer(), t)
+
+    def stored(batches):
+        for batch in batches:
+            if batch.num_rows:
+                sets = [np.unique(shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)) for x in batch.column("text")]
+                nodes, roots = (batch.column(c).to_numpy() for c in ("node", "root"))
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pack(nodes, "<i8"), pack(roots, "<i8"), pack([len(x) for x in sets], "<i8"), pack(np.concatenate(sets), "<u8")], ["batch", "nodes", "roots", "sizes", "tokens"])
+
+    held = materialize(texts.select("node", "root", "text").mapInArrow(stored, "batch long, nodes binary, roots binary, sizes binary, tokens binary"))
+    buckets = max(16, (held.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // BUCKET)
+
+    def asked(batches):
+        for batch in batches:
+            for ident, data in zip(batch.column("batch"), batch.column("tokens"), strict=True):
+                tokens, n = np.unique(read(data, "<u8"), return_counts=True)
+                of = mixed(tokens) % np.uint64(buckets)
+                for b in np.unique(of):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(b)]), pa.array([ident.as_py()]), pack(tokens[of == b], "<u8"), pack(n[of == b], "<i8")], ["bucket", "batch", "tokens", "n"])
+
+    def answered(batches):
+        rows = [tuple(batch.column(i)[j] for i in range(4)) for batch in batches for j in range(batch.num_rows)]
+        for bucket in {r[0].as_py() for r in rows}:
+            own = [(r[1].as_py(), read(r[2], "<u8"), read(r[3], "<i8")) for r in rows if r[0].as_py() == bucket]
+            tokens, at = np.unique(np.concatenate([t for _, t, _ in own]), return_inverse=True)
+            total = np.bincount(at, np.concatenate([n for _, _, n in own])).astype(np.int64)
+            for ident, t, _ in own:
+                n = total[np.searchsorted(tokens, t)]
+                yield pa.RecordBatch.from_arrays([pa.array([ident]), pack(t[n > 1], "<u8"), pack(n[n > 1], "<i8")], ["batch", "tokens", "n"])
+
+    def first(batches):
+        for batch in batches:
+            for nodes, roots, sizes, tokens, replies in zip(*[batch.column(i) for i in range(5)], strict=True):
+                known = [(read(r["tokens"], "<u8"), read(r["n"], "<i8")) for r in replies]
+                hashes, n = (np.concatenate(x) for x in zip(*known, strict=True))
+                order = np.argsort(hashes)
+                hashes, n = hashes[order], n[order]
+                parts, at, tokens = [], 0, read(tokens, "<u8")
+                for node, root, size in zip(read(nodes, "<i8"), read(roots, "<i8"), read(sizes, "<i8").tolist(), strict=True):
+                    own = tokens[at : at + size]
+                    at += size
+                    if not len(hashes):
+                        continue
+                    spot = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    common = hashes[spot] == own
+                    own, count = own[common], n[spot[common]]
+                    alone = size - len(own)  # these come first
+                    own = own[np.lexsort((own, count))][: max(0, size - int(np.ceil(least * size - 1e-9)) + 1 - alone)]
+                    odd = parities(tokens[at - size : at])
+                    parts.append((own, np.full(len(own), node), np.full(len(own), root), alone + np.arange(len(own)), np.full(len(own), size), *[np.full(len(own), x) for x in odd]))
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype("<u8").view("<i8")) for c in columns], names)
+
+    blobs = held.select("batch", "tokens").mapInArrow(asked, "bucket long, batch long, tokens binary, n binary").repartition(buckets, "bucket")
+    replies = blobs.mapInArrow(answered, "batch long, tokens binary, n binary").groupBy("batch").agg(F.collect_list(F.struct("tokens", "n")).alias("replies"))
+    names = ["token", "node", "root", "at", "size", *[f"odd{i}" for i in range(WORDS)]]
+    return held.join(replies, "batch").select("nodes", "roots", "sizes", "tokens", "replies").mapInArrow(first, ", ".join(f"{c} long" for c in names))
+
+
+def open_pairs(prefixes: DataFrame, least: float) -> DataFrame:
+    """From `rare_prefixes`: pairs (u, v) of texts with different roots that can be similar, by their sizes, by what follows the first hash that they share, and by their parities."""
+    shared = prefixes.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    here = materialize(prefixes.join(shared, "token", "left_semi"))
+    a, b = (here.select("token", F.struct(*[x for x in here.columns if x != "token"]).alias(c)) for c in "ab")
+    common = 1 + F.least(F.col("a.size") - F.col("a.at") - 1, F.col("b.size") - F.col("b.at") - 1)
+    sizes = F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size") - 1e-9
+    fits = sizes & (common * (1 + least) >= least * (F.col("a.size") + F.col("b.size")) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"a.odd{i}").bitwiseXOR(F.col(f"b.odd{i}"))) for i in range(WORDS)), F.lit(0))
+    fits = fits & (apart * (1 + least) <= (1 - least) * (F.col("a.size") + F.col("b.size")) + 1e-9)
+    return a.join(b, "token").where("a.node < b.node AND a.root <> b.root").where(fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 6, least: float = 0.8, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Of each group of near copies, the row with the smallest doc_id (null last; then by its text's hash), with the columns of docs.
 
     Near copies are equal texts, and texts whose sets of word shingles have a Jaccard similarity of at least `least`; groups are what such links join.
-    Candidates have fingerprints within `radius` bits, or share a band of min-hashes; every link that counts is computed exactly from both texts. Two
-    texts that share a band and aren't joined by such links yet are compared as well, however many share it, so nothing is lost to a candidate
-    that the comparison rejects. Texts without words, null or empty, are near copies of each other; a text of any length is read whole; rows that
+    Candidates have fingerprints within `radius` bits, or share a band of min-hashes; every link that counts is computed exactly from both texts. Of
+    a band, all texts are compared with one of them at first; those of bands that aren't joined by that are compared with all that share one of their
+    rarest shingles, which no similar pair can avoid. Texts without words, null or empty, are near copies of each other; a text of any length is read whole; rows that
     repeat id and text are one. Texts are told apart by 128-bit hashes, shingles by 64 bits. An empty table gives an empty table;
     other columns, whatever their names, stay as they are.
     """
@@ -291,52 +378,40 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 6, least: float =
     whole = materialize(rows.groupBy("node", "twin").agg(F.min("fp").alias("fp"), F.min(own).alias("first"), F.count("*").alias("n"), F.countDistinct("id").alias("ids")))
     # Should two texts have the same node, one of them stands for both in links, and both stay.
     texts = materialize(whole.groupBy("node").agg(F.min(F.struct("first", "twin", "fp")).alias("x"), F.count("*").alias("twins")).select("node", "x.first", "x.twin", "x.fp", "twins"))
-    chosen = materialize(texts.groupBy("fp").agg(F.min("node").alias("chosen")))
+    n = texts.count()
+    few_texts, few_pairs = n // TEXTS + 1, n // PAIRS + 1
+    chosen = materialize(texts.groupBy("fp").agg(F.min("node").alias("chosen")), few_texts)
     ends = [chosen.select(F.col("fp").alias(c), F.col("chosen").alias(f"node_{c}")) for c in "uv"]
     near = links(chosen.select("fp"), radius).join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
     near = near.unionByName(texts.join(chosen, "fp").where("node <> chosen").select(F.col("node").alias("u"), F.col("chosen").alias("v")))
-    keyed = rows.select("node", "size", F.explode("bands").alias("band"))
-    shared = materialize(keyed.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("last")).where("star <> last").drop("last"))
+    keyed = rows.select("node", F.explode("bands").alias("band"))
+    shared = materialize(keyed.groupBy("band").agg(F.min("node").alias("star"), F.max("node").alias("last")).where("star <> last").drop("last"), few_texts)
     few = shared.count() * 100 <= broadcast_bytes
-    members = materialize(keyed.join(F.broadcast(shared) if few else shared, "band").distinct())
+    members = materialize(keyed.join(F.broadcast(shared) if few else shared, "band").distinct(), few_texts)
     stars = members.where("node <> star").select(F.col("node").alias("u"), F.col("star").alias("v"))
     ordered = lambda pairs: pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = materialize(ordered(near.unionByName(stars)))
+    edges = materialize(ordered(near.unionByName(stars)), few_texts)
     # Only texts that have a candidate are moved, one row of each.
-    asked = materialize(edges.select(F.col("u").alias("node")).union(edges.select("v")).union(members.select("node")).distinct().join(texts, "node").select(F.col("node").alias("_node"), F.col("twin").alias("_twin"), F.col("first.id").alias("_id")))
+    asked = materialize(edges.select(F.col("u").alias("node")).union(edges.select("v")).union(members.select("node")).distinct().join(texts, "node").select(F.col("node").alias("_node"), F.col("twin").alias("_twin"), F.col("first.id").alias("_id")), few_texts)
     few = asked.count() * 150 <= broadcast_bytes
     here = named["id"].eqNullSafe(F.col("_id")) & (named["node"] == F.col("_node")) & (named["twin"] == F.col("_twin"))
-    read = materialize(named.join(F.broadcast(asked) if few else asked, here, "left_semi").select("node", "text").dropDuplicates(["node"]))
-    good = [materialize(similar(edges, read, shingle, least))]
-    tested, stuck = [edges], False
-    while True:
-        roots = components(reduce(DataFrame.unionByName, good))
-        known = materialize(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("star"))
-        open_bands = materialize(known.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("root", "node", "size")).alias("a")).where("lo <> hi"))
-        total, pairs = open_bands.agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        if not total:
-            break
-        one = not stuck and pairs > MANY * total
-        here = known.join(open_bands.select("band", "a"), "band").select("band", "a", F.struct("root", "node", "size").alias("b"))
-        both = here if one else here.select("band", F.col("b").alias("a")).join(here.select("band", "b"), "band").where("a.node < b.node")
-        fits = (F.col("a.root") != F.col("b.root")) & (F.least("a.size", "b.size") >= least * F.greatest("a.size", "b.size"))
-        new = ordered(both.where(fits).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
-        for t in tested:
-            new = new.join(t, ["u", "v"], "left_anti")
-        tested.append(materialize(new))
-        good.append(materialize(similar(tested[-1], read, shingle, least)))
-        discard(known, open_bands)
-        if not one:
-            roots = components(reduce(DataFrame.unionByName, good))
-            break  # all open pairs are compared
-        stuck = good[-1].isEmpty()
+    read = materialize(named.join(F.broadcast(asked) if few else asked, here, "left_semi").select("node", "text").dropDuplicates(["node"]), few_pairs)
+    good = materialize(similar(edges, read, shingle, least), few_pairs)
+    roots = components(good)
+    known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    bands_left = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    left = materialize(known.join(bands_left, "band", "left_semi").select("node", "root").distinct(), few_texts)
+    if not left.isEmpty():
+        prefixes = materialize(rare_prefixes(read.join(left, "node"), shingle, least), few_pairs)
+        more = materialize(open_pairs(prefixes, least).join(edges, ["u", "v"], "left_anti"), few_pairs)
+        roots = components(good.unionByName(materialize(similar(more, read, shingle, least), few_pairs)))
     group = F.coalesce("root", "node").alias("root")
     best = texts.join(roots, "node", "left").select(group, F.struct("first", "node", "twin").alias("k")).groupBy("root").agg(F.min("k").alias("k")).select("k.node", "k.twin", F.col("k.first.id").alias("id"))
     odd = whole.join(texts.where("twins > 1").select("node", F.col("twin").alias("held")), "node").where("twin <> held").select("node", "twin", F.col("first.id").alias("id"))
-    keys = materialize(best.unionByName(odd))
+    keys = materialize(best.unionByName(odd), few_texts)
     again = not whole.where("n > ids").isEmpty()  # rows given more than once, or without ids
     keys = keys.select(F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("twin").alias("_twin"))
-    discard(rows, whole, texts, chosen, shared, members, edges, asked, read, *tested[1:], *good)
+    discard(rows, whole, texts, chosen, shared, members, edges, asked, read, left, good)
     out = docs.join(keys, docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_node"]) & (F.xxhash64(F.lit(1), docs["text"]) == keys["_twin"]), "left_semi")
     if not again:
         return out

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from odd_tables import prose
+from pyspark.sql import functions as F
 
 from factorloom.llm import hmm, langid, linededup, mixing, ogg, pii, quality, simhash, texthash, warc
 from factorloom.llm.components import components
@@ -94,12 +95,22 @@ def test_spans_of_texts_longer_than_a_piece(monkeypatch):
     field = pii.train(pii.labelled())
     monkeypatch.setattr(texthash, "PIECE", 200)
     secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
-    texts = ["word " * 100 + f'token = "{secret}" ' + "wörd " * 100, "x " * 30, f'token = "{secret}"']
+    texts = ["word\n" * 100 + f'token = "{secret}" ' + "wörd " * 100, "x " * 30, f'token = "{secret}"']
     found = pii.added(field, pa.array(texts))
     for row in (0, 2):
         assert [texts[row].encode()[s:e].decode() for k, s, e in found[row] if k == "secret"] == [secret]
 
 
+def test_long_lines_are_decoded_whole():
+    """A span that lies where lines used to be cut, on one long line."""
+    field = pii.default_field()
+    secret = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    for n in (254, 255, 256, 5000):
+        text = "word " * n + f'token = "{secret}" call +1 (555) 123-4567 ' + "end " * 300
+        found = pii.added(field, pa.array([text]))[0]
+        assert [text[s:e] for k, s, e in found if k == "secret"] == [secret] and [text[s:e] for k, s, e in found if k == "phone"] == ["+1 (555) 123-4567"]
+
+
 def test_patterns_are_linear():
     assert pii.patterns("a" * 300000 + "1" * 300000 + "+1" + "." * 300000 + "@" * 3000) == []
 
@@ -225,6 +236,24 @@ def test_rejected_links_hide_no_others(spark, monkeypatch):
     assert near and all(len(kept & set(g)) <= 1 for g in union(near, range(len(texts))))
 
 
+def test_prefixes_miss_no_pair(spark):
+    """Pairs that share one of their rarest shingles, against all similar pairs of a crowd; texts without words, and with others' shingles only."""
+    r = random.Random(14)
+    base, texts = prose(r, 120).split(), ["", "one two three four five six"]
+    for _ in range(80):
+        words = list(base)
+        for _ in range(r.randint(1, 5)):
+            words[r.randrange(120)] = f"changed{r.randrange(30)}"
+        texts.append(" ".join(words))
+    texts = list(dict.fromkeys(texts))
+    frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, root long, text string").repartition(5)
+    found = {(e.u, e.v) for e in simhash.open_pairs(simhash.rare_prefixes(frame, 5, 0.8), 0.8).collect()}
+    close = {(a, b) for a, b in close_pairs(texts) if texts[a]}
+    assert close <= found and len(found) < len(texts) * (len(texts) - 1) / 2
+    one = frame.withColumn("root", F.lit(1))
+    assert simhash.open_pairs(simhash.rare_prefixes(one, 5, 0.8), 0.8).isEmpty()
+
+
 def test_copies_near_the_limit_are_all_found(spark):
     """Pairs barely similar enough, whose fingerprints are often far apart."""
     r, texts = random.Random(13), []
