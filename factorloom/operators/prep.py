@@ -33,9 +33,11 @@ def dense_ids(df: DataFrame, column: str, ident: str = "id") -> DataFrame:
 
 
 def densified(df: DataFrame, *columns: str) -> DataFrame:
-    """df with each column's values replaced by their dense ids."""
+    """df, which is computed once and stored, with each column's values replaced by their dense ids."""
+    df = materialize(df)
+    stored = df
     for c in columns:
-        df = df.join(dense_ids(df, c, "_id"), c).drop(c).withColumnRenamed("_id", c)
+        df = df.join(dense_ids(stored, c, "_id"), c).drop(c).withColumnRenamed("_id", c)
     return df
 
 
@@ -57,10 +59,10 @@ def split(df: DataFrame, *ids: str, one_in: int = 5) -> DataFrame:
 def split_exact(df: DataFrame, *ids: str, one_in: int = 5) -> DataFrame:
     """df with is_test: exactly round(n / one_in) cells, those with the smallest keys.
 
-    The border is found from counts by key range, so that only one range of keys has to be sorted.
+    The border is found from counts by key range, so that only one range of keys has to be sorted. df is computed once and stored.
     """
-    keyed = df.withColumn("_key", split_key(*map(F.col, ids))).withColumn("_range", F.shiftright("_key", 36))
-    counts = materialize(keyed.groupBy("_range").agg(F.count("*").alias("n")))
+    keyed = materialize(df.withColumn("_key", split_key(*map(F.col, ids))).withColumn("_range", F.shiftright("_key", 36)))
+    counts = materialize(keyed.groupBy("_range").agg(F.count("*").alias("n")), 1)  # at most 4096 rows
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     wanted = int(total / one_in + 0.5)
     running = counts.select("_range", F.sum("n").over(Window.orderBy("_range")).alias("upto"), "n")  # at most 4096 rows

@@ -37,5 +37,5 @@ def running_moments(stream: DataFrame, burnin: int) -> DataFrame:
 
 
 def windowed_error(stream: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """From (ts, value, pred): the error within each window of event time; rows later than `late` are left out."""
+    """From (ts, value, pred): the error within each window of event time, as it changes (output mode update); rows later than `late` are left out."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.sqrt(F.avg(F.pow(F.col("value") - F.col("pred"), 2))).alias("rmse"), F.count("*").alias("n"))

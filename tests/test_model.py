@@ -141,6 +141,21 @@ def test_running_moments_follow_the_recurrence(spark):
     assert np.isclose(final.pred_avg, avg + d / 6) and np.isclose(final.pred_m2, m2 + d * (r[-1] - avg - d / 6))
 
 
+def test_late_rows_are_left_out(spark, tmp_path):
+    """Two batches of a stream: of the second, what is later than the watermark doesn't count."""
+    from factorloom.streaming.running import windowed_error
+
+    schema = "ts timestamp, value double, pred double"
+    for i, hours in enumerate(([1, 2, 9], [1, 9, 10])):
+        rows = [(f"2020-01-01 {h:02}:30:00", float(h), 0.0) for h in hours]
+        frame = spark.createDataFrame(rows, "ts string, value double, pred double").withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        writer = windowed_error(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, n, i=i: batch.withColumn("run", F.lit(i)).write.mode("append").parquet(str(tmp_path / "out"))).start().awaitTermination()
+    found = {(r.run, r.window.start.hour): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {(0, 1): 1, (0, 2): 1, (0, 9): 1, (1, 9): 2, (1, 10): 1}
+
+
 def test_balanced_parts(spark):
     counts = spark.createDataFrame([(i, int(10000 / (i + 1))) for i in range(3000)], "id long, nnz long")
     found = partition.balanced(counts, 4, exact=100)
@@ -261,6 +276,64 @@ def test_broken_files(spark, tmp_path, name, data):
         matrix.read_matrix(spark, path).collect()
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_text_files_are_split(spark, tmp_path, monkeypatch, size):
+    """Ranges of bytes that cut lines anywhere, with comments and blank lines, and blocks smaller than lines."""
+    monkeypatch.setattr(matrix, "RANGE", size)
+    monkeypatch.setattr(matrix, "BLOCK", 16)
+    cells = [(i % 7, i * 5 % 11, float(i) - 3.5) for i in range(30)]
+    body = "".join(f"{r + 1} {c + 1} {v}\n" + "% said\n\n" * (r == 3) for r, c, v in cells)
+    path = stored(tmp_path / "a.mtx", f"%%MatrixMarket matrix coordinate real general\n7 11 30\n{body}".encode())
+    wanted = {}
+    for r, c, v in cells:
+        wanted[r, c] = wanted.get((r, c), 0) + v
+    parts = matrix.parts_of(path, "mtx")
+    assert size == 1000 or len(parts) > 3
+    assert cells_of(matrix.read_matrix(spark, path)) == sorted((*k, v) for k, v in wanted.items())
+    path = stored(tmp_path / "b.csv", b"3\n4\n" + b"".join(b",".join(b"%d" % (10 * r + c) for c in range(4)) + b"\n" for r in range(3)))
+    assert cells_of(matrix.read_matrix(spark, path)) == [(r, c, 10.0 * r + c) for r in range(3) for c in range(4)]
+    path = stored(tmp_path / "c.mtx", b"%%MatrixMarket matrix array real general\n% x\n4 3\n" + b"".join(b"%d\n" % i for i in range(12)))
+    assert cells_of(matrix.read_matrix(spark, path)) == [(r, c, 4.0 * c + r) for r in range(4) for c in range(3)]
+    if size < 1000:
+        path = stored(tmp_path / "d.mtx", b"%%MatrixMarket matrix coordinate real general\n3 3 9\n" + b"1 1 1\n" * 8)
+        with pytest.raises(matrix.MatrixError):
+            matrix.read_matrix(spark, path)
+
+
+@pytest.mark.parametrize("name", ["a.sdm", "a.mtx", "a.mtx.gz", "a.sbm", "a.ddm", "a.csv", "a.csv.gz"])
+def test_files_written_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    """Ranges of several tasks, joined in order; dense files with columns and rows that no task has."""
+    monkeypatch.setattr(matrix, "BLOCK", 240)
+    rng = np.random.default_rng(9)
+    cells = sorted({(int(r), int(c)) for r, c in zip(rng.integers(0, 30, 90) // 2 * 2, rng.integers(0, 25, 90), strict=True)})
+    frame = spark.createDataFrame([(r, c, 1.0 + r + c) for r, c in cells], "row long, col long, value double").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = str(tmp_path / name)
+        matrix.write_matrix(frame, path, rows=33, cols=27)
+        assert matrix.matrix_shape(path) == (33, 27)
+        found = cells_of(matrix.read_matrix(spark, path))
+        one = name.startswith("a.sbm")
+        wanted = {(r, c): 1.0 if one else 1.0 + r + c for r, c in cells}
+        if name.split(".")[1] in ("ddm", "csv"):
+            wanted = {(r, c): 0.0 for r in range(33) for c in range(27)} | wanted
+        assert found == [(*k, v) for k, v in sorted(wanted.items())]
+        if name.split(".")[1] in ("sdm", "mtx", "sbm"):
+            folder = str(tmp_path / "parts")
+            matrix.write_parts(frame, folder, name.split(".")[1], 33, 27, name.endswith(".gz"))
+            assert len(matrix.files_of(folder)) > 1 and all(matrix.matrix_shape(f) == (33, 27) for f in matrix.files_of(folder))
+            assert cells_of(matrix.read_matrix(spark, folder)) == found
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_unordered_cells_are_refused(spark, tmp_path):
+    spark.dataSource.register(matrix.MatrixSource)
+    frame = spark.createDataFrame([(i * 7 % 10, i % 3, 1.0) for i in range(20)], "row long, col long, value double").repartition(4)
+    with pytest.raises(Exception, match="ranged"):
+        frame.write.format("matrix").mode("overwrite").save(str(tmp_path / "x.sdm"))
+
+
 def test_missing_file(spark, tmp_path):
     with pytest.raises(matrix.MatrixError):
         matrix.matrix_shape(str(tmp_path / "none.sdm"))
