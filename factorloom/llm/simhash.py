@@ -18,15 +18,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, schema_with, table
 from .components import components
-from .texthash import mixed
+from .texthash import mixed, shingles
 
-SEED = 42
 #: Fingerprints in a shard for a task, in a leaf, and on average in a root's shard.
 SHARD, LEAF, AIM = 20_000, 64, 1024
 #: Min-hashes in a band, and bands: of pairs of similarity 0.8, one in 14,000 shares no band.
@@ -34,24 +32,14 @@ ROWS, BANDS = 5, 24
 #: Texts for each task that groups or joins them by their hashes, and for each that compares them, about.
 TEXTS, PAIRS = 25_000, 6_000
 #: Shingles that are min-hashed at a time.
-PART = 1 << 12
+PART = 1 << 9
 #: Bytes of text for each bucket of hashes whose rarity is counted; 64-bit words of a set's parities.
 BUCKET, WORDS = 1 << 24, 8
 
 
 def shingled(data: bytes, shingle: int) -> np.ndarray:
-    """The hashes of all word shingles of a text, repeats included; of all words together if there are fewer."""
-    words = data.lower().split()  # of bytes: A-Z and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), len(words)
-    if n <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(lengths + 1) - 1
-    view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    spans = zip((ends - lengths)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    return np.array([digest(view[s:e], SEED) for s, e in spans], np.uint64)
+    """The hashes of all word shingles of one text."""
+    return next(shingles(pa.array([data], pa.binary()).cast(pa.large_binary()), shingle))[1]
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -69,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
     def added(batches):
         for batch in batches:
-            prints = np.array([fingerprint(shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)) for x in batch.column("text")], np.uint64)
+            prints = np.array([fingerprint(hashes) for _, hashes in shingles(batch.column("text"), shingle)], np.uint64)
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(prints.view(np.int64))], [*kept, "fp"])
 
@@ -235,16 +223,13 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
     def added(batches):
         for batch in batches:
             prints, sizes, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, BANDS), np.uint64)
-            seen: dict[int, int] = {}
-            for at, (node, x) in enumerate(zip(batch.column("node").to_pylist(), batch.column("text"), strict=True)):
-                before = seen.setdefault(node, at)
-                if before < at and x == batch.column("text")[before]:
-                    prints[at], sizes[at], keys[at] = prints[before], sizes[before], keys[before]
-                    continue
-                hashes = shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)
-                prints[at] = fingerprint(hashes)
+            # Equal texts are described once.
+            _, first, of = np.unique(np.asarray(batch.column("text").fill_null("").dictionary_encode().indices), return_index=True, return_inverse=True)
+            for i, hashes in shingles(batch.column("text").take(pa.array(first)), shingle):
+                prints[i] = fingerprint(hashes)
                 hashes = np.unique(hashes)
-                sizes[at], keys[at] = len(hashes), bands(hashes)
+                sizes[i], keys[i] = len(hashes), bands(hashes)
+            prints, sizes, keys = prints[of], sizes[of], keys[of]
             kept = [c for c in batch.schema.names if c != "text"]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(prints.view(np.int64)), pa.array(sizes), lists], [*kept, "fp", "size", "bands"])
@@ -257,7 +242,7 @@ def similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
 
     sets: dict[int, np.ndarray] = {}
 
-    def shingles(node: int, text: pa.Scalar) -> np.ndarray:
+    def known(node: int, text: pa.Scalar) -> np.ndarray:
         if node not in sets:
             if len(sets) > 100:  # the last few texts: most have several edges
                 sets.clear()
@@ -268,7 +253,7 @@ def similar(edges: DataFrame, texts: DataFrame, shingle: int, least: float) -> D
         for batch in batches:
             good = []
             for node, x, other, y in zip(*[batch.column(i) for i in range(4)], strict=True):
-                a, b = shingles(node.as_py(), x), shingles(other.as_py(), y)
+                a, b = known(node.as_py(), x), known(other.as_py(), y)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(both >= least * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
@@ -295,7 +280,7 @@ def rare_prefixes(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     def stored(batches):
         for batch in batches:
             if batch.num_rows:
-                sets = [np.unique(shingled(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle)) for x in batch.column("text")]
+                sets = [np.unique(hashes) for _, hashes in shingles(batch.column("text"), shingle)]
                 nodes, roots = (batch.column(c).to_numpy() for c in ("node", "root"))
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65]), pack(nodes, "<i8"), pack(roots, "<i8"), pack([len(x) for x in sets], "<i8"), pack(np.concatenate(sets), "<u8")], ["batch", "nodes", "roots", "sizes", "tokens"])
 

@@ -112,3 +112,91 @@ def tokens(rows: np.ndarray, starts: np.ndarray, data: np.ndarray, table: np.nda
         long = np.flatnonzero(e - s > n)
         out["begin"][n] = long, mixed((total[s[long] + n] - total[s[long]]) * back[long] + np.uint64(n))
     return out
+
+
+# The multipliers of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def turned(x: np.ndarray, by: int) -> np.ndarray:
+    """Bits turned to the left."""
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of parts of a buffer, which may overlap; all at once, lane by lane. The buffer needs 8 spare bytes at its end."""
+    at = lambda i, of: np.ndarray((len(data) - 7,), of, data, 0, (1,))[i]  # noqa: E731  any byte may begin a word
+    seed = np.uint64(seed)
+    here, left = starts.copy(), lengths.copy()
+    h = np.full(len(starts), seed + P5)
+    long = np.flatnonzero(left >= 32)
+    if len(long):
+        of = np.full(4, seed) + np.array([P1, P2, 0, ~P1], np.uint64) + np.array([P2, 0, 0, 1], np.uint64)
+        lanes = np.tile(of[:, None], (1, len(long)))
+        some = np.arange(len(long))
+        while len(some):
+            i = here[long[some]]
+            for lane in range(4):
+                lanes[lane, some] = turned(lanes[lane, some] + at(i + 8 * lane, "<u8") * P2, 31) * P1
+            here[long[some]] += 32
+            left[long[some]] -= 32
+            some = some[left[long[some]] >= 32]
+        whole = turned(lanes[0], 1) + turned(lanes[1], 7) + turned(lanes[2], 12) + turned(lanes[3], 18)
+        for lane in lanes:
+            whole = (whole ^ turned(lane * P2, 31) * P1) * P1 + P4
+        h[long] = whole
+    h += lengths.astype(np.uint64)
+    some = np.flatnonzero(left >= 8)
+    while len(some):
+        h[some] = turned(h[some] ^ turned(at(here[some], "<u8") * P2, 31) * P1, 27) * P1 + P4
+        here[some] += 8
+        left[some] -= 8
+        some = some[left[some] >= 8]
+    some = np.flatnonzero(left >= 4)
+    h[some] = turned(h[some] ^ at(here[some], "<u4").astype(np.uint64) * P1, 23) * P2 + P3
+    here[some] += 4
+    left[some] -= 4
+    for k in range(3):
+        some = np.flatnonzero(left > k)
+        h[some] = turned(h[some] ^ data[here[some] + k].astype(np.uint64) * P5, 11) * P1
+    h = (h ^ h >> np.uint64(33)) * P2
+    h = (h ^ h >> np.uint64(29)) * P3
+    return h ^ h >> np.uint64(32)
+
+
+def shingles(column: pa.Array, size: int, together: int = 1 << 16):
+    """Yield (row, hashes) of every text of a batch: the XXH64 (seed 42) of all its shingles of `size` words, in order, repeats included; of all words if there are fewer.
+
+    A-Z count as a-z, words end at ASCII white space and are joined by one space. About `together` bytes of text are hashed at a time.
+    """
+    data, offsets = buffers(column)
+    row = 0
+    while row < len(column):
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + together, "right")) - 1)
+        part = data[offsets[row] : offsets[last]]
+        lower = part + ((part >= 65) & (part <= 90)) * np.uint8(32)
+        kept = spaced()[part] != SPACE
+        first = kept.copy()
+        first[1:] &= ~kept[:-1]
+        begins = offsets[row:last] - offsets[row]
+        begins = begins[begins < len(part)]
+        first[begins] = kept[begins]
+        # Every word is copied with one space before it.
+        starts = np.flatnonzero(first)
+        place = np.cumsum(kept) + np.cumsum(first) - 1
+        joined = np.full(int(kept.sum()) + len(starts) + 8, 32, np.uint8)
+        joined[place[kept]] = lower[kept]
+        at = place[starts]
+        ends = np.append(at[1:], len(joined) - 7)[: len(at)] - 1  # of each word
+        of = np.searchsorted(offsets[row : last + 1] - offsets[row], starts, "right") - 1
+        n = np.bincount(of, minlength=last - row)
+        opened = np.cumsum(n) - n
+        many = np.maximum(n - size + 1, np.minimum(n, 1))
+        text = np.repeat(np.arange(last - row), many)
+        word = opened[text] + np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        final = np.minimum(word + size, (opened + n)[text]) - 1
+        found = xxh64(joined, at[word], ends[final] - at[word])
+        cuts = np.cumsum(many)
+        for i in range(last - row):
+            yield row + i, found[cuts[i] - many[i] : cuts[i]]
+        row = last

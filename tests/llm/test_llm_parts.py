@@ -8,6 +8,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from odd_tables import prose
 from pyspark.sql import functions as F
 
@@ -158,6 +159,23 @@ def test_url_keys():
 # --- SimHash
 
 
+def test_hashes_of_shingles():
+    r = random.Random(15)
+    data = bytes(r.randrange(256) for _ in range(3000))
+    starts, lengths = np.array([r.randrange(2000) for _ in range(500)]), np.array([r.choice([0, 1, 3, 4, 5, 7, 8, 9, 12, 15, 31, 32, 33, 63, 64, 65, 100, 990]) for _ in range(500)])
+    found = texthash.xxh64(np.frombuffer(data + b"\0" * 8, np.uint8), starts, lengths)
+    assert found.tolist() == [xxhash.xxh64_intdigest(data[s : s + n], 42) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    texts = [None, "", " ", "one", " One\tTWO\n", "a b c d", "a b c d e f", "é Ünï\x0b漢字 x y z " * 9, "w" * 300 + " " + "v" * 50, *[" ".join("x" * r.randint(1, 40) for _ in range(r.randint(0, 30))) + " " * r.randint(0, 2) for _ in range(200)], ""]
+    for size in (1, 4, 5):
+        for together in (1, 200, 1 << 21):
+            for (row, hashes), t in zip(texthash.shingles(pa.array(texts), size, together), texts, strict=True):
+                words = (t or "").encode().lower().split()
+                wanted = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+                assert texts[row] == t and hashes.tolist() == [xxhash.xxh64_intdigest(x, 42) for x in wanted]
+    sliced = pa.array(["zero", *texts]).slice(1)
+    assert [h.tolist() for _, h in texthash.shingles(sliced, 4)] == [h.tolist() for _, h in texthash.shingles(pa.array(texts), 4)]
+
+
 def union(pairs, nodes):
     parent = {x: x for x in nodes}
 
