@@ -18,8 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     rounds grows with the logarithm of a component's diameter. Smallest neighbours are aggregated before they are
     joined, and both sides of a join are stored tables, so that a node with very many edges can be split among tasks.
     """
-    parts = edges.count() // EDGES + 1
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), parts)
+    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+    parts = now.count() // EDGES + 1
     before = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

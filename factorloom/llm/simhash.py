@@ -200,6 +200,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     rooted = materialize(firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     named = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     by_print = materialize(rooted.join(named, "root").select("fp", "root", "component_id"))
+    discard(firsts, rooted, named)
     return rows.join(by_print, "fp").select(F.col("id").alias(ident), "text_hash", "fp", "root", "component_id")
 
 

@@ -512,6 +512,16 @@ def test_languages_without_labels(spark):
     assert [(x.lang_pred, x.score, x.rejected) for x in found] == [("und", 0.0, True)]
 
 
+def test_one_id_on_very_many_rows_of_a_language(spark):
+    """Rows that repeat an id, or have none, count as others: a bounded number of excerpts, of different texts."""
+    r = random.Random(16)
+    texts = [prose(r, 60) for _ in range(900)]
+    docs = [(7, t, "en") for t in texts] + [(None, t, "en") for t in texts] + [(7, texts[0], "en")] * 3000 + [(i, prose(r, 300, 1), "es") for i in range(30)]
+    found = langid.sampled(spark.createDataFrame(docs, "doc_id long, text string, lang string"), F.lit(True))
+    assert 20 < len(found["en"]) < 2 * langid.SAMPLE and len(found["es"]) == 30 and list(found) == ["en", "es"]
+    assert all(len(x) == langid.EXCERPT for x in found["es"])
+
+
 def test_a_rare_language_leaves_the_others_alone():
     r = random.Random(12)
     samples = {lang: [prose(r, 200, i) for _ in range(60)] for i, lang in enumerate(("en", "es"))}
