@@ -1,6 +1,8 @@
 """The sampler and its parts against numpy, and matrix files against their layouts."""
 
 import gzip
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from factorloom.functions import sampling
 from factorloom.operators import evaluate, normal, partition, prep
 from factorloom.plans import model
-from factorloom.sources import matrix
+from factorloom.sources import mat, matrix
 
 TRAIN = [(0, 0, 2.0), (1, 0, 3.0), (2, 0, 7.0), (3, 0, 4.0), (0, 1, 5.0), (2, 1, 1.0)]
 TEST = [(1, 1, 5.0), (3, 1, 1.0)]
@@ -327,6 +329,37 @@ def test_files_written_by_many_tasks(spark, tmp_path, monkeypatch, name):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def mat_element(kind, data, small=False):
+    if small:
+        return struct.pack("<HH4s", kind, len(data), data)
+    return struct.pack("<II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+
+def mat_variable(name, kind, sizes, *values):
+    parts = [mat_element(6, struct.pack("<II", kind, 0)), mat_element(5, struct.pack("<ii", *sizes)), mat_element(1, name.encode(), len(name) <= 4), *values]
+    body = b"".join(parts)
+    return struct.pack("<II", 14, len(body)) + body
+
+
+def test_mat_files(spark, tmp_path):
+    """Full and sparse variables, compressed or not, with values as small as they fit; others are passed over."""
+    full = mat_variable("a", 6, (2, 3), mat_element(9, np.arange(6, dtype="<f8").tobytes()))
+    small = mat_variable("ratings", 6, (2, 3), mat_element(2, bytes([1, 3, 2, 1, 5, 4])))
+    sparse = mat_variable("s", 5, (4, 3), mat_element(5, np.array([0, 3, 1], "<i4").tobytes()), mat_element(5, np.array([0, 2, 2, 3], "<i4").tobytes()), mat_element(9, np.array([1.5, 2.5, 3.5]).tobytes()))
+    text = mat_variable("txt", 4, (1, 2), mat_element(4, b"ab", True))
+    packed = zlib.compress(sparse)
+    head = b"MATLAB 5.0 MAT-file".ljust(124) + struct.pack("<H", 0x0100) + b"IM"
+    path = stored(tmp_path / "x.mat", head + full + text + struct.pack("<II", 15, len(packed)) + packed + small)
+    assert cells_of(mat.read_mat(spark, path, "a")) == [(r, c, float(2 * c + r)) for r in range(2) for c in range(3)]
+    assert cells_of(mat.read_mat(spark, path, "s")) == [(0, 0, 1.5), (1, 2, 3.5), (3, 0, 2.5)]
+    assert cells_of(mat.read_ratings(spark, path, "ratings")) == [(0, 1, 5.0), (2, 0, 4.0)]
+    for bad in ("none", "txt"):
+        with pytest.raises(Exception, match="no matrix"):
+            mat.read_mat(spark, path, bad).collect()
+    with pytest.raises(Exception, match="level 5"):
+        mat.read_mat(spark, stored(tmp_path / "y.mat", b"something else"), "a").collect()
+
+
 def test_unordered_cells_are_refused(spark, tmp_path):
     spark.dataSource.register(matrix.MatrixSource)
     frame = spark.createDataFrame([(i * 7 % 10, i % 3, 1.0) for i in range(20)], "row long, col long, value double").repartition(4)
