@@ -641,36 +641,40 @@ def wishart_sql(df: str, scale: tuple[str, str, str], key: tuple, first: int = 0
     return {"u00": f"sqrt({chi(4, df)}) * {l00}", "u01": f"sqrt({chi(4, df)}) * {l10} + {z(1)} * {l11}", "u11": f"sqrt({chi(5, f'({df}) - 1')}) * {l11}"}
 
 
-def fit_sql(samples: int, name: str = "", seed: int = 0, prior: str = "") -> tuple[str, str]:
-    """A fit of two factors as common table expressions on train, step by step, and the last vectors' tables by side: prior names a table (id, m0, m1, p00, p01, p11) of the items'."""
+def fit_sql(samples: int, name: str = "", seed: int = 0, prior: str = "", sweeps: int = 1, init: dict[str, str] | None = None) -> tuple[str, dict[str, str]]:
+    """A fit of two factors as common table expressions on train, step by step, and the last vectors' tables by side. prior names a table (id, m0, m1, p00, p01, p11) of the items', init tables (id, f0, f1) to start from."""
     out = []
     now = {}
     for side, of, key in (("item", "part", "p_partkey"), ("user", "customer", "c_custkey")):
         now[side] = f"{name}{side}0"
-        out.append(f"{name}n{side} AS (SELECT max({'item' if side == 'item' else chr(34) + 'user' + chr(34)}) + 1 AS n FROM r), {now[side]} AS (SELECT unnest(generate_series(0, n - 1)) AS id, 0.0::DOUBLE AS f0, 0.0::DOUBLE AS f1 FROM {name}n{side})")
+        out.append(f"{name}n{side} AS (SELECT max({'item' if side == 'item' else chr(34) + 'user' + chr(34)}) + 1 AS n FROM r), {now[side]} AS ({f"SELECT * FROM {init[side]}" if init else f"SELECT unnest(generate_series(0, n - 1)) AS id, 0.0::DOUBLE AS f0, 0.0::DOUBLE AS f1 FROM {name}n{side}"})")
     out.append(f"{name}m AS (SELECT avg(value) AS mean FROM train)")
-    for i in range(samples):
-        for at, side in enumerate(("item", "user")):
-            here, mine, other = f"{name}{side}{i + 1}", now[side], now["user" if side == "item" else "item"]
-            z = lambda j: normal_sql(str(j), "g", seed, at, i)  # noqa: B023, E731
-            u = wishart_sql("df", ("w00", "w01", "w11"), (seed, at, i))
-            ident, also = ("item", '"user"') if side == "item" else ('"user"', "item")
-            out.append(f"""{here}c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(f0) AS a0, avg(f1) AS a1, covar_samp(f0, f0) AS s00, covar_samp(f0, f1) AS s01, covar_samp(f1, f1) AS s11 FROM {mine}),
+    drawn: dict[str, str] = {}
+    for i, t, at in ((i, t, at) for i in range(samples) for t in range(sweeps) for at in range(2)):
+        side = ("item", "user")[at]
+        here, mine, other = f"{name}{side}{i + 1}{'x' * (sweeps - 1 - t)}", now[side], now["user" if side == "item" else "item"]
+        z = lambda j: normal_sql(str(j), "g", seed, at, i)  # noqa: B023, E731
+        u = wishart_sql("df", ("w00", "w01", "w11"), (seed, at, i))
+        ident, also = ("item", '"user"') if side == "item" else ('"user"', "item")
+        head = f"""{here}c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, avg(f0) AS a0, avg(f1) AS a1, covar_samp(f0, f0) AS s00, covar_samp(f0, f1) AS s01, covar_samp(f1, f1) AS s11 FROM {mine}),
   {here}t AS (SELECT 2 + n AS kappa, 2 + n AS df, n * a0 / (2 + n) AS c0, n * a1 / (2 + n) AS c1, 1 + n * s00 + 2 * n / (2 + n) * a0 * a0 AS a, n * s01 + 2 * n / (2 + n) * a0 * a1 AS b, 1 + n * s11 + 2 * n / (2 + n) * a1 * a1 AS e FROM {here}c),
   {here}w AS (SELECT *, e / (a * e - b * b) AS w00, -b / (a * e - b * b) AS w01, a / (a * e - b * b) AS w11 FROM {here}t),
   {here}u AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in u.items())} FROM {here}w),
-  {here}h AS MATERIALIZED (SELECT c0 + ({z(6)} - u01 * ({z(7)} / u11)) / u00 / sqrt(kappa) AS mu0, c1 + {z(7)} / u11 / sqrt(kappa) AS mu1, u00 * u00 AS q00, u00 * u01 AS q01, u01 * u01 + u11 * u11 AS q11 FROM {here}u),
-  {here}g AS (SELECT {ident} AS id, sum(f0 * f0) AS g00, sum(f0 * f1) AS g01, sum(f1 * f1) AS g11, sum(f0 * (value - mean)) AS r0, sum(f1 * (value - mean)) AS r1 FROM train JOIN {other} o ON {also} = o.id, {name}m GROUP BY 1)""")
-            own = prior if side == "item" else ""
-            q = {k: f"coalesce(pr.{p}, h.{k})" if own else f"h.{k}" for k, p in (("mu0", "m0"), ("mu1", "m1"), ("q00", "p00"), ("q01", "p01"), ("q11", "p11"))}
-            out.append(f"""{here}b AS (SELECT x.id, {", ".join(f"{v} AS {k}" for k, v in q.items())}, coalesce(g00, 0) AS g00, coalesce(g01, 0) AS g01, coalesce(g11, 0) AS g11, coalesce(r0, 0) AS r0, coalesce(r1, 0) AS r1,
-    {normal_sql("x.id", seed, at, i, 0)} AS z0, {normal_sql("x.id", seed, at, i, 1)} AS z1 FROM {mine} x LEFT JOIN {here}g g ON x.id = g.id {f"LEFT JOIN {own} pr ON x.id = pr.id" if own else ""}, {here}h h),
+  {here}h AS MATERIALIZED (SELECT c0 + ({z(6)} - u01 * ({z(7)} / u11)) / u00 / sqrt(kappa) AS mu0, c1 + {z(7)} / u11 / sqrt(kappa) AS mu1, u00 * u00 AS q00, u00 * u01 AS q01, u01 * u01 + u11 * u11 AS q11 FROM {here}u)"""
+        if t == 0:
+            drawn[side] = f"{here}h"
+            out.append(head)
+        out.append(f"""{here}g AS (SELECT {ident} AS id, sum(f0 * f0) AS g00, sum(f0 * f1) AS g01, sum(f1 * f1) AS g11, sum(f0 * (value - mean)) AS r0, sum(f1 * (value - mean)) AS r1 FROM train JOIN {other} o ON {also} = o.id, {name}m GROUP BY 1)""")
+        own = prior if side == "item" else ""
+        q = {k: f"coalesce(pr.{p}, h.{k})" if own else f"h.{k}" for k, p in (("mu0", "m0"), ("mu1", "m1"), ("q00", "p00"), ("q01", "p01"), ("q11", "p11"))}
+        out.append(f"""{here}b AS (SELECT x.id, {", ".join(f"{v} AS {k}" for k, v in q.items())}, coalesce(g00, 0) AS g00, coalesce(g01, 0) AS g01, coalesce(g11, 0) AS g11, coalesce(r0, 0) AS r0, coalesce(r1, 0) AS r1,
+    {normal_sql("x.id", seed, at, i * sweeps + t, 0)} AS z0, {normal_sql("x.id", seed, at, i * sweeps + t, 1)} AS z1 FROM {mine} x LEFT JOIN {here}g g ON x.id = g.id {f"LEFT JOIN {own} pr ON x.id = pr.id" if own else ""}, {drawn[side]} h),
   {here}k AS (SELECT *, q00 * mu0 + q01 * mu1 + {ALPHA} * r0 AS b0, q01 * mu0 + q11 * mu1 + {ALPHA} * r1 AS b1, sqrt(q00 + {ALPHA} * g00) AS l00, (q01 + {ALPHA} * g01) / sqrt(q00 + {ALPHA} * g00) AS l10, q11 + {ALPHA} * g11 AS d FROM {here}b),
   {here}l AS (SELECT *, sqrt(d - l10 * l10) AS l11 FROM {here}k),
   {here}y AS (SELECT *, ((b1 - l10 * (b0 / l00)) / l11 + z1) / l11 AS f1 FROM {here}l),
   {here} AS MATERIALIZED (SELECT id, (b0 / l00 + z0 - l10 * f1) / l00 AS f0, f1 FROM {here}y)""")
-            now[side] = here
-    return ", ".join(out), now["item"]
+        now[side] = here
+    return ", ".join(out), now
 
 
 def state_sql(samples: int, burnin: int, name: str = "") -> str:
@@ -679,11 +683,11 @@ def state_sql(samples: int, burnin: int, name: str = "") -> str:
     return f"""lg AS ({preds}),
   st AS (SELECT "user", item, any_value(value) AS value, greatest({samples - 1 - burnin}, 0) AS n, coalesce(avg(pred) FILTER (iter > {burnin}), arg_max(pred, iter)) AS a, coalesce(var_pop(pred) FILTER (iter > {burnin}) * {max(samples - 1 - burnin, 0)}, 0) AS m, arg_max(pred, iter) AS pred FROM lg GROUP BY ALL),
   fp AS (SELECT *, CASE WHEN n > 0 THEN a + (pred - a) / n ELSE pred END AS b FROM st)
-  SELECT "user", item, value, n::BIGINT AS n, round(b, 4) AS pred_avg, round(CASE WHEN n > 0 THEN m + (pred - a) * (pred - b) ELSE 0 END, 4) AS pred_m2, round(pred, 4) AS pred FROM fp"""
+  SELECT "user", item, value, n::BIGINT AS n, round(b, 4) + 0 AS pred_avg, round(CASE WHEN n > 0 THEN m + (pred - a) * (pred - b) ELSE 0 END, 4) + 0 AS pred_m2, round(pred, 4) + 0 AS pred FROM fp"""
 
 
 def rounded(state: DataFrame) -> DataFrame:
-    return state.select("user", "item", "value", "n", *[F.round(c, 4).alias(c) for c in ("pred_avg", "pred_m2", "pred")])
+    return state.select("user", "item", "value", "n", *[(F.round(c, 4) + 0).alias(c) for c in ("pred_avg", "pred_m2", "pred")])
 
 
 @query(f"""SELECT c_custkey AS id, round({wishart_sql("c_custkey + 7.0", ("1.0", "0.3", "0.5"), (1, 2, 3))["u00"]}, 6) AS u00, round({wishart_sql("c_custkey + 7.0", ("1.0", "0.3", "0.5"), (1, 2, 3))["u01"]}, 6) AS u01,
@@ -737,3 +741,131 @@ def gibbs_transfer(spark, d):
     train, test = split(spark, d)
     p = model.Params(k=2, samples=1, burnin=0, alpha=ALPHA, seed=7, draws=sampling.PortableDraws())
     return rounded(model.fit(train, test, p, item_prior=materialize(first.posterior("item"))).state)
+
+
+# --- what a fit leaves behind, and its parts one by one
+
+
+def exported(spark, d, file: str, of=lambda x: x, **more) -> DataFrame:
+    """The cells of one file of an exported model."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    model.export(fitted(spark, d, k=2, draws=sampling.PortableDraws(), **more), path)
+    return matrix.read_matrix(spark, f"{path}/{file}").withColumn("value", F.round(of(F.col("value")), 4) + 0)
+
+
+@query(f"""WITH {S}, {fit_sql(3)[0]} SELECT "user" AS "row", item AS col, pred_avg AS value FROM (WITH {state_sql(3, 0)})""")
+def export_predictions(spark, d):
+    """Pavg.sdm: the test cells' mean predictions."""
+    return exported(spark, d, "Pavg.sdm", samples=3, burnin=0)
+
+
+@query(f"""WITH {S}, {fit_sql(3)[0]} SELECT "user" AS "row", item AS col, pred_m2 AS value FROM (WITH {state_sql(3, 0)})""")
+def export_deviations(spark, d):
+    """Pm2.sdm: their sums of squared deviations."""
+    return exported(spark, d, "Pm2.sdm", samples=3, burnin=0)
+
+
+def cells_sql(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"""SELECT {i}::BIGINT AS "row", id::BIGINT AS col, round({c}, 4) + 0 AS value FROM {table}""" for i, c in enumerate(columns))
+
+
+@query(f"""WITH {S}, {fit_sql(2)[0]} {cells_sql("user1", ["f0", "f1"])}""")
+def export_sample(spark, d):
+    """U-0.ddm: the users' vectors of the first iteration."""
+    return exported(spark, d, "U-0.ddm", samples=2, burnin=0, keep_samples=True)
+
+
+@query(f"""WITH {S}, {TRANSFER} {cells_sql("pr", ["m0", "m1"])}""")
+def export_means(spark, d):
+    """V-mu.ddm: the means of the items' samples."""
+    return exported(spark, d, "V-mu.ddm", samples=4, burnin=0, posterior=True)
+
+
+@query(f"""WITH {S}, {TRANSFER} {cells_sql("pr", [f"ln(1 + abs({c}))" for c in ("p00", "p01", "p01", "p11")])}""")
+def export_precisions(spark, d):
+    """V-Lambda.ddm: the precisions of the items' samples, by their logarithms: few samples give large ones."""
+    return exported(spark, d, "V-Lambda.ddm", lambda x: F.log(1 + F.abs(x)), samples=4, burnin=0, posterior=True)
+
+
+@query(f"""WITH {S}, {U}, {V}, {fit_sql(1, init={"item": "v", "user": "u"})[0]}, {state_sql(1, 0)}""")
+def warm_start(spark, d):
+    """An iteration from given vectors."""
+    train, test = split(spark, d)
+    p = model.Params(k=2, samples=1, burnin=0, alpha=ALPHA, draws=sampling.PortableDraws())
+    return rounded(model.fit(train, test, p, table(spark, d, "customer").count(), table(spark, d, "part").count(), init={"user": users(spark, d), "item": items(spark, d)}).state)
+
+
+@query(f"""WITH {S}, {fit_sql(2, sweeps=2)[0]}, {state_sql(2, 0)}""")
+def gibbs_two_sweeps(spark, d):
+    """Two sweeps for each draw of the hyper-parameters."""
+    return rounded(fitted(spark, d, k=2, samples=2, burnin=0, sweeps=2, draws=sampling.PortableDraws()).state)
+
+
+@query(f"""WITH {S}, {V}, {U}, {fit_sql(1, init={"item": "v", "user": "u"})[0]} SELECT round(mu0, 6) AS mu0, round(mu1, 6) AS mu1, round(q00, 6) AS q00, round(q01, 6) AS q01, round(q01, 6) AS q10, round(q11, 6) AS q11 FROM item1h""")
+def hyper_sample(spark, d):
+    """A draw of the hyper-parameters given the items' vectors."""
+    mu, q = hyper(spark, d).draw(sampling.PortableDraws().generator(0, 0, 0))
+    found = spark.createDataFrame([(*map(float, mu), *map(float, q.ravel()))], "mu0 double, mu1 double, q00 double, q01 double, q10 double, q11 double")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query(f"""SELECT c_custkey AS id, round({uniform_sql("c_custkey", "x")}, 9) AS u, round({normal_sql("c_custkey", "x")}, 9) AS z FROM customer""")
+def uniform_and_normal_draws(spark, d):
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return ids.select("id", F.round(uniform(F.col("id"), "x"), 9).alias("u"), F.round(normal(F.col("id"), "x"), 9).alias("z"))
+
+
+def per_item(spark, d, of, names: list[str]) -> DataFrame:
+    """Numbers that `of`, given matrices [[2 + a, b], [b, 2 + c]] and vectors (f0, f1), makes for items with vectors (f0, f1): a = f0 f0, b = f0 f1, c = f1 f1."""
+
+    def made(batches):
+        for batch in batches:
+            f = equations.summed_rows(batch.column("f"), 2)
+            full = sampling.symmetric(np.column_stack([2 + f[:, 0] ** 2, f[:, 0] * f[:, 1], 2 + f[:, 1] ** 2]), 2)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(np.ascontiguousarray(x)) for x in of(full, f)]], ["id", *names])
+
+    found = items(spark, d).mapInArrow(made, "id long, " + ", ".join(f"{c} double" for c in names))
+    return found.select("id", *[F.round(c, 6).alias(c) for c in names])
+
+
+ABC = f"""{V}, s AS (SELECT id, f0, f1, 2 + f0 * f0 AS a, f0 * f1 AS b, 2 + f1 * f1 AS c FROM v)"""
+LL = f"""{ABC}, l AS (SELECT *, sqrt(a) AS l00, b / sqrt(a) AS l10, sqrt(c - b * b / a) AS l11 FROM s)"""
+
+
+@query(f"""WITH {ABC} SELECT id, round(a, 6) AS m00, round(b, 6) AS m01, round(b, 6) AS m10, round(c, 6) AS m11 FROM s""")
+def symmetrise(spark, d):
+    return per_item(spark, d, lambda m, f: (m[:, 0, 0], m[:, 0, 1], m[:, 1, 0], m[:, 1, 1]), ["m00", "m01", "m10", "m11"])
+
+
+@query(f"""WITH {LL} SELECT id, round(f0 / l00, 6) AS x0, round((f1 - l10 * (f0 / l00)) / l11, 6) AS x1, round((f0 - l10 * (f1 / l11)) / l00, 6) AS y0, round(f1 / l11, 6) AS y1 FROM l""")
+def triangular_solves(spark, d):
+    """L x = f and L' y = f."""
+
+    def solved(m, f):
+        lower = sampling.posterior_factors(m, np.zeros((2, 2)), 1.0)
+        return (*sampling.solve_lower(lower, f).T, *sampling.solve_upper(np.swapaxes(lower, -1, -2), f).T)
+
+    return per_item(spark, d, solved, ["x0", "x1", "y0", "y1"])
+
+
+@query(f"""WITH {LL} SELECT id, round(f0 + ({normal_sql("0", "g", 5)} - l10 * ({normal_sql("1", "g", 5)} / l11)) / l00 / sqrt(4.0), 6) AS x0, round(f1 + {normal_sql("1", "g", 5)} / l11 / sqrt(4.0), 6) AS x1 FROM l""")
+def mvn_draw(spark, d):
+    """A draw with mean f and precision 4 U'U, U the upper factor, always from the same key."""
+    draw = lambda f, m: sampling.mvn_precision(sampling.PortableDraws().generator(5), f, np.linalg.cholesky(m).T, 4.0)
+    return per_item(spark, d, lambda m, f: np.array([draw(x, y) for x, y in zip(f, m, strict=True)]).reshape(-1, 2).T, ["x0", "x1"])
+
+
+@query(f"""WITH {V} SELECT id AS "row", round(f0, 6) AS value FROM v""")
+def vector_roundtrip(spark, d):
+    """A matrix of one column, written and read as a vector."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}/x.ddm"
+    matrix.write_matrix(items(spark, d).select(F.col("id").alias("row"), F.lit(0).alias("col"), F.col("f")[0].alias("value")), path)
+    return matrix.read_vector(spark, path).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {R} SELECT "user" AS "row", item AS col, value FROM r""")
+def matrix_parts_roundtrip(spark, d):
+    """A folder of files, one for each task."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    matrix.write_parts(ratings(spark, d).select(F.col("user").alias("row"), F.col("item").alias("col"), "value"), path)
+    return matrix.read_matrix(spark, path)
