@@ -11,14 +11,15 @@ from .common import discard, materialize
 EDGES = 250_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """From edges (u, v) of long ids: (node, root) for each node that is not its component's smallest, root being that one.
 
     Each round hangs every node's larger neighbours, then its smaller ones, on its smallest neighbour; the number of
     rounds grows with the logarithm of a component's diameter. Smallest neighbours are aggregated before they are
-    joined, and both sides of a join are stored tables, so that a node with very many edges can be split among tasks.
+    joined, and both sides of a join are stored tables, so that a node with very many edges can be split among tasks. `parts` says how
+    many tasks the edges are worth, where that is known.
     """
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), parts)
     parts = now.count() // EDGES + 1
     before = None
     while True:

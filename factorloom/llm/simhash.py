@@ -360,12 +360,12 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 6, least: float =
     """
     named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("node"), F.xxhash64(F.lit(1), "text").alias("twin"), "text")
     rows = materialize(described(named, shingle))
+    n = rows.count()
+    few_texts, few_pairs = n // TEXTS + 1, n // PAIRS + 1
     own = F.struct(F.col("id").isNull().alias("unnamed"), "id")
-    whole = materialize(rows.groupBy("node", "twin").agg(F.min("fp").alias("fp"), F.min(own).alias("first"), F.count("*").alias("n"), F.countDistinct("id").alias("ids")))
+    whole = materialize(rows.groupBy("node", "twin").agg(F.min("fp").alias("fp"), F.min(own).alias("first"), F.count("*").alias("n"), F.countDistinct("id").alias("ids")), few_texts)
     # Should two texts have the same node, one of them stands for both in links, and both stay.
-    texts = materialize(whole.groupBy("node").agg(F.min(F.struct("first", "twin", "fp")).alias("x"), F.count("*").alias("twins")).select("node", "x.first", "x.twin", "x.fp", "twins"))
-    n = texts.count()
-    few_texts, few_pairs = n // TEXTS + 1, n // PAIRS + 1
+    texts = materialize(whole.groupBy("node").agg(F.min(F.struct("first", "twin", "fp")).alias("x"), F.count("*").alias("twins")).select("node", "x.first", "x.twin", "x.fp", "twins"), few_texts)
     chosen = materialize(texts.groupBy("fp").agg(F.min("node").alias("chosen")), few_texts)
     ends = [chosen.select(F.col("fp").alias(c), F.col("chosen").alias(f"node_{c}")) for c in "uv"]
     near = links(chosen.select("fp"), radius).join(ends[0], "u").join(ends[1], "v").select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
@@ -383,14 +383,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 6, least: float =
     here = named["id"].eqNullSafe(F.col("_id")) & (named["node"] == F.col("_node")) & (named["twin"] == F.col("_twin"))
     read = materialize(named.join(F.broadcast(asked) if few else asked, here, "left_semi").select("node", "text").dropDuplicates(["node"]), few_pairs)
     good = materialize(similar(edges, read, shingle, least), few_pairs)
-    roots = components(good)
+    roots = components(good, few_texts)
     known = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     bands_left = known.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     left = materialize(known.join(bands_left, "band", "left_semi").select("node", "root").distinct(), few_texts)
     if not left.isEmpty():
         prefixes = materialize(rare_prefixes(read.join(left, "node"), shingle, least), few_pairs)
         more = materialize(open_pairs(prefixes, least).join(edges, ["u", "v"], "left_anti"), few_pairs)
-        roots = components(good.unionByName(materialize(similar(more, read, shingle, least), few_pairs)))
+        roots = components(good.unionByName(materialize(similar(more, read, shingle, least), few_pairs)), few_texts)
     group = F.coalesce("root", "node").alias("root")
     best = texts.join(roots, "node", "left").select(group, F.struct("first", "node", "twin").alias("k")).groupBy("root").agg(F.min("k").alias("k")).select("k.node", "k.twin", F.col("k.first.id").alias("id"))
     odd = whole.join(texts.where("twins > 1").select("node", F.col("twin").alias("held")), "node").where("twin <> held").select("node", "twin", F.col("first.id").alias("id"))
