@@ -48,19 +48,23 @@ def prepared(ratings: DataFrame, entity: str, k: int, native: int = NATIVE, hot:
     """
     if k <= native:
         return ratings
-    out = dealt(ratings, entity, hot).persist(StorageLevel.MEMORY_AND_DISK)
-    out.dealt_by = entity
+    placed = dealt(ratings, entity, hot)
+    out = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    out.dealt_by, out.whole = entity, placed.whole
     return out
 
 
 def dealt(ratings: DataFrame, entity: str, hot: int) -> DataFrame:
-    """Ratings with salt, by (entity, salt): entities with over `hot` ratings have several salts, all others 0."""
+    """Ratings with salt, by (entity, salt): entities with over `hot` ratings have several salts, all others 0. `whole`: there are none with several."""
     crowded = ratings.groupBy(entity).agg(F.count("*").alias("_c")).where(F.col("_c") > hot)
     # Hot entities are few if ratings are, but their number is checked all the same.
-    few = len(crowded.select(entity).limit(MANY_HOT + 1).collect()) <= MANY_HOT
+    n = crowded.select(entity).limit(MANY_HOT + 1).count()
     other = "user" if entity == "item" else "item"
-    salted = ratings.join(F.broadcast(crowded) if few else crowded, entity, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce(F.ceil(F.col("_c") / hot), F.lit(1)))).drop("_c")
-    return salted.repartition(entity, "salt").sortWithinPartitions(entity)
+    salt = F.pmod(F.xxhash64(other), F.coalesce(F.ceil(F.col("_c") / hot), F.lit(1)))
+    salted = ratings.join(F.broadcast(crowded) if n <= MANY_HOT else crowded, entity, "left").withColumn("salt", salt).drop("_c") if n else ratings.withColumn("salt", F.lit(0).cast("long"))
+    out = (salted.repartition(entity, "salt") if n else salted.repartition(entity)).sortWithinPartitions(entity)
+    out.whole = not n
+    return out
 
 
 def normal_equations(ratings: DataFrame, factors: DataFrame, entity: str, other: str, mean: float, k: int, n_other: int | None = None, native: int = NATIVE, hot: int = HOT) -> DataFrame:
@@ -110,12 +114,16 @@ def normal_equations(ratings: DataFrame, factors: DataFrame, entity: str, other:
 
     if ready and not small(n_other, k):
         ready, ratings = False, ratings.drop("salt")
-    placed = ratings if ready else dealt(ratings, entity, hot) if small(n_other, k) else None
-    if placed is None:  # the other side's vectors move ratings about, so they are dealt out afterwards
-        placed = dealt(with_factors(ratings, factors, other, k, n_other), entity, hot)
-    else:
-        placed = with_factors(placed, factors, other, k, n_other)
+    if small(n_other, k):
+        dealt_out = ratings if ready else dealt(ratings, entity, hot)
+        placed = with_factors(dealt_out, factors, other, k, n_other)
+        if not ready:  # a sort below a join is optimized away, unless its result is kept
+            placed = placed.sortWithinPartitions(entity)
+    else:  # the other side's vectors move ratings about, so they are dealt out afterwards
+        placed = dealt_out = dealt(with_factors(ratings, factors, other, k, n_other), entity, hot)
     rows = placed.select(F.col(entity).cast("long").alias("id"), (F.col("value") - mean).alias("r"), "f").mapInArrow(partial, schema)
+    if dealt_out.whole:  # a row for each entity
+        return rows
     # All but hot entities have one row.
     add = lambda name, w: F.aggregate("x", F.array_repeat(F.lit(0.0), w), lambda s, x: F.zip_with(s, x[name], lambda a, b: a + b))
     again = rows.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("gram", "rr")).alias("x"))

@@ -62,8 +62,10 @@ def test_normal_equations(spark, k, native, hot):
     ratings = spark.createDataFrame([(u, i, v) for (u, i), v in cells.items()], CELLS).repartition(5)
     factors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(f)], "id long, f array<double>")
     found = normal.normal_equations(ratings, factors, "item", "user", 0.5, k, native=native, hot=hot).collect()
-    assert len(found) == len({i for _, i in cells})
-    for r in found:
+    again = normal.normal_equations(normal.prepared(ratings, "item", k, native, hot), factors, "item", "user", 0.5, k, native=native, hot=hot).collect()
+    shuffled = normal.normal_equations(ratings, factors, "item", "user", 0.5, k, 1 << 40, native=native, hot=hot).collect()
+    assert len(found) == len(again) == len(shuffled) == len({i for _, i in cells})
+    for r in (*found, *again, *shuffled):
         own = [(u, v) for (u, i), v in cells.items() if i == r.id]
         x, y = f[[u for u, _ in own]], np.array([v - 0.5 for _, v in own])
         assert r.n == len(own) and np.allclose(sampling.symmetric(np.array(r.gram), k), x.T @ x) and np.allclose(r.rr, x.T @ y)
