@@ -149,19 +149,22 @@ def fit(grades: np.ndarray, sets: list[np.ndarray], top: int = 2, least_z: float
     return Ordinal(hashes, w, b)
 
 
-def cut(grades: np.ndarray, sets: list[np.ndarray], top: int = 2, harm: float = 4) -> float:
-    """The least tail probability of the top grade to select: on a fifth of the sample that a trial model hasn't seen, the one
-    that rejects most documents of lower grades, less `harm` times those of the top grade; a half if there is nothing to go by."""
-    aside = np.arange(len(grades)) % 5 == 0
-    seen = np.flatnonzero(~aside)
-    if len(seen) < 50 or grades[seen].min() == grades[seen].max():
+def cut(grades: np.ndarray, sets: list[np.ndarray], model: Ordinal, top: int = 2, harm: float = 4, folds: int = 5) -> float:
+    """The least tail probability of the top grade to select: as a share of the model's for a text without telling features, the one that rejects most
+    documents of lower grades, less `harm` times those of the top grade, where each fold of the sample is judged by a trial model of the others; a half if there is nothing to go by."""
+    share, fold = np.ones(len(grades)), np.arange(len(grades)) % folds
+    for k in range(folds):
+        seen, aside = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(seen) < 50 or grades[seen].min() == grades[seen].max():
+            return 0.5
+        trial = fit(grades[seen], [sets[i] for i in seen], top, rounds=300)
+        weights = np.array([trial.weights[np.isin(trial.hashes, sets[i], assume_unique=True)].sum() for i in aside])
+        share[aside] = trial.tails(weights)[:, -1] / trial.tails(np.zeros(1))[0, -1]
+    tries = np.linspace(0.3, 1, 71)
+    gain = np.array([(grades[share < t] < top).sum() - harm * (grades[share < t] == top).sum() for t in tries])
+    if gain.max() <= 0:
         return 0.5
-    trial = fit(grades[seen], [sets[i] for i in seen], top)
-    tail = trial.tails(np.array([trial.weights[np.isin(trial.hashes, sets[i])].sum() for i in np.flatnonzero(aside)]))[:, -1]
-    best = trial.tails(np.zeros(1))[0, -1]  # of texts without any telling feature: always selected
-    tries = np.linspace(0.3, 1, 71) * best
-    gain = [(grades[aside][tail < t] < top).sum() - harm * (grades[aside][tail < t] == top).sum() for t in tries]
-    return float(tries[np.flatnonzero(np.array(gain) == max(gain))[-1]]) if max(gain) > 0 else 0.5
+    return float(tries[np.flatnonzero(gain == gain.max())[-1]] * model.tails(np.zeros(1))[0, -1])
 
 
 def scores(model: Ordinal, column: pa.Array) -> np.ndarray:
@@ -188,7 +191,7 @@ def rater(docs: DataFrame, labels: DataFrame, least: float | None, limit: int):
     """A function from a batch of texts to their tail probabilities and whether they are selected."""
     sample = sampled(docs, labels, limit)
     model = fit(*sample)
-    least = cut(*sample) if least is None else least
+    least = cut(*sample, model) if least is None else least
 
     def rated(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         tails = model.tails(scores(model, column))

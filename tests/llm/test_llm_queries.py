@@ -243,7 +243,8 @@ def test_op6_by_brute_force(spark, mixed):
             rated[i].append((good != 0) + ((toxic or 0) == 0))
     wanted = sorted((min(rated[d]), sorted(plain_features(t or ""))) for d, t in {d[:2] for d in DOCS} if d in rated)
     assert sorted((g, s.tolist()) for g, s in zip(grades.tolist(), sets, strict=True)) == wanted
-    model, least = quality.fit(grades, sets), quality.cut(grades, sets)
+    model = quality.fit(grades, sets)
+    least = quality.cut(grades, sets, model)
     weights = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
 
     def loss(weights, b):
